@@ -1,0 +1,34 @@
+"""Cutting lineage on reliable storage."""
+
+from __future__ import annotations
+
+import tempfile
+from functools import cache
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach: `spark.checkpoint.dir` of the session.
+
+    Only a local session without that setting (a test) gets a folder of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+    return _local_folder()
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="cinderbook-")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Compute once and keep on the shared folder: survives lost executors, read again cheaply."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint(eager=True)
