@@ -34,26 +34,25 @@ UNKNOWN_MODE_FACTOR = Decimal("0.15")
 BROADCAST_FACTORS = 10_000
 
 
-def _emission(key: Column, amount: Column, factors: dict, default: Decimal) -> Column:
-    branches = None
-    for name, factor in factors.items():
-        value = amount * F.lit(factor)
-        branches = F.when(key == name, value) if branches is None else branches.when(key == name, value)
-    return branches.otherwise(amount * F.lit(default))
+def _emission(key: str, amount: str, factors: dict, default: Decimal) -> Column:
+    cases = " ".join(f"WHEN '{name}' THEN {amount} * {factor}BD" for name, factor in factors.items())
+    return F.expr(f"CASE {key} {cases} ELSE {amount} * {default}BD END")
 
 
-def energy_co2e(source: Column, kwh: Column) -> Column:
+def energy_co2e(source: str = "source", kwh: str = "consumption_kwh") -> Column:
+    """Emission of a reading, rounded half up to the column's scale."""
     return _emission(source, kwh, ENERGY_FACTORS, UNKNOWN_SOURCE_FACTOR).cast(ENERGY_CO2E)
 
 
-def trip_co2e(mode: Column, km: Column) -> Column:
+def trip_co2e(mode: str = "mode", km: str = "distance_km") -> Column:
+    """Emission of a trip, rounded half up to the column's scale."""
     return _emission(mode, km, TRIP_FACTORS, UNKNOWN_MODE_FACTOR).cast(TRIP_CO2E)
 
 
 def with_energy_co2e(df: DataFrame, factors: DataFrame | None = None) -> DataFrame:
     """Set `co2e_emitted` of readings, from the built-in factors or a (key, factor) table."""
     if factors is None:
-        return df.withColumn("co2e_emitted", energy_co2e(F.col("source"), F.col("consumption_kwh")))
+        return df.withColumn("co2e_emitted", energy_co2e())
     return _with_factor_table(
         df, factors, "source", "consumption_kwh", UNKNOWN_SOURCE_FACTOR, ENERGY_CO2E
     )
@@ -62,7 +61,7 @@ def with_energy_co2e(df: DataFrame, factors: DataFrame | None = None) -> DataFra
 def with_trip_co2e(df: DataFrame, factors: DataFrame | None = None) -> DataFrame:
     """Set `co2e_emitted` of trips, from the built-in factors or a (key, factor) table."""
     if factors is None:
-        return df.withColumn("co2e_emitted", trip_co2e(F.col("mode"), F.col("distance_km")))
+        return df.withColumn("co2e_emitted", trip_co2e())
     return _with_factor_table(df, factors, "mode", "distance_km", UNKNOWN_MODE_FACTOR, TRIP_CO2E)
 
 

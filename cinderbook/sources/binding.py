@@ -11,10 +11,9 @@ from functools import cached_property
 from pathlib import PurePath
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cinderbook.functions.factors import with_energy_co2e, with_trip_co2e
-from cinderbook.schemas import KM, KWH, REDUCTION, Ledger
+from cinderbook.schemas import Ledger
 
 # The reporting day of the bound data.
 AS_OF = dt.date(2001, 7, 1)
@@ -43,85 +42,80 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.schema(GIVEN[table]).parquet(str(PurePath(sf_dir) / f"{table}.parquet"))
 
 
-def _pick(number, choices):
-    return F.element_at(F.array(*[F.lit(c) for c in choices]), (number + 1).cast("int"))
+def _use_of(nation: str) -> str:
+    cases = " ".join(f"WHEN {i} THEN '{use}'" for i, use in enumerate(USES))
+    return f"CASE {nation} % {len(USES)} {cases} END"
 
 
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    supplier = read(spark, sf_dir, "supplier")
-    return supplier.select(
-        F.col("s_suppkey").alias("building_id"),
-        F.col("s_name").alias("name"),
-        (15000 + (F.col("s_suppkey") * 997) % 40001).cast("int").alias("sq_footage"),
-        _pick(F.col("s_nationkey") % 7, USES).alias("primary_use"),
-        F.lit(None).cast("struct<x:double,y:double>").alias("location_gps"),
-        F.lit(None).cast("timestamp_ntz").alias("created_at"),
-        F.lit(None).cast("timestamp_ntz").alias("updated_at"),
+    return read(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS building_id",
+        "s_name AS name",
+        "CAST(15000 + (s_suppkey * 997) % 40001 AS INT) AS sq_footage",
+        f"{_use_of('s_nationkey')} AS primary_use",
+        "CAST(NULL AS STRUCT<x: DOUBLE, y: DOUBLE>) AS location_gps",
+        "CAST(NULL AS TIMESTAMP_NTZ) AS created_at",
+        "CAST(NULL AS TIMESTAMP_NTZ) AS updated_at",
     )
 
 
 def energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = read(spark, sf_dir, "lineitem")
-    hours = F.make_dt_interval(F.lit(0), (F.col("l_partkey") % 24).cast("int"))
-    hundredths = (F.col("l_quantity") * 1000).cast("bigint") + F.col("l_partkey") % 100
-    readings = lineitem.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("record_id"),
-        F.col("l_suppkey").alias("building_id"),
-        (F.col("l_shipdate") + hours).alias("date_time"),
-        _pick(F.col("l_linenumber") % 4, ("electricity", "gas", "fuel", "steam")).alias("source"),
-        (hundredths.cast("decimal(12,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(KWH).alias("consumption_kwh"),
-        F.col("l_shipdate").alias("created_at"),
+    readings = read(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey * 10 + l_linenumber AS record_id",
+        "l_suppkey AS building_id",
+        "l_shipdate + make_dt_interval(0, CAST(l_partkey % 24 AS INT)) AS date_time",
+        "CASE l_linenumber % 4 WHEN 0 THEN 'electricity' WHEN 1 THEN 'gas' WHEN 2 THEN 'fuel' ELSE 'steam' END"
+        " AS source",
+        "CAST(CAST(CAST(l_quantity * 1000 AS BIGINT) + l_partkey % 100 AS DECIMAL(12,0))"
+        " * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(10,2)) AS consumption_kwh",
+        "l_shipdate AS created_at",
     )
     return with_energy_co2e(readings)
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = read(spark, sf_dir, "customer")
-    key = F.col("c_custkey")
-    return customer.select(
-        key.alias("user_id"),
-        F.concat(F.lit("user"), key.cast("string"), F.lit("@example.edu")).alias("email"),
-        F.when(key % 20 == 0, "admin").when(key % 20 == 1, "guest").otherwise("user").alias("role"),
-        F.when(key % 11 != 0, F.col("c_mktsegment")).alias("department"),
-        F.substring("c_name", 1, 8).alias("first_name"),
-        F.expr("substr(c_name, 10)").alias("last_name"),
-        F.lit(None).cast("timestamp_ntz").alias("created_at"),
-        F.lit(None).cast("timestamp_ntz").alias("updated_at"),
+    return read(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS user_id",
+        "concat('user', CAST(c_custkey AS STRING), '@example.edu') AS email",
+        "CASE c_custkey % 20 WHEN 0 THEN 'admin' WHEN 1 THEN 'guest' ELSE 'user' END AS role",
+        "CASE WHEN c_custkey % 11 <> 0 THEN c_mktsegment END AS department",
+        "substr(c_name, 1, 8) AS first_name",
+        "substr(c_name, 10) AS last_name",
+        "CAST(NULL AS TIMESTAMP_NTZ) AS created_at",
+        "CAST(NULL AS TIMESTAMP_NTZ) AS updated_at",
     )
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read(spark, sf_dir, "orders")
-    hundredths = F.floor("o_totalprice").cast("bigint") % 100000
-    logged = orders.select(
-        F.col("o_orderkey").alias("trip_id"),
-        F.col("o_custkey").alias("user_id"),
-        F.to_date("o_orderdate").alias("date"),
-        _pick(F.col("o_orderkey") % 7, ("car", "bus", "bike", "walk", "air", "train", "metro")).alias("mode"),
-        (hundredths.cast("decimal(12,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(KM).alias("distance_km"),
-        F.col("o_orderdate").alias("created_at"),
+    logged = read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS trip_id",
+        "o_custkey AS user_id",
+        "CAST(o_orderdate AS DATE) AS date",
+        "CASE o_orderkey % 7 WHEN 0 THEN 'car' WHEN 1 THEN 'bus' WHEN 2 THEN 'bike' WHEN 3 THEN 'walk'"
+        " WHEN 4 THEN 'air' WHEN 5 THEN 'train' ELSE 'metro' END AS mode",
+        "CAST(CAST(CAST(floor(o_totalprice) AS BIGINT) % 100000 AS DECIMAL(12,0))"
+        " * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(8,2)) AS distance_km",
+        "o_orderdate AS created_at",
     )
     return with_trip_co2e(logged)
 
 
 def initiatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part")
-    key = F.col("p_partkey")
-    start = F.date_add(F.lit(FIRST_START), (key % 900).cast("int"))
-    end = F.date_add(F.lit(FIRST_START), (key % 900 + key % 400).cast("int"))
-    target = F.when(key % 13 == 0, None).when(key % 17 == 0, 0).otherwise(F.col("p_size"))
-    return part.select(
-        key.alias("initiative_id"),
-        F.col("p_name").alias("name"),
-        F.lit(None).cast("string").alias("description"),
-        target.cast(REDUCTION).alias("target_reduction_tco2e"),
-        (key % 60).cast(REDUCTION).alias("actual_reduction_tco2e"),
-        _pick(key % 4, ("planned", "active", "completed", "cancelled")).alias("status"),
-        start.alias("start_date"),
-        F.when(key % 9 != 0, end).alias("end_date"),
-        F.when(key % 10 != 0, key % 100).alias("created_by"),
-        start.cast("timestamp_ntz").alias("created_at"),
-        F.lit(None).cast("timestamp_ntz").alias("updated_at"),
+    start = f"date_add(DATE '{FIRST_START}', CAST(p_partkey % 900 AS INT))"
+    return read(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS initiative_id",
+        "p_name AS name",
+        "CAST(NULL AS STRING) AS description",
+        "CAST(CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 17 = 0 THEN 0 ELSE p_size END"
+        " AS DECIMAL(10,2)) AS target_reduction_tco2e",
+        "CAST(p_partkey % 60 AS DECIMAL(10,2)) AS actual_reduction_tco2e",
+        "CASE p_partkey % 4 WHEN 0 THEN 'planned' WHEN 1 THEN 'active' WHEN 2 THEN 'completed' ELSE 'cancelled' END"
+        " AS status",
+        f"{start} AS start_date",
+        f"CASE WHEN p_partkey % 9 <> 0 THEN date_add({start}, CAST(p_partkey % 400 AS INT)) END AS end_date",
+        "CASE WHEN p_partkey % 10 <> 0 THEN p_partkey % 100 END AS created_by",
+        f"CAST({start} AS TIMESTAMP_NTZ) AS created_at",
+        "CAST(NULL AS TIMESTAMP_NTZ) AS updated_at",
     )
 
 
@@ -159,16 +153,11 @@ def ledger(spark: SparkSession, sf_dir: str) -> Ledger:
 
 def live_readings(events: DataFrame) -> DataFrame:
     """Events as readings of live meters; errors carry no known source."""
-    kind = F.col("event_type")
-    return events.select(
-        F.col("event_id").alias("record_id"),
-        F.col("user_id").alias("building_id"),
-        F.col("ts").alias("date_time"),
-        F.when(kind == "view", "electricity")
-        .when(kind == "click", "gas")
-        .when(kind == "purchase", "fuel")
-        .when(kind == "signup", "steam")
-        .otherwise(kind)
-        .alias("source"),
-        F.col("value").cast(KWH).alias("consumption_kwh"),
+    return events.selectExpr(
+        "event_id AS record_id",
+        "user_id AS building_id",
+        "ts AS date_time",
+        "CASE event_type WHEN 'view' THEN 'electricity' WHEN 'click' THEN 'gas' WHEN 'purchase' THEN 'fuel'"
+        " WHEN 'signup' THEN 'steam' ELSE event_type END AS source",
+        "CAST(value AS DECIMAL(10,2)) AS consumption_kwh",
     )
