@@ -13,6 +13,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+import checks.jobs  # noqa: F401  (registers)
 from checks.queries import REGISTRY
 
 HEADLINE = (

@@ -12,6 +12,8 @@ from pathlib import Path
 import duckdb
 from pyspark.sql import SparkSession
 
+import checks.jobs  # noqa: F401  (registers)
+import checks.oracle_jobs  # noqa: F401  (registers)
 from checks.oracle import SQL
 from checks.queries import REGISTRY
 
