@@ -16,7 +16,7 @@ from cinderbook.functions.factors import with_energy_co2e
 from cinderbook.operators import integrity, maintain, quality
 from cinderbook.operators.durable import shared_folder
 from cinderbook.operators.predicates import between_days
-from cinderbook.plans import documents, energy, transport
+from cinderbook.plans import documents, energy, overview, transport
 from cinderbook.sources import binding, synth
 from cinderbook.sources.binding import AS_OF, ledger, live_readings, read
 from cinderbook.streaming import ingest, rollups
@@ -305,6 +305,10 @@ def _(t):
     return documents.as_json(slim)
 
 
+for _name in ("summary", "scopes", "buildings", "monthly_trend", "energy_sources", "transport_modes"):
+    query(f"footprint_{_name}")(lambda t, name=_name: overview.carbon_footprint(t, YEAR)[name])
+
+
 @query("carbon_footprint_document")
 def _(t):
     return documents.carbon_footprint_document(t, YEAR).select(F.to_json(F.struct("*")).alias("document"))

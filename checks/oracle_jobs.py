@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks import submissions as given
-from checks.oracle import MONTH, TODAY, D, more, sql
+from checks.oracle import MONTH, SQL, TODAY, D, more, sql
 
 LOADED = "TIMESTAMP '2001-07-01 12:00:00'"
 
@@ -275,6 +275,14 @@ WHERE user_id NOT IN (SELECT user_id FROM users WHERE role = 'guest')""")
 sql("delete_cascade_initiatives", """SELECT initiative_id, CASE WHEN created_by IN
   (SELECT user_id FROM users WHERE role = 'guest') THEN NULL ELSE created_by END AS created_by FROM initiatives""")
 
+# --- the report from shared totals ----------------------------------------------------------
+for _section, _same in (
+    ("summary", "carbon_footprint_summary"), ("scopes", "scope_breakdown_range"), ("buildings", "building_breakdown_range"),
+    ("monthly_trend", "monthly_trend_by_scope"), ("energy_sources", "energy_source_breakdown"),
+    ("transport_modes", "transport_mode_breakdown"),
+):
+    SQL[f"footprint_{_section}"] = SQL[_same]
+
 # --- nested documents -----------------------------------------------------------------------
 sql("reading_documents", f"""SELECT ec.record_id AS id, ec.date_time, b.name, b.primary_use, b.sq_footage
 FROM energy ec JOIN buildings b ON b.building_id = ec.building_id WHERE ec.date_time >= {TODAY} - INTERVAL '30 days'""")

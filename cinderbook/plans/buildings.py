@@ -18,7 +18,7 @@ from cinderbook.functions.exprs import (
 from cinderbook.operators.paging import numbered, page_of, top
 from cinderbook.operators.predicates import between_days, equal_to, where
 from cinderbook.operators.ranking import SINGLE_TASK_ROWS, with_global_rank, with_percentiles
-from cinderbook.operators.totals import co2e_totals, energy_totals, row_count
+from cinderbook.operators.totals import co2e_totals, energy_totals, exact_sum, row_count
 from cinderbook.params import DateRange, Page, days_before, months_before
 
 
@@ -71,15 +71,13 @@ def top_buildings_quarter(
 ) -> DataFrame:
     """The largest emitters of the last three months."""
     recent = between_days(energy, "date_time", start=months_before(as_of, 3))
-    found = _emitters(buildings, energy_totals(recent, "building_id"))
-    return top(found, _largest_first(), limit).select(*_SHORT)
+    return building_rows_of(buildings, energy_totals(recent, "building_id"), limit)
 
 
 def top_buildings(buildings: DataFrame, energy: DataFrame, days: DateRange, limit: int = 5) -> DataFrame:
     """The largest emitters of a date range."""
     recent = between_days(energy, "date_time", days.start, days.end)
-    found = _emitters(buildings, energy_totals(recent, "building_id"))
-    return top(found, _largest_first(), limit).select(*_SHORT)
+    return building_rows_of(buildings, energy_totals(recent, "building_id"), limit)
 
 
 def top_buildings_range(
@@ -94,8 +92,14 @@ def top_buildings_range(
 def building_breakdown_range(buildings: DataFrame, energy: DataFrame, days: DateRange) -> DataFrame:
     """Every building with readings in the range."""
     recent = between_days(energy, "date_time", days.start, days.end)
-    found = _emitters(buildings, energy_totals(recent, "building_id"))
-    return found.orderBy(*_largest_first()).select(*_SHORT)
+    return building_rows_of(buildings, energy_totals(recent, "building_id"))
+
+
+def building_rows_of(buildings: DataFrame, totals: DataFrame, limit: int | None = None) -> DataFrame:
+    """Report rows from totals per building, largest first."""
+    found = _emitters(buildings, totals)
+    rows = found.orderBy(*_largest_first()) if limit is None else top(found, _largest_first(), limit)
+    return rows.select(*_SHORT)
 
 
 def buildings_vs_campus_average(buildings: DataFrame, energy: DataFrame, days: DateRange) -> DataFrame:
@@ -146,8 +150,8 @@ def building_efficiency(
     kwh = F.col("consumption_kwh")
     stats = between_days(energy, "date_time", start=months_before(as_of, 1)).groupBy("building_id").agg(
         row_count().alias("records"),
-        F.sum(kwh).alias("kwh"),
-        F.sum("co2e_emitted").alias("co2e"),
+        exact_sum(energy, "consumption_kwh").alias("kwh"),
+        exact_sum(energy, "co2e_emitted").alias("co2e"),
         F.stddev_samp(kwh).alias("kwh_stddev"),
         F.min(kwh).alias("min_kwh"),
         F.max(kwh).alias("max_kwh"),

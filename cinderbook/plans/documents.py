@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from cinderbook.operators.totals import one_row
 from cinderbook.params import DateRange
 from cinderbook.plans import overview
-from cinderbook.plans.buildings import top_buildings
-from cinderbook.plans.energy import energy_source_breakdown
-from cinderbook.plans.transport import transport_mode_breakdown
 from cinderbook.schemas import Ledger
 
 
@@ -68,15 +65,12 @@ def carbon_footprint_document(ledger: Ledger, days: DateRange, largest: int = 10
     and the largest emitters.  The section with every building is a frame of its own, see
     `overview.carbon_footprint` and `write_sections`.
     """
-    sections = {
-        "scopes": (overview.scope_breakdown_range(ledger.energy, ledger.trips, days), "total_co2e_kg", True),
-        "largest_buildings": (top_buildings(ledger.buildings, ledger.energy, days, largest), "total_co2e_kg", True),
-        "monthly_trend": (overview.monthly_trend_by_scope(ledger.energy, ledger.trips, days), "month", False),
-        "energy_sources": (energy_source_breakdown(ledger.energy, days), "total_co2e_kg", True),
-        "transport_modes": (transport_mode_breakdown(ledger.trips, days), "total_co2e_kg", True),
+    sections = overview.carbon_footprint(ledger, days, limit=largest)
+    summary = sections.pop("summary")
+    lists = {
+        name: _listed(section, "month" if name == "monthly_trend" else "total_co2e_kg", name != "monthly_trend")
+        for name, section in sections.items()
     }
-    summary = overview.carbon_footprint_summary(ledger.buildings, ledger.energy, ledger.trips, days)
-    lists = {name: _listed(*spec) for name, spec in sections.items()}
     parts = one_row(ledger.energy.sparkSession, summary=summary, **lists)
     return parts.select("summary", *[F.col(f"{name}.items").alias(name) for name in lists])
 

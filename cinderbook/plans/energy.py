@@ -18,7 +18,11 @@ PERIODS = ("hourly", "daily", "weekly", "monthly")
 
 
 def energy_source_breakdown(energy: DataFrame, days: DateRange) -> DataFrame:
-    totals = energy_totals(between_days(energy, "date_time", days.start, days.end), "source")
+    return source_rows_of(energy_totals(between_days(energy, "date_time", days.start, days.end), "source"))
+
+
+def source_rows_of(totals: DataFrame) -> DataFrame:
+    """Report rows from totals per source."""
     return totals.select(
         "source",
         F.col("records").alias("record_count"),

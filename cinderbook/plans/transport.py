@@ -17,7 +17,11 @@ from cinderbook.params import PERIOD_MONTHS, DateRange, Page, check_choice, mont
 
 
 def transport_mode_breakdown(trips: DataFrame, days: DateRange) -> DataFrame:
-    totals = trip_totals(between_days(trips, "date", days.start, days.end), "mode")
+    return mode_rows_of(trip_totals(between_days(trips, "date", days.start, days.end), "mode"))
+
+
+def mode_rows_of(totals: DataFrame) -> DataFrame:
+    """Report rows from totals per mode."""
     return totals.select(
         "mode",
         F.col("trips").alias("trip_count"),
@@ -200,7 +204,8 @@ def user_vs_campus_average(
     The mean is a scalar subquery over the same aggregation, whose shuffle Spark reuses.
     """
     recent = between_days(trips, "date", start=months_before(as_of, months))
-    totals = co2e_totals(recent, "user_id")
+    # The join below implies this filter for one of the two uses; stated for both, they stay equal.
+    totals = co2e_totals(recent.filter(F.col("user_id").isNotNull()), "user_id")
     people = users.select("user_id", "role")
     of_users = totals.join(people.filter(F.col("role") == "user"), "user_id")
     campus = of_users.agg(mean(F.sum("co2e"), F.count("co2e")).alias("average"))
