@@ -26,13 +26,13 @@ def comparable(df: DataFrame) -> DataFrame:
     """Exact decimals as doubles and small integers as bigints, for the comparison only."""
     columns = []
     for field in df.schema.fields:
-        column = F.col(field.name)
         if isinstance(field.dataType, T.DecimalType):
-            column = column.cast("double")
+            columns.append(f"CAST(`{field.name}` AS DOUBLE) AS `{field.name}`")
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType)):
-            column = column.cast("bigint")
-        columns.append(column.alias(field.name))
-    return df.select(*columns)
+            columns.append(f"CAST(`{field.name}` AS BIGINT) AS `{field.name}`")
+        else:
+            columns.append(f"`{field.name}`")
+    return df.selectExpr(*columns)
 
 
 def query(name: str):

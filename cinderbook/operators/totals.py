@@ -36,9 +36,10 @@ def exact_sum(fact: DataFrame, column: str) -> Column:
     kind = fact.schema[column].dataType
     if kind.precision <= LONG_SUM_DIGITS:
         return F.sum(column)
-    whole = F.col(column).cast("bigint")
-    fraction = (F.col(column) - whole.cast(f"decimal({kind.precision},0)")).cast(f"decimal({kind.scale},{kind.scale})")
-    return (F.sum(whole) + F.sum(fraction)).cast(f"decimal({kind.precision + 10},{kind.scale})")
+    digits, scale = kind.precision, kind.scale
+    whole = f"CAST({column} AS BIGINT)"
+    fraction = f"CAST({column} - CAST({whole} AS DECIMAL({digits},0)) AS DECIMAL({scale},{scale}))"
+    return F.expr(f"CAST(sum({whole}) + sum({fraction}) AS DECIMAL({digits + 10},{scale}))")
 
 
 def co2e_sum(fact: DataFrame) -> Column:

@@ -204,11 +204,13 @@ def user_vs_campus_average(
     The mean is a scalar subquery over the same aggregation, whose shuffle Spark reuses.
     """
     recent = between_days(trips, "date", start=months_before(as_of, months))
-    # The join below implies this filter for one of the two uses; stated for both, they stay equal.
-    totals = co2e_totals(recent.filter(F.col("user_id").isNotNull()), "user_id")
-    people = users.select("user_id", "role")
-    of_users = totals.join(people.filter(F.col("role") == "user"), "user_id")
-    campus = of_users.agg(mean(F.sum("co2e"), F.count("co2e")).alias("average"))
+    totals = co2e_totals(recent, "user_id")
+    # A left join and a conditional mean instead of a filter: a filter would be pushed into this
+    # use of the totals only, and the two uses would no longer share one scan.
+    of_user = F.when(F.col("role") == "user", F.col("co2e"))
+    campus = totals.join(users.select("user_id", "role"), "user_id", "left").agg(
+        mean(F.sum(of_user), F.count(of_user)).alias("average")
+    )
     versus = F.col("co2e").cast("double") / F.nullif(F.col("average"), F.lit(0.0)) * 100 - 100
     rows = totals.withColumn("average", campus.scalar())
     return where(rows, equal_to("user_id", user_id)).select(
