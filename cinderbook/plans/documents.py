@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderbook.operators.totals import one_row
@@ -43,21 +43,26 @@ def as_json(rows: DataFrame, key: str = "id") -> DataFrame:
     return rows.select(F.col(key), F.to_json(F.struct(*rows.columns)).alias("document"))
 
 
-def _listed(section: DataFrame, order: str, descending: bool = True) -> DataFrame:
-    """A short section as one array, ordered by one of its columns."""
-    place = F.row_number().over(_in_order(F.col(order), descending, section.columns))
-    placed = section.withColumn("_place", place)
+# How each nested list is ordered; a leading minus stands for descending.
+_ORDERS = {
+    "scopes": ("-total_co2e_kg", "emission_scope"),
+    "buildings": ("-total_co2e_kg", "building_name"),
+    "monthly_trend": ("month", "source"),
+    "energy_sources": ("-total_co2e_kg", "source"),
+    "transport_modes": ("-total_co2e_kg", "mode"),
+}
+
+
+def _listed(section: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """A short section as one array in the given order."""
+    by = [F.col(c[1:]).desc_nulls_first() if c.startswith("-") else F.col(c).asc_nulls_last() for c in order]
+    placed = section.withColumn("_place", F.row_number().over(Window.partitionBy().orderBy(*by)))
     items = F.array_sort(F.collect_list(F.struct("_place", *section.columns)))
     return placed.agg(items.alias("items")).select(
         F.transform("items", lambda item: item.dropFields("_place")).alias("items")
     )
 
 
-def _in_order(column: Column, descending: bool, columns) -> WindowSpec:
-    first = column.desc_nulls_first() if descending else column.asc_nulls_last()
-    return Window.partitionBy().orderBy(first, *columns)
-
-
 def carbon_footprint_document(ledger: Ledger, days: DateRange, largest: int = 10) -> DataFrame:
     """The carbon footprint report as one nested row.
 
@@ -67,10 +72,7 @@ def carbon_footprint_document(ledger: Ledger, days: DateRange, largest: int = 10
     """
     sections = overview.carbon_footprint(ledger, days, limit=largest)
     summary = sections.pop("summary")
-    lists = {
-        name: _listed(section, "month" if name == "monthly_trend" else "total_co2e_kg", name != "monthly_trend")
-        for name, section in sections.items()
-    }
+    lists = {name: _listed(section, _ORDERS[name]) for name, section in sections.items()}
     parts = one_row(ledger.energy.sparkSession, summary=summary, **lists)
     return parts.select("summary", *[F.col(f"{name}.items").alias(name) for name in lists])
 

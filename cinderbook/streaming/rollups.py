@@ -29,12 +29,18 @@ def stream_table(
 
 
 def event_time(column: str) -> Column:
-    """A zoneless time read as UTC: watermarks need an instant, whatever the session time zone."""
-    return F.expr(f"timestamp_micros(0) + ({column} - TIMESTAMP_NTZ '1970-01-01 00:00:00')")
+    """A zoneless time read as UTC: watermarks need an instant, whatever the session time zone.
+
+    Goes through microseconds, because arithmetic on instants follows the session's clock changes.
+    """
+    seconds = f"CAST(CAST({column} - TIMESTAMP_NTZ '1970-01-01 00:00:00' AS INTERVAL SECOND) AS DECIMAL(20,6))"
+    return F.expr(f"timestamp_micros(CAST({seconds} * 1000000 AS BIGINT))")
 
 
 def _zoneless(instant: Column) -> Column:
-    return F.lit("1970-01-01").cast("timestamp_ntz") + (instant - F.timestamp_micros(F.lit(0)))
+    seconds = F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1_000_000)
+    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+    return F.lit("1970-01-01").cast("timestamp_ntz") + since
 
 
 def _windowed(readings: DataFrame, length: str, keys: Sequence[str], watermark: str) -> DataFrame:
