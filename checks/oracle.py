@@ -63,6 +63,11 @@ WITH buildings AS (
       WHEN 'signup' THEN 'steam' ELSE event_type END AS source,
     CAST(value AS DECIMAL(10,2)) AS consumption_kwh
   FROM events
+), metered AS (
+  SELECT e.*, b.name, b.primary_use, b.sq_footage FROM energy e JOIN buildings b USING (building_id)
+), travelled AS (
+  SELECT t.*, p.role, p.department, p.email, concat(p.first_name, ' ', p.last_name) AS user_name
+  FROM trips t JOIN users p USING (user_id)
 )
 """
 
@@ -95,451 +100,420 @@ def sql(name: str, body: str, ctes: str = "") -> None:
     SQL[name] = MODEL + ctes + body
 
 
+# --- pieces used by several questions -------------------------------------------------------
+SUM_CO2E, SUM_KWH, SUM_KM = "SUM(co2e_emitted)", "SUM(consumption_kwh)", "SUM(distance_km)"
+MEAN_CO2E, MEAN_KWH, MEAN_KM = Q(SUM_CO2E, "COUNT(co2e_emitted)"), Q(SUM_KWH, "COUNT(consumption_kwh)"), Q(SUM_KM, "COUNT(distance_km)")
+
+
+def zero(x: str) -> str:
+    return D(f"COALESCE({x}, 0)")
+
+
+def recent(months: int, column: str = "date") -> str:
+    return f"{column} >= {TODAY} - INTERVAL '{months} months'"
+
+
+LAST_30 = f"date_time >= {TODAY} - INTERVAL '30 days'"
+
+
+def on_days(span: str) -> str:
+    return f"CAST(date_time AS DATE) {span}"
+
+
+def month(column: str) -> str:
+    return f"CAST(date_trunc('month', {column}) AS DATE)"
+
+
+def info(source: str, number: int, size: int) -> str:
+    return f"""
+SELECT {number} AS current_page, CAST(ceil(n / {size}.0) AS BIGINT) AS total_pages, n AS total_records,
+  {number} < ceil(n / {size}.0) AS has_next, {number} > 1 AS has_prev FROM (SELECT COUNT(*) AS n FROM {source}) c"""
+
+
 # --- overview -------------------------------------------------------------------------------
 sql("campus_overview", f"""
-SELECT (SELECT count(*) FROM buildings) AS total_buildings,
-  {D("e.c")} AS annual_energy_co2e, {D("t.c")} AS annual_transport_co2e, {D("e.c + t.c")} AS total_annual_co2e,
-  (SELECT count(*) FROM initiatives WHERE status = 'active') AS active_initiatives
-FROM (SELECT COALESCE(SUM(co2e_emitted), 0) AS c FROM energy WHERE date_time >= {TODAY} - INTERVAL '1 year') e,
-  (SELECT COALESCE(SUM(co2e_emitted), 0) AS c FROM trips WHERE date >= {TODAY} - INTERVAL '1 year') t
+SELECT (SELECT count(*) FROM buildings) AS total_buildings, {D("e")} AS annual_energy_co2e, {D("t")} AS annual_transport_co2e,
+  {D("e + t")} AS total_annual_co2e, (SELECT count(*) FILTER (WHERE status = 'active') FROM initiatives) AS active_initiatives
+FROM (SELECT COALESCE({SUM_CO2E}, 0) AS e FROM energy WHERE {recent(12, "date_time")}) x,
+  (SELECT COALESCE({SUM_CO2E}, 0) AS t FROM trips WHERE {recent(12)}) y
 """)
 
 
-def scopes(energy_filter: str, trip_filter: str, source: str) -> str:
+def scopes(energy_filter: str, trip_filter: str, columns: str) -> str:
+    both = "scope(emission_scope, data_source, kg, record_count)"
     return f"""
-SELECT emission_scope, {R("total", 2)} AS total_co2e_kg,
-  {R(Q("total", "SUM(total) OVER ()") + " * 100", 1)} AS percentage, record_count{source}
-FROM (
-  SELECT 'Scope 1 & 2 (Energy)' AS emission_scope, SUM(co2e_emitted) AS total, COUNT(*) AS record_count,
-    'energy' AS data_source FROM energy WHERE {energy_filter}
-  UNION ALL
-  SELECT 'Scope 3 (Transportation)', SUM(co2e_emitted), COUNT(*), 'transportation' FROM trips WHERE {trip_filter}
-) s"""
-
-
-sql("scope_breakdown", scopes(f"date_time >= {TODAY} - INTERVAL '1 year'", f"date >= {TODAY} - INTERVAL '1 year'", ""))
-sql("scope_breakdown_range", scopes(f"CAST(date_time AS DATE) {YEAR}", f"date {YEAR}", ", data_source"))
+SELECT emission_scope, {R("kg", 2)} AS total_co2e_kg, record_count{columns},
+  {R(Q("kg", "(SELECT SUM(kg) FROM scope)") + " * 100", 1)} AS percentage FROM scope""", more(f"""{both} AS (
+  SELECT 'Scope 1 & 2 (Energy)', 'energy', {SUM_CO2E}, COUNT(*) FROM energy WHERE {energy_filter}
+  UNION ALL SELECT 'Scope 3 (Transportation)', 'transportation', {SUM_CO2E}, COUNT(*) FROM trips WHERE {trip_filter})""")
+
+
+sql("scope_breakdown", *scopes(recent(12, "date_time"), recent(12), ""))
+sql("scope_breakdown_range", *scopes(on_days(YEAR), f"date {YEAR}", ", data_source"))
 sql("monthly_trend_by_scope", f"""
-SELECT CAST(date_trunc('month', date_time) AS DATE) AS month, {D("SUM(co2e_emitted)")} AS monthly_co2e, 'energy' AS source
-FROM energy WHERE CAST(date_time AS DATE) {YEAR} GROUP BY 1
-UNION ALL
-SELECT CAST(date_trunc('month', date) AS DATE), {D("SUM(co2e_emitted)")}, 'transportation'
-FROM trips WHERE date {YEAR} GROUP BY 1
-""")
+SELECT month, source, {D("SUM(kg)")} AS monthly_co2e FROM (
+  SELECT {month("date_time")} AS month, 'energy' AS source, co2e_emitted AS kg FROM energy WHERE {on_days(YEAR)}
+  UNION ALL SELECT {month("date")}, 'transportation', co2e_emitted FROM trips WHERE date {YEAR}) x
+GROUP BY month, source""")
 sql("carbon_footprint_summary", f"""
-SELECT DATE '2000-07-01' AS start_date, DATE '2001-07-01' AS end_date,
-  {D("e.c + t.c")} AS total_co2e_kg, CAST(round(CAST(e.c + t.c AS DECIMAL(28,8)) / 1000, 3) AS DOUBLE) AS total_co2e_tonnes,
-  {D("e.c")} AS energy_co2e_kg, {D("t.c")} AS transport_co2e_kg,
-  COALESCE((SELECT name FROM per ORDER BY total DESC, building_id LIMIT 1), 'N/A') AS top_emitting_building,
-  (SELECT count(*) FROM per) AS total_buildings, 365 AS report_period_days
-FROM (SELECT COALESCE(round(SUM(co2e_emitted), 2), 0) AS c FROM energy WHERE CAST(date_time AS DATE) {YEAR}) e,
-  (SELECT COALESCE(round(SUM(co2e_emitted), 2), 0) AS c FROM trips WHERE date {YEAR}) t
-""", more(f"""per AS (
-  SELECT b.building_id, b.name, round(SUM(ec.co2e_emitted), 2) AS total
-  FROM buildings b JOIN energy ec ON b.building_id = ec.building_id
-  WHERE CAST(ec.date_time AS DATE) {YEAR} GROUP BY b.building_id, b.name)"""))
+SELECT DATE '2000-07-01' AS start_date, DATE '2001-07-01' AS end_date, {D("e + t")} AS total_co2e_kg,
+  CAST(round(CAST(e + t AS DECIMAL(28,8)) / 1000, 3) AS DOUBLE) AS total_co2e_tonnes, {D("e")} AS energy_co2e_kg,
+  {D("t")} AS transport_co2e_kg, COALESCE((SELECT name FROM per ORDER BY total DESC, building_id LIMIT 1), 'N/A')
+    AS top_emitting_building, (SELECT count(*) FROM per) AS total_buildings, 365 AS report_period_days
+FROM (SELECT COALESCE(round({SUM_CO2E}, 2), 0) AS e FROM energy WHERE {on_days(YEAR)}) x,
+  (SELECT COALESCE(round({SUM_CO2E}, 2), 0) AS t FROM trips WHERE date {YEAR}) y
+""", more(f"""per AS (SELECT building_id, name, round({SUM_CO2E}, 2) AS total FROM metered
+  WHERE {on_days(YEAR)} GROUP BY building_id, name)"""))
 
 # --- buildings ------------------------------------------------------------------------------
+BUILDING = "building_id, name, primary_use, sq_footage"
+
+
+def with_readings(condition: str) -> str:
+    """Every building beside each of its readings meeting the condition, once alone without any."""
+    return f"buildings LEFT JOIN (SELECT * EXCLUDE (created_at) FROM energy WHERE {condition}) m USING (building_id)"
+
+
 PERFORMANCE = f"""
-SELECT b.building_id, b.name, b.sq_footage, b.primary_use,
-  {D("COALESCE(SUM(ec.co2e_emitted), 0)")} AS total_co2e,
-  {D("COALESCE(SUM(ec.consumption_kwh), 0)")} AS total_consumption_kwh,
-  COALESCE({Q("SUM(ec.co2e_emitted)", "b.sq_footage")}, 0) AS co2e_per_sqft
-FROM buildings b LEFT JOIN energy ec ON b.building_id = ec.building_id
-GROUP BY b.building_id, b.name, b.sq_footage, b.primary_use
+SELECT {BUILDING}, {zero(SUM_CO2E)} AS total_co2e, {zero(SUM_KWH)} AS total_consumption_kwh,
+  COALESCE({Q(SUM_CO2E, "sq_footage")}, 0) AS co2e_per_sqft
+FROM {with_readings("TRUE")} GROUP BY {BUILDING}
 """
 sql("building_performance", PERFORMANCE)
 sql("building_performance_top", PERFORMANCE + " ORDER BY total_co2e DESC, building_id LIMIT 10")
 
 
-def emitters(where: str, tail: str, extra: str = "") -> str:
+def emitters(condition: str, tail: str, extra: str = "") -> str:
     return f"""
-SELECT b.name AS building_name, b.primary_use, b.sq_footage,
-  {R("SUM(ec.co2e_emitted)", 2)} AS total_co2e_kg,
-  {R(Q("SUM(ec.co2e_emitted)", "b.sq_footage"), 4)} AS co2e_per_sqft, COUNT(ec.record_id) AS total_records{extra}
-FROM buildings b INNER JOIN energy ec ON b.building_id = ec.building_id
-WHERE {where}
-GROUP BY b.building_id, b.name, b.primary_use, b.sq_footage {tail}"""
-
-
-FIRST_FIVE = "ORDER BY total_co2e_kg DESC, b.building_id LIMIT 5"
-sql("top_buildings_quarter", emitters(f"ec.date_time >= {TODAY} - INTERVAL '3 months'", FIRST_FIVE))
-sql("top_buildings", emitters(f"CAST(ec.date_time AS DATE) {MONTH}", FIRST_FIVE))
-sql("building_breakdown_range", emitters(f"CAST(ec.date_time AS DATE) {YEAR}", ""))
-sql("top_buildings_range", "SELECT * FROM (" + emitters(
-    f"CAST(ec.date_time AS DATE) {QUARTER}",
-    "ORDER BY total_co2e_kg DESC, b.building_id LIMIT 10",
-    f""", {R(Q("SUM(ec.consumption_kwh)", "COUNT(*)"), 2)} AS avg_consumption_kwh,
-  {R("SUM(ec.consumption_kwh)", 2)} AS total_consumption_kwh,
-  row_number() OVER (ORDER BY round(SUM(ec.co2e_emitted), 2) DESC, b.building_id) AS rank""") + ") x")
+SELECT name AS building_name, primary_use, sq_footage, COUNT(*) AS total_records, {R(SUM_CO2E, 2)} AS total_co2e_kg,
+  {R(Q(SUM_CO2E, "sq_footage"), 4)} AS co2e_per_sqft{extra}
+FROM metered WHERE {condition} GROUP BY {BUILDING} {tail}"""
+
+
+FIRST_FIVE = "ORDER BY total_co2e_kg DESC, building_id LIMIT 5"
+sql("top_buildings_quarter", emitters(recent(3, "date_time"), FIRST_FIVE))
+sql("top_buildings", emitters(on_days(MONTH), FIRST_FIVE))
+sql("building_breakdown_range", emitters(on_days(YEAR), ""))
+sql("top_buildings_range", emitters(
+    on_days(QUARTER), "QUALIFY rank <= 10", f""", {R(MEAN_KWH, 2)} AS avg_consumption_kwh,
+  {R(SUM_KWH, 2)} AS total_consumption_kwh,
+  row_number() OVER (ORDER BY round({SUM_CO2E}, 2) DESC, building_id) AS rank"""))
 sql("buildings_vs_campus_average", f"""
-SELECT p.building_id, p.name AS building_name, {R("p.total", 2)} AS total_co2e_kg,
-  {R("c.avg_total", 2)} AS campus_avg_co2e, {R("c.avg_intensity", 4)} AS campus_avg_intensity,
-  CASE WHEN c.avg_total > 0 THEN {R("(CAST(round(p.total, 2) AS DOUBLE) / c.avg_total - 1) * 100", 1)} END
-    AS vs_average_percent
-FROM per p, (SELECT {Q("SUM(total)", "COUNT(total)")} AS avg_total,
-  {Q("SUM(CAST(intensity AS DECIMAL(28,16)))", "COUNT(intensity)")} AS avg_intensity FROM per) c
-""", more(f"""per AS (
-  SELECT b.building_id, b.name, SUM(ec.co2e_emitted) AS total, {Q("SUM(ec.co2e_emitted)", "b.sq_footage")} AS intensity
-  FROM buildings b JOIN energy ec ON b.building_id = ec.building_id
-  WHERE CAST(ec.date_time AS DATE) {QUARTER} GROUP BY b.building_id, b.name, b.sq_footage)"""))
-
-EFFICIENCY_CTE = more(f"""eff AS (
-  SELECT b.building_id, b.name, b.primary_use, b.sq_footage,
-    {Q("SUM(ec.consumption_kwh)", "COUNT(*)")} AS avg_kwh, {Q("SUM(ec.co2e_emitted)", "COUNT(*)")} / b.sq_footage AS intensity,
-    STDDEV_SAMP(ec.consumption_kwh) AS sd, MIN(ec.consumption_kwh) AS lo, MAX(ec.consumption_kwh) AS hi
-  FROM buildings b JOIN energy ec ON b.building_id = ec.building_id
-  WHERE ec.date_time >= {TODAY} - INTERVAL '1 month'
-  GROUP BY b.building_id, b.name, b.primary_use, b.sq_footage)""")
-EFFICIENCY = f"""
-SELECT building_id, name AS building_name, primary_use, sq_footage, {R("avg_kwh", 1)} AS avg_daily_kwh,
-  {R("intensity", 6)} AS co2e_per_sqft, RANK() OVER (ORDER BY intensity NULLS LAST) AS efficiency_rank,
-  CASE WHEN intensity < (SELECT PERCENTILE_CONT(0.25) WITHIN GROUP (ORDER BY intensity) FROM eff) THEN 'Excellent'
-    WHEN intensity < (SELECT PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY intensity) FROM eff) THEN 'Good'
-    WHEN intensity < (SELECT PERCENTILE_CONT(0.75) WITHIN GROUP (ORDER BY intensity) FROM eff) THEN 'Average'
-    ELSE 'Needs Improvement' END AS efficiency_rating,
-  {R("sd", 1)} AS consumption_variability, {D("lo")} AS min_kwh, {D("hi")} AS max_kwh
-FROM eff"""
-sql("building_efficiency", EFFICIENCY, EFFICIENCY_CTE)
-sql("building_efficiency_partitioned", EFFICIENCY, EFFICIENCY_CTE)
-
-
-def ranked(direction: str) -> str:
+SELECT building_id, name AS building_name, {R("total", 2)} AS total_co2e_kg, {R("a", 2)} AS campus_avg_co2e,
+  {R("i", 4)} AS campus_avg_intensity,
+  CASE WHEN a > 0 THEN {R("(CAST(round(total, 2) AS DOUBLE) / a - 1) * 100", 1)} END AS vs_average_percent
+FROM per, (SELECT {Q("SUM(total)", "COUNT(total)")} AS a,
+  {Q("SUM(CAST(intensity AS DECIMAL(28,16)))", "COUNT(intensity)")} AS i FROM per) c
+""", more(f"""per AS (SELECT building_id, name, {SUM_CO2E} AS total, {Q(SUM_CO2E, "sq_footage")} AS intensity
+  FROM metered WHERE {on_days(QUARTER)} GROUP BY {BUILDING})"""))
+
+for _name in ("building_efficiency", "building_efficiency_partitioned"):
+    sql(_name, f"""
+SELECT building_id, name AS building_name, primary_use, sq_footage, {R("kwh", 1)} AS avg_daily_kwh,
+  {R("intensity", 6)} AS co2e_per_sqft, 1 + (SELECT count(*) FROM stats lower WHERE lower.intensity < stats.intensity)
+    AS efficiency_rank,
+  ['Excellent', 'Good', 'Average', 'Needs Improvement'][
+    1 + CAST(intensity >= cut[1] AS INT) + CAST(intensity >= cut[2] AS INT) + CAST(intensity >= cut[3] AS INT)]
+    AS efficiency_rating, {R("spread", 1)} AS consumption_variability, {D("low")} AS min_kwh, {D("high")} AS max_kwh
+FROM stats, (SELECT quantile_cont(intensity, [0.25, 0.5, 0.75]) AS cut FROM stats) q""", more(f"""stats AS (
+  SELECT {BUILDING}, {MEAN_KWH} AS kwh, {MEAN_CO2E} / sq_footage AS intensity, stddev_samp(consumption_kwh) AS spread,
+    min(consumption_kwh) AS low, max(consumption_kwh) AS high
+  FROM metered WHERE {recent(1, "date_time")} GROUP BY {BUILDING})"""))
+
+
+def ranked(sign: str) -> str:
+    """Ranks counted as 1 + number of buildings ahead."""
     return f"""
-SELECT building_id, name, primary_use, sq_footage, total_co2e, total_consumption_kwh, co2e_per_sqft, record_count,
-  emission_rank, efficiency_rank,
-  CASE WHEN (n - efficiency_rank + 1) / CAST(n AS DOUBLE) >= 0.75 THEN 'Excellent'
-    WHEN (n - efficiency_rank + 1) / CAST(n AS DOUBLE) >= 0.5 THEN 'Good'
-    WHEN (n - efficiency_rank + 1) / CAST(n AS DOUBLE) >= 0.25 THEN 'Average' ELSE 'Needs Improvement' END AS efficiency_rating
-FROM (
-  SELECT b.building_id, b.name, b.primary_use, b.sq_footage, {D("COALESCE(SUM(ec.co2e_emitted), 0)")} AS total_co2e,
-    {D("COALESCE(SUM(ec.consumption_kwh), 0)")} AS total_consumption_kwh,
-    COALESCE({Q("SUM(ec.co2e_emitted)", "b.sq_footage")}, 0) AS co2e_per_sqft, COUNT(ec.record_id) AS record_count,
-    RANK() OVER (ORDER BY COALESCE(SUM(ec.co2e_emitted), 0) DESC) AS emission_rank,
-    RANK() OVER (ORDER BY COALESCE({Q("SUM(ec.co2e_emitted)", "b.sq_footage")}, 0) {direction}) AS efficiency_rank,
-    COUNT(*) OVER () AS n
-  FROM buildings b LEFT JOIN energy ec ON b.building_id = ec.building_id
-    AND ec.date_time >= {TODAY} - INTERVAL '30 days'
-  GROUP BY b.building_id, b.name, b.primary_use, b.sq_footage) r"""
-
-
-sql("building_performance_ranked", ranked("DESC"))
-sql("building_performance_partitioned", ranked("DESC"))
-sql("building_performance_lowest_first", ranked("ASC"))
-sql("building_type_summary", f"""
-SELECT b.primary_use, COUNT(b.building_id) AS building_count, CAST(SUM(b.sq_footage) AS BIGINT) AS total_sq_footage,
-  {Q("SUM(b.sq_footage)", "COUNT(b.sq_footage)")} AS avg_sq_footage,
-  {D("COALESCE(SUM(ec.co2e_emitted), 0)")} AS total_co2e,
-  COALESCE({Q("SUM(ec.co2e_emitted)", "COUNT(ec.co2e_emitted)")}, 0) AS avg_co2e_per_record,
-  {D("COALESCE(SUM(ec.consumption_kwh), 0)")} AS total_consumption_kwh,
-  COALESCE({Q("SUM(ec.co2e_emitted)", "SUM(b.sq_footage)")}, 0) AS co2e_per_sqft
-FROM buildings b LEFT JOIN energy ec ON b.building_id = ec.building_id AND ec.date_time >= {TODAY} - INTERVAL '30 days'
-GROUP BY b.primary_use""")
-sql("building_type_summary_dedup", f"""
-SELECT b.primary_use, COUNT(*) AS building_count, CAST(SUM(b.sq_footage) AS BIGINT) AS total_sq_footage,
-  {Q("SUM(b.sq_footage)", "COUNT(*)")} AS avg_sq_footage, {D("COALESCE(SUM(p.co2e), 0)")} AS total_co2e,
-  COALESCE({Q("SUM(p.co2e)", "SUM(p.n)")}, 0) AS avg_co2e_per_record,
-  {D("COALESCE(SUM(p.kwh), 0)")} AS total_consumption_kwh, COALESCE({Q("SUM(p.co2e)", "SUM(b.sq_footage)")}, 0) AS co2e_per_sqft
-FROM buildings b LEFT JOIN (SELECT building_id, COUNT(*) AS n, SUM(co2e_emitted) AS co2e, SUM(consumption_kwh) AS kwh
-  FROM energy WHERE date_time >= {TODAY} - INTERVAL '30 days' GROUP BY building_id) p ON p.building_id = b.building_id
-GROUP BY b.primary_use""")
+SELECT * EXCLUDE (place), ['Needs Improvement', 'Average', 'Good', 'Excellent', 'Excellent'][1 + CAST(floor(place * 4) AS INT)]
+  AS efficiency_rating
+FROM (SELECT *, (count(*) OVER () - efficiency_rank + 1) / CAST(count(*) OVER () AS DOUBLE) AS place FROM (
+  SELECT *, 1 + (SELECT count(*) FROM per o WHERE o.total_co2e > per.total_co2e) AS emission_rank,
+    1 + (SELECT count(*) FROM per o WHERE o.co2e_per_sqft {sign} per.co2e_per_sqft) AS efficiency_rank
+  FROM per) r) x""", more(f"""per AS (
+  SELECT {BUILDING}, {zero(SUM_CO2E)} AS total_co2e, {zero(SUM_KWH)} AS total_consumption_kwh,
+    COALESCE({Q(SUM_CO2E, "sq_footage")}, 0) AS co2e_per_sqft, COUNT(record_id) AS record_count
+  FROM {with_readings(LAST_30)} GROUP BY {BUILDING})""")
+
+
+sql("building_performance_ranked", *ranked(">"))
+sql("building_performance_partitioned", *ranked(">"))
+sql("building_performance_lowest_first", *ranked("<"))
+
+
+def by_use(source: str, records: str) -> str:
+    return f"""
+SELECT primary_use, COUNT(*) AS building_count, CAST(SUM(sq_footage) AS BIGINT) AS total_sq_footage,
+  {Q("SUM(sq_footage)", "COUNT(*)")} AS avg_sq_footage, {zero(SUM_CO2E)} AS total_co2e,
+  COALESCE({Q(SUM_CO2E, records)}, 0) AS avg_co2e_per_record, {zero(SUM_KWH)} AS total_consumption_kwh,
+  COALESCE({Q(SUM_CO2E, "SUM(sq_footage)")}, 0) AS co2e_per_sqft
+FROM {source} GROUP BY primary_use"""
+
+
+sql("building_type_summary", by_use(with_readings(LAST_30), "COUNT(record_id)"))
+sql("building_type_summary_dedup", by_use(f"""buildings LEFT JOIN (
+  SELECT building_id, COUNT(*) AS n, {SUM_CO2E} AS co2e_emitted, {SUM_KWH} AS consumption_kwh
+  FROM energy WHERE {LAST_30} GROUP BY building_id) m USING (building_id)""", "SUM(n)"))
 sql("building_recent", f"""
-SELECT b.building_id, b.name AS building_name, COUNT(ec.record_id) AS total_records,
-  {D("COALESCE(SUM(ec.consumption_kwh), 0)")} AS total_consumption_kwh,
-  {D("COALESCE(SUM(ec.co2e_emitted), 0)")} AS total_co2e_emitted,
-  COALESCE({Q("SUM(ec.consumption_kwh)", "COUNT(ec.consumption_kwh)")}, 0) AS avg_consumption_kwh,
-  COALESCE({Q("SUM(ec.co2e_emitted)", "COUNT(ec.co2e_emitted)")}, 0) AS avg_co2e_emitted,
-  CASE WHEN b.sq_footage > 0 THEN COALESCE({Q("SUM(ec.co2e_emitted)", "b.sq_footage")}, 0) ELSE 0 END AS co2e_per_sqft
-FROM buildings b LEFT JOIN energy ec ON b.building_id = ec.building_id AND ec.date_time >= {TODAY} - INTERVAL '30 days'
-GROUP BY b.building_id, b.name, b.sq_footage""")
+SELECT building_id, name AS building_name, COUNT(record_id) AS total_records, {zero(SUM_KWH)} AS total_consumption_kwh,
+  {zero(SUM_CO2E)} AS total_co2e_emitted, COALESCE({MEAN_KWH}, 0) AS avg_consumption_kwh,
+  COALESCE({MEAN_CO2E}, 0) AS avg_co2e_emitted, COALESCE({Q(SUM_CO2E, "sq_footage")}, 0) AS co2e_per_sqft
+FROM {with_readings(LAST_30)} GROUP BY {BUILDING}""")
 sql("building_source_mix", f"""
-SELECT building_id, source, COUNT(record_id) AS record_count, {D("SUM(consumption_kwh)")} AS total_consumption_kwh,
-  {D("SUM(co2e_emitted)")} AS total_co2e_emitted
-FROM energy WHERE date_time >= {TODAY} - INTERVAL '30 days' GROUP BY building_id, source""")
+SELECT building_id, source, COUNT(*) AS record_count, {D(SUM_KWH)} AS total_consumption_kwh, {D(SUM_CO2E)} AS total_co2e_emitted
+FROM energy WHERE {LAST_30} GROUP BY building_id, source""")
 sql("building_listing", """
 SELECT building_id, name, sq_footage, primary_use, CAST(NULL AS TIMESTAMP) AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at
-FROM buildings ORDER BY name, building_id LIMIT 5 OFFSET 5""")
+FROM buildings QUALIFY row_number() OVER (ORDER BY name, building_id) BETWEEN 6 AND 10""")
 
 # --- energy ---------------------------------------------------------------------------------
 sql("energy_source_breakdown", f"""
-SELECT source, COUNT(*) AS record_count, {D("SUM(consumption_kwh)")} AS total_consumption_kwh,
-  {D("SUM(co2e_emitted)")} AS total_co2e_kg, {Q("SUM(consumption_kwh)", "COUNT(*)")} AS avg_consumption_kwh
-FROM energy WHERE CAST(date_time AS DATE) {YEAR} GROUP BY source""")
+SELECT source, COUNT(*) AS record_count, {D(SUM_KWH)} AS total_consumption_kwh, {D(SUM_CO2E)} AS total_co2e_kg,
+  {MEAN_KWH} AS avg_consumption_kwh FROM energy WHERE {on_days(YEAR)} GROUP BY source""")
 sql("monthly_energy_trend", f"""
-SELECT CAST(date_trunc('month', date_time) AS DATE) AS month, {D("SUM(co2e_emitted)")} AS monthly_co2e
-FROM energy WHERE date_time >= {TODAY} - INTERVAL '6 months' GROUP BY 1""")
+SELECT {month("date_time")} AS month, {D(SUM_CO2E)} AS monthly_co2e FROM energy WHERE {recent(6, "date_time")} GROUP BY month""")
+# Compared with the latest earlier month that has readings.
 sql("monthly_building_mom", f"""
-SELECT month, building_id, building_name, {D("kwh")} AS monthly_kwh, {D("co2e")} AS monthly_co2e,
-  {D("prev")} AS previous_month_co2e,
-  {R("(CAST(co2e AS DOUBLE) - CAST(prev AS DOUBLE)) / NULLIF(CAST(prev AS DOUBLE), 0) * 100", 2)}
+SELECT month, building_id, name AS building_name, {D("kwh")} AS monthly_kwh, {D("kg")} AS monthly_co2e,
+  {D("earlier")} AS previous_month_co2e,
+  {R("(CAST(kg AS DOUBLE) - CAST(earlier AS DOUBLE)) / NULLIF(CAST(earlier AS DOUBLE), 0) * 100", 2)}
     AS month_over_month_change_percent
-FROM (SELECT *, LAG(co2e) OVER (PARTITION BY building_id ORDER BY month) AS prev FROM (
-  SELECT CAST(date_trunc('month', ec.date_time) AS DATE) AS month, b.building_id, b.name AS building_name,
-    SUM(ec.consumption_kwh) AS kwh, SUM(ec.co2e_emitted) AS co2e
-  FROM energy ec JOIN buildings b ON ec.building_id = b.building_id
-  WHERE ec.date_time >= {TODAY} - INTERVAL '6 months' GROUP BY 1, 2, 3) m) w""")
+FROM (SELECT *, (SELECT arg_max(o.kg, o.month) FROM per o WHERE o.building_id = per.building_id AND o.month < per.month)
+  AS earlier FROM per) x""", more(f"""per AS (
+  SELECT {month("date_time")} AS month, building_id, name, {SUM_KWH} AS kwh, {SUM_CO2E} AS kg
+  FROM metered WHERE {recent(6, "date_time")} GROUP BY 1, 2, 3)"""))
 
 
 def by_building(condition: str) -> str:
     return f"""
-SELECT b.building_id, b.name AS building_name, b.primary_use, b.sq_footage, COUNT(ec.record_id) AS total_records,
-  {D("SUM(ec.consumption_kwh)")} AS total_consumption_kwh, {D("SUM(ec.co2e_emitted)")} AS total_co2e_emitted,
-  {Q("SUM(ec.consumption_kwh)", "COUNT(ec.record_id)")} AS avg_consumption_kwh,
-  {Q("SUM(ec.co2e_emitted)", "COUNT(ec.record_id)")} AS avg_co2e_emitted,
-  {Q("SUM(ec.co2e_emitted)", "b.sq_footage")} AS co2e_per_sqft
-FROM buildings b LEFT JOIN energy ec ON b.building_id = ec.building_id AND {condition}
-GROUP BY b.building_id, b.name, b.primary_use, b.sq_footage"""
-
-
-sql("energy_summary_by_building", by_building(f"CAST(ec.date_time AS DATE) {MONTH}"))
-sql("energy_summary_public", by_building(
-    f"CAST(ec.date_time AS DATE) {YEAR} AND ec.source = 'gas' AND ec.date_time >= {TODAY} - INTERVAL '30 days'"))
+SELECT building_id, name AS building_name, primary_use, sq_footage, COUNT(record_id) AS total_records,
+  {D(SUM_KWH)} AS total_consumption_kwh, {D(SUM_CO2E)} AS total_co2e_emitted, {MEAN_KWH} AS avg_consumption_kwh,
+  {MEAN_CO2E} AS avg_co2e_emitted, {Q(SUM_CO2E, "sq_footage")} AS co2e_per_sqft
+FROM {with_readings(condition)} GROUP BY {BUILDING}"""
+
+
+sql("energy_summary_by_building", by_building(on_days(MONTH)))
+sql("energy_summary_public", by_building(f"{on_days(YEAR)} AND source = 'gas' AND {LAST_30}"))
 for _period, _unit in (("hourly", "hour"), ("daily", "day"), ("weekly", "week"), ("monthly", "month")):
     sql(f"energy_trends_{_period}", f"""
-SELECT CAST(date_trunc('{_unit}', date_time) AS TIMESTAMP) AS period, COUNT(record_id) AS record_count,
-  {D("SUM(consumption_kwh)")} AS total_consumption_kwh, {D("SUM(co2e_emitted)")} AS total_co2e_emitted,
-  {Q("SUM(consumption_kwh)", "COUNT(*)")} AS avg_consumption_kwh, {Q("SUM(co2e_emitted)", "COUNT(*)")} AS avg_co2e_emitted
-FROM energy WHERE CAST(date_time AS DATE) {MONTH} GROUP BY 1""")
+SELECT CAST(date_trunc('{_unit}', date_time) AS TIMESTAMP) AS period, COUNT(*) AS record_count,
+  {D(SUM_KWH)} AS total_consumption_kwh, {D(SUM_CO2E)} AS total_co2e_emitted, {MEAN_KWH} AS avg_consumption_kwh,
+  {MEAN_CO2E} AS avg_co2e_emitted FROM energy WHERE {on_days(MONTH)} GROUP BY period""")
 sql("peak_hours", f"""
-SELECT building_name, CAST(h AS VARCHAR) || ':00' AS peak_hour, {R("kwh", 1)} AS peak_kwh, {R("co2e", 3)} AS peak_co2e_kg,
-  consumption_rank
-FROM (SELECT *, RANK() OVER (PARTITION BY building_id ORDER BY kwh DESC NULLS FIRST) AS consumption_rank FROM (
-  SELECT b.building_id, b.name AS building_name, EXTRACT(HOUR FROM ec.date_time) AS h,
-    {Q("SUM(ec.consumption_kwh)", "COUNT(*)")} AS kwh, {Q("SUM(ec.co2e_emitted)", "COUNT(*)")} AS co2e
-  FROM energy ec JOIN buildings b ON ec.building_id = b.building_id
-  WHERE ec.date_time >= {TODAY} - INTERVAL '30 days' GROUP BY 1, 2, 3) a) p
-WHERE consumption_rank <= 3""")
+SELECT name AS building_name, CAST(h AS VARCHAR) || ':00' AS peak_hour, {R("kwh", 1)} AS peak_kwh,
+  {R("kg", 3)} AS peak_co2e_kg, place AS consumption_rank
+FROM (SELECT *, 1 + (SELECT count(*) FROM per o WHERE o.building_id = per.building_id AND o.kwh > per.kwh) AS place
+  FROM per) x WHERE place <= 3""", more(f"""per AS (
+  SELECT building_id, name, hour(date_time) AS h, {MEAN_KWH} AS kwh, {MEAN_CO2E} AS kg
+  FROM metered WHERE {LAST_30} GROUP BY 1, 2, 3)"""))
 sql("daily_energy_activity", f"""
-SELECT CAST(date_time AS DATE) AS date, {D("SUM(co2e_emitted)")} AS daily_energy_co2e,
-  COUNT(DISTINCT building_id) AS active_buildings
-FROM energy WHERE CAST(date_time AS DATE) {QUARTER} GROUP BY 1 ORDER BY 1 DESC LIMIT 30""")
+SELECT CAST(date_time AS DATE) AS date, {D(SUM_CO2E)} AS daily_energy_co2e, COUNT(DISTINCT building_id) AS active_buildings
+FROM energy WHERE {on_days(QUARTER)} GROUP BY 1 QUALIFY row_number() OVER (ORDER BY CAST(date_time AS DATE) DESC) <= 30""")
 
 
-def reading_page(condition: str, window: str) -> str:
+def reading_page(condition: str, low: int, high: int) -> str:
     return f"""
-SELECT ec.record_id, ec.date_time, ec.source, {D("ec.consumption_kwh")} AS consumption_kwh,
-  {D("ec.co2e_emitted")} AS co2e_emitted, b.name AS building_name, b.primary_use, b.sq_footage
-FROM energy ec INNER JOIN buildings b ON ec.building_id = b.building_id {condition}
-ORDER BY ec.date_time DESC NULLS FIRST, ec.record_id DESC, b.name DESC, ec.consumption_kwh DESC, ec.source DESC {window}"""
+SELECT record_id, date_time, source, {D("consumption_kwh")} AS consumption_kwh, {D("co2e_emitted")} AS co2e_emitted,
+  name AS building_name, primary_use, sq_footage
+FROM metered WHERE {condition} QUALIFY row_number() OVER (ORDER BY date_time DESC, record_id DESC, name DESC,
+  metered.consumption_kwh DESC, source DESC) BETWEEN {low} AND {high}"""
 
 
-RECENT_ONLY = f"WHERE ec.date_time >= {TODAY} - INTERVAL '30 days'"
-sql("energy_listing", reading_page("", "LIMIT 50 OFFSET 100"))
-sql("energy_listing_public", reading_page(RECENT_ONLY, "LIMIT 50"))
+sql("energy_listing", reading_page("TRUE", 101, 150))
+sql("energy_listing_public", reading_page(LAST_30, 1, 50))
+sql("energy_listing_info", info("metered", 3, 50))
 
+# --- transport ------------------------------------------------------------------------------
+sql("transport_mode_breakdown", f"""
+SELECT mode, COUNT(*) AS trip_count, {D(SUM_KM)} AS total_distance_km, {D(SUM_CO2E)} AS total_co2e_kg,
+  {MEAN_KM} AS avg_distance_km FROM trips WHERE date {YEAR} GROUP BY mode""")
 
-def info(source: str, number: int, size: int) -> str:
-    return f"""
-SELECT {number} AS current_page, CAST(ceil(n / {size}.0) AS BIGINT) AS total_pages, n AS total_records,
-  {number} < ceil(n / {size}.0) AS has_next, {number} > 1 AS has_prev FROM (SELECT COUNT(*) AS n FROM {source}) c"""
 
+def with_trips(condition: str) -> str:
+    """Every user beside each of their trips meeting the condition, once alone without any."""
+    return f"users LEFT JOIN (SELECT * EXCLUDE (created_at) FROM trips WHERE {condition}) m USING (user_id)"
 
-sql("energy_listing_info", info("energy ec JOIN buildings b ON ec.building_id = b.building_id", 3, 50))
 
-# --- transport ------------------------------------------------------------------------------
-sql("transport_mode_breakdown", f"""
-SELECT mode, COUNT(*) AS trip_count, {D("SUM(distance_km)")} AS total_distance_km, {D("SUM(co2e_emitted)")} AS total_co2e_kg,
-  {Q("SUM(distance_km)", "COUNT(*)")} AS avg_distance_km
-FROM trips WHERE date {YEAR} GROUP BY mode""")
 sql("user_footprint", f"""
-SELECT u.user_id, u.email, u.first_name, u.last_name, u.department,
-  {D("COALESCE(SUM(tl.co2e_emitted), 0)")} AS total_transport_co2e, COUNT(tl.trip_id) AS total_trips
-FROM users u LEFT JOIN trips tl ON u.user_id = tl.user_id WHERE u.role = 'user'
-GROUP BY u.user_id, u.email, u.first_name, u.last_name, u.department""")
+SELECT user_id, email, first_name, last_name, department, {zero(SUM_CO2E)} AS total_transport_co2e,
+  COUNT(trip_id) AS total_trips
+FROM {with_trips("TRUE")} WHERE role = 'user' GROUP BY 1, 2, 3, 4, 5""")
 
 
-def patterns(join: str, condition: str, tail: str) -> str:
+def patterns(condition: str, tail: str = "") -> tuple[str, str]:
     return f"""
-SELECT user_id, first_name || ' ' || last_name AS full_name, department, total_trips,
-  CAST(round(km, 1) AS DOUBLE) AS total_distance_km, CAST(round(co2e, 2) AS DOUBLE) AS total_co2e_kg,
-  {R(Q("km", "total_trips"), 1)} AS avg_trip_distance_km, transport_modes_used,
-  RANK() OVER (ORDER BY co2e DESC NULLS FIRST) AS co2e_rank,
-  {R("PERCENT_RANK() OVER (ORDER BY co2e NULLS LAST) * 100", 1)} AS co2e_percentile
-FROM (
-  SELECT u.user_id, u.first_name, u.last_name, u.department, COUNT(tl.trip_id) AS total_trips,
-    SUM(tl.distance_km) AS km, SUM(tl.co2e_emitted) AS co2e,
-    STRING_AGG(DISTINCT tl.mode, ', ' ORDER BY tl.mode) AS transport_modes_used
-  FROM users u {join} JOIN trips tl ON u.user_id = tl.user_id WHERE {condition}
-  GROUP BY u.user_id, u.first_name, u.last_name, u.department) s
-WHERE total_trips > 0 {tail}"""
-
-
-RECENT_OR_NONE = f"u.role = 'user' AND (tl.date IS NULL OR tl.date >= {TODAY} - INTERVAL '3 months')"
-sql("user_transport_patterns", patterns("LEFT", RECENT_OR_NONE, ""))
-sql("user_transport_patterns_partitioned", patterns("LEFT", RECENT_OR_NONE, ""))
+SELECT user_id, user_name AS full_name, department, n AS total_trips, CAST(round(km, 1) AS DOUBLE) AS total_distance_km,
+  CAST(round(kg, 2) AS DOUBLE) AS total_co2e_kg, {R(Q("km", "n"), 1)} AS avg_trip_distance_km, modes AS transport_modes_used,
+  rank() OVER (ORDER BY kg DESC) AS co2e_rank, {R("percent_rank() OVER (ORDER BY kg) * 100", 1)} AS co2e_percentile
+FROM per {tail}""", more(f"""per AS (
+  SELECT user_id, user_name, department, COUNT(*) AS n, {SUM_KM} AS km, {SUM_CO2E} AS kg,
+    array_to_string(list_sort(list_distinct(list(mode))), ', ') AS modes
+  FROM travelled WHERE {condition} GROUP BY 1, 2, 3)""")
+
+
 FIRST_TWENTY = "ORDER BY total_co2e_kg DESC, user_id LIMIT 20"
-sql("user_transport_patterns_range", patterns("INNER", f"tl.date {QUARTER}", FIRST_TWENTY))
-sql("user_transport_patterns_department", patterns(
-    "INNER", f"tl.date {YEAR} AND u.department = 'MACHINERY'", FIRST_TWENTY))
+for _name in ("user_transport_patterns", "user_transport_patterns_partitioned"):
+    sql(_name, *patterns(f"role = 'user' AND {recent(3)}"))
+sql("user_transport_patterns_range", *patterns(f"date {QUARTER}", FIRST_TWENTY))
+sql("user_transport_patterns_department", *patterns(f"date {YEAR} AND department = 'MACHINERY'", FIRST_TWENTY))
 sql("user_recent_trip_stats", f"""
-SELECT u.user_id, u.department, COUNT(tl.trip_id) AS total_trips, {D("SUM(tl.distance_km)")} AS total_distance_km,
-  {D("SUM(tl.co2e_emitted)")} AS total_co2e_kg
-FROM users u LEFT JOIN trips tl ON u.user_id = tl.user_id WHERE {RECENT_OR_NONE} GROUP BY u.user_id, u.department""")
+SELECT user_id, department, COUNT(trip_id) AS total_trips, {D(SUM_KM)} AS total_distance_km, {D(SUM_CO2E)} AS total_co2e_kg
+FROM {with_trips("TRUE")} WHERE role = 'user' AND (date IS NULL OR {recent(3)}) GROUP BY 1, 2""")
 sql("department_summary", f"""
-SELECT u.department, COUNT(DISTINCT u.user_id) AS user_count, COUNT(tl.trip_id) AS total_trips,
-  {D("SUM(tl.distance_km)")} AS total_distance_km, {D("SUM(tl.co2e_emitted)")} AS total_co2e_kg,
-  {Q("SUM(tl.co2e_emitted)", "COUNT(*)")} AS avg_co2e_per_user,
-  {Q("SUM(tl.co2e_emitted)", "COUNT(DISTINCT u.user_id)")} AS avg_co2e_per_distinct_user
-FROM users u INNER JOIN trips tl ON u.user_id = tl.user_id WHERE tl.date {QUARTER} GROUP BY u.department""")
+SELECT department, COUNT(DISTINCT user_id) AS user_count, COUNT(*) AS total_trips, {D(SUM_KM)} AS total_distance_km,
+  {D(SUM_CO2E)} AS total_co2e_kg, {MEAN_CO2E} AS avg_co2e_per_user,
+  {Q(SUM_CO2E, "COUNT(DISTINCT user_id)")} AS avg_co2e_per_distinct_user
+FROM travelled WHERE date {QUARTER} GROUP BY department""")
 sql("user_activity_summary", f"""
-SELECT COUNT(DISTINCT u.user_id) AS total_users, COUNT(DISTINCT tl.user_id) AS active_users,
-  COUNT(tl.trip_id) AS total_trips, {D("SUM(tl.co2e_emitted)")} AS total_transport_co2e
-FROM users u LEFT JOIN trips tl ON u.user_id = tl.user_id AND tl.date {MONTH} WHERE u.role = 'user'""")
+SELECT COUNT(DISTINCT user_id) AS total_users, COUNT(DISTINCT CASE WHEN trip_id IS NOT NULL THEN user_id END) AS active_users,
+  COUNT(trip_id) AS total_trips, {D(SUM_CO2E)} AS total_transport_co2e
+FROM {with_trips(f"date {MONTH}")} WHERE role = 'user'""")
 for _name, _months in (("personal_footprint", 3), ("personal_footprint_year", 12)):
     sql(_name, f"""
-SELECT u.user_id, COUNT(tl.trip_id) AS total_trips, {D("COALESCE(SUM(tl.distance_km), 0)")} AS total_distance_km,
-  {D("COALESCE(SUM(tl.co2e_emitted), 0)")} AS total_co2e_kg,
-  COALESCE({Q("SUM(tl.distance_km)", "COUNT(tl.trip_id)")}, 0) AS avg_trip_distance
-FROM users u LEFT JOIN trips tl ON tl.user_id = u.user_id AND tl.date >= {TODAY} - INTERVAL '{_months} months'
-GROUP BY u.user_id""")
+SELECT user_id, COUNT(trip_id) AS total_trips, {zero(SUM_KM)} AS total_distance_km, {zero(SUM_CO2E)} AS total_co2e_kg,
+  COALESCE({MEAN_KM}, 0) AS avg_trip_distance FROM {with_trips(recent(_months))} GROUP BY user_id""")
 sql("user_vs_campus_average", f"""
-SELECT p.user_id, {D("p.total")} AS user_co2e, COALESCE(c.a, 0) AS campus_avg_co2e,
-  {R("CAST(p.total AS DOUBLE) / NULLIF(c.a, 0) * 100 - 100", 1)} AS percentage_vs_average
-FROM per p, (SELECT {Q("SUM(total)", "COUNT(total)")} AS a FROM per JOIN users u ON u.user_id = per.user_id
-  WHERE u.role = 'user') c""", more(f"""per AS (
-  SELECT user_id, SUM(co2e_emitted) AS total FROM trips WHERE date >= {TODAY} - INTERVAL '3 months' GROUP BY user_id)"""))
+SELECT user_id, {D("total")} AS user_co2e, COALESCE(a, 0) AS campus_avg_co2e,
+  {R("CAST(total AS DOUBLE) / NULLIF(a, 0) * 100 - 100", 1)} AS percentage_vs_average
+FROM per, (SELECT {Q("SUM(total)", "COUNT(total)")} AS a FROM per WHERE role = 'user') c""", more(f"""per AS (
+  SELECT user_id, role, {SUM_CO2E} AS total FROM travelled WHERE {recent(3)} GROUP BY user_id, role)"""))
 sql("personal_monthly_trend", f"""
-SELECT user_id, CAST(date_trunc('month', date) AS DATE) AS month, {D("SUM(co2e_emitted)")} AS monthly_co2e,
-  COUNT(trip_id) AS monthly_trips
-FROM trips WHERE date >= {TODAY} - INTERVAL '6 months' GROUP BY 1, 2""")
+SELECT user_id, {month("date")} AS month, {D(SUM_CO2E)} AS monthly_co2e, COUNT(*) AS monthly_trips
+FROM trips WHERE {recent(6)} GROUP BY 1, 2""")
 sql("personal_mode_breakdown", f"""
-SELECT user_id, mode, COUNT(trip_id) AS trip_count, {D("SUM(distance_km)")} AS total_distance,
-  {D("SUM(co2e_emitted)")} AS total_co2e, {Q("SUM(distance_km)", "COUNT(*)")} AS avg_distance
-FROM trips WHERE date >= {TODAY} - INTERVAL '3 months' GROUP BY user_id, mode""")
+SELECT user_id, mode, COUNT(*) AS trip_count, {D(SUM_KM)} AS total_distance, {D(SUM_CO2E)} AS total_co2e,
+  {MEAN_KM} AS avg_distance FROM trips WHERE {recent(3)} GROUP BY user_id, mode""")
 sql("personal_weekly_trend", f"""
-SELECT user_id, CAST(date_trunc('week', date) AS TIMESTAMP) AS week, COUNT(trip_id) AS weekly_trips,
-  {D("SUM(distance_km)")} AS weekly_distance, {D("SUM(co2e_emitted)")} AS weekly_co2e
-FROM trips WHERE date >= {TODAY} - INTERVAL '3 months' GROUP BY 1, 2""")
-TRIP = f"""trip_id, date, mode, {D("distance_km")} AS distance_km, {D("co2e_emitted")} AS co2e_emitted"""
+SELECT user_id, CAST(date_trunc('week', date) AS TIMESTAMP) AS week, COUNT(*) AS weekly_trips,
+  {D(SUM_KM)} AS weekly_distance, {D(SUM_CO2E)} AS weekly_co2e FROM trips WHERE {recent(3)} GROUP BY 1, 2""")
+TRIP = f"""trip_id, date, mode, {D("distance_km")} AS distance_km, {D("co2e_emitted")} AS co2e_emitted, created_at"""
+NEWEST_TRIP = "ORDER BY date DESC, created_at DESC, trip_id DESC"
 sql("trip_listing", f"""
-SELECT user_id, {TRIP}, created_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id
-  ORDER BY date DESC, created_at DESC, trip_id DESC) AS place FROM trips) t WHERE place <= 5""")
+SELECT user_id, {TRIP} FROM trips QUALIFY row_number() OVER (PARTITION BY user_id {NEWEST_TRIP}) <= 5""")
 
 
-def all_trips(condition: str, window: str) -> str:
+def all_trips(condition: str, low: int) -> str:
     return f"""
-SELECT {TRIP}, tl.created_at, u.first_name || ' ' || u.last_name AS user_name, u.email, u.department
-FROM trips tl INNER JOIN users u ON tl.user_id = u.user_id {condition}
-ORDER BY date DESC, tl.created_at DESC, trip_id DESC {window}"""
+SELECT {TRIP}, user_name, email, department FROM travelled WHERE {condition}
+QUALIFY row_number() OVER ({NEWEST_TRIP}) BETWEEN {low} AND {low + 49}"""
 
 
-sql("trip_listing_admin", all_trips("", "LIMIT 50 OFFSET 50"))
-sql("trip_listing_filtered", all_trips(
-    f"WHERE mode = 'train' AND u.department = 'BUILDING' AND date {YEAR}", "LIMIT 50"))
-sql("trip_listing_after", all_trips("""WHERE date < DATE '2001-06-01' OR (date = DATE '2001-06-01' AND
-  (tl.created_at < TIMESTAMP '2001-06-01' OR (tl.created_at = TIMESTAMP '2001-06-01' AND trip_id < 0)))""", "LIMIT 50"))
-sql("trip_listing_info", info("trips tl JOIN users u ON tl.user_id = u.user_id", 2, 50))
+sql("trip_listing_admin", all_trips("TRUE", 51))
+sql("trip_listing_filtered", all_trips(f"mode = 'train' AND department = 'BUILDING' AND date {YEAR}", 1))
+sql("trip_listing_after", all_trips("(date, created_at, trip_id) < (DATE '2001-06-01', TIMESTAMP '2001-06-01', 0)", 1))
+sql("trip_listing_info", info("travelled", 2, 50))
 sql("user_directory", """
 SELECT user_id, email, role, first_name, last_name, department, created_at, updated_at FROM users""")
 
 # --- initiatives ----------------------------------------------------------------------------
-RATE = "CASE WHEN t > 0 THEN " + R("COALESCE(" + Q("a", "t") + ", 0) * 100", 1) + " ELSE 0 END"
+TARGET, ACTUAL = "target_reduction_tco2e", "actual_reduction_tco2e"
+SHARE = f"{Q(ACTUAL, TARGET)} * 100"
+SUM_TARGET, SUM_ACTUAL = f"SUM({TARGET})", f"SUM({ACTUAL})"
 
 
 def rate(actual: str, target: str) -> str:
-    return f"CASE WHEN {target} > 0 THEN {R(f'COALESCE({Q(actual, target)}, 0) * 100', 1)} ELSE 0 END"
+    return f"COALESCE({R(f'CASE WHEN {target} > 0 THEN {Q(actual, target)} * 100 END', 1)}, 0)"
+
+
+def count_of(status: str) -> str:
+    return f"COUNT(*) FILTER (WHERE status = '{status}')"
 
 
+CREATED = """initiatives LEFT JOIN (SELECT user_id AS created_by, email, concat(first_name, ' ', last_name) AS created_by_name
+  FROM users) c USING (created_by)"""
 sql("initiative_effectiveness", f"""
-SELECT *, CASE WHEN achievement_percentage >= 100 THEN 'Excellent' WHEN achievement_percentage >= 75 THEN 'Good'
-  WHEN achievement_percentage >= 50 THEN 'Fair' ELSE 'Needs Improvement' END AS effectiveness_rating
-FROM (SELECT i.initiative_id, i.name AS initiative_name, i.status, {D("i.target_reduction_tco2e")} AS target_reduction_tco2e,
-  {D("i.actual_reduction_tco2e")} AS actual_reduction_tco2e,
-  {R(Q("i.actual_reduction_tco2e", "i.target_reduction_tco2e") + " * 100", 1)} AS achievement_percentage,
-  CASE WHEN i.end_date IS NULL THEN NULL ELSE date_diff('day', i.start_date, i.end_date) END AS planned_duration_days,
-  CASE WHEN i.status = 'completed' AND i.end_date IS NOT NULL THEN date_diff('day', i.start_date, {TODAY})
-    WHEN i.status = 'active' THEN date_diff('day', i.start_date, {TODAY}) ELSE NULL END AS actual_duration_days,
-  u.first_name || ' ' || u.last_name AS created_by_name, i.created_at, i.start_date, i.end_date
-FROM initiatives i LEFT JOIN users u ON i.created_by = u.user_id) x""")
+SELECT initiative_id, name AS initiative_name, status, {D(TARGET)} AS target_reduction_tco2e,
+  {D(ACTUAL)} AS actual_reduction_tco2e, share AS achievement_percentage,
+  date_diff('day', start_date, end_date) AS planned_duration_days,
+  CASE WHEN status = 'active' OR (status = 'completed' AND end_date IS NOT NULL)
+    THEN date_diff('day', start_date, {TODAY}) END AS actual_duration_days,
+  created_by_name, created_at, start_date, end_date,
+  COALESCE((SELECT label FROM (VALUES (100, 'Excellent'), (75, 'Good'), (50, 'Fair')) v(low, label)
+    WHERE share >= low ORDER BY low DESC LIMIT 1), 'Needs Improvement') AS effectiveness_rating
+FROM (SELECT *, {R(SHARE, 1)} AS share FROM {CREATED}) x""")
 sql("initiative_effectiveness_summary", f"""
-SELECT COUNT(*) AS total_initiatives, COUNT(CASE WHEN status = 'completed' THEN 1 END) AS completed_count,
-  COUNT(CASE WHEN status = 'active' THEN 1 END) AS active_count,
-  {D("COALESCE(SUM(target_reduction_tco2e), 0)")} AS total_target, {D("COALESCE(SUM(actual_reduction_tco2e), 0)")} AS total_actual,
-  {R(f'''COALESCE(AVG(CASE WHEN target_reduction_tco2e > 0 THEN
-    {Q("actual_reduction_tco2e", "target_reduction_tco2e")} * 100 END), 0)''', 1)} AS avg_achievement_rate
+SELECT COUNT(*) AS total_initiatives, {count_of("completed")} AS completed_count, {count_of("active")} AS active_count,
+  {zero(SUM_TARGET)} AS total_target, {zero(SUM_ACTUAL)} AS total_actual,
+  {R(f"COALESCE(AVG({SHARE}) FILTER (WHERE {TARGET} > 0), 0)", 1)} AS avg_achievement_rate
 FROM initiatives WHERE status IN ('active', 'completed')""")
-SUMS = f"""{D("COALESCE(SUM(target_reduction_tco2e), 0)")} AS total_target_reduction,
-  {D("COALESCE(SUM(actual_reduction_tco2e), 0)")} AS total_actual_reduction"""
+SUMS = f"{zero(SUM_TARGET)} AS total_target_reduction, {zero(SUM_ACTUAL)} AS total_actual_reduction"
 sql("initiative_progress", f"""
-SELECT COUNT(*) AS total_initiatives, COUNT(CASE WHEN status = 'active' THEN 1 END) AS active_initiatives,
-  COUNT(CASE WHEN status = 'completed' THEN 1 END) AS completed_initiatives, {SUMS},
-  {rate("SUM(actual_reduction_tco2e)", "SUM(target_reduction_tco2e)")} AS achievement_rate
+SELECT COUNT(*) AS total_initiatives, {count_of("active")} AS active_initiatives,
+  {count_of("completed")} AS completed_initiatives, {SUMS}, {rate(SUM_ACTUAL, SUM_TARGET)} AS achievement_rate
 FROM initiatives""")
 sql("initiative_overview", f"""
-SELECT COUNT(*) AS total_initiatives, COUNT(CASE WHEN status = 'active' THEN 1 END) AS active_initiatives,
-  COUNT(CASE WHEN status = 'completed' THEN 1 END) AS completed_initiatives,
-  COUNT(CASE WHEN status = 'planned' THEN 1 END) AS planned_initiatives, {SUMS},
-  COALESCE({Q("SUM(target_reduction_tco2e)", "COUNT(target_reduction_tco2e)")}, 0) AS avg_target_reduction,
-  COALESCE({Q("SUM(actual_reduction_tco2e)", "COUNT(actual_reduction_tco2e)")}, 0) AS avg_actual_reduction,
-  {rate("SUM(actual_reduction_tco2e)", "SUM(target_reduction_tco2e)")} AS overall_achievement_rate
+SELECT COUNT(*) AS total_initiatives, {count_of("active")} AS active_initiatives,
+  {count_of("completed")} AS completed_initiatives, {count_of("planned")} AS planned_initiatives, {SUMS},
+  COALESCE({Q(SUM_TARGET, f"COUNT({TARGET})")}, 0) AS avg_target_reduction,
+  COALESCE({Q(SUM_ACTUAL, f"COUNT({ACTUAL})")}, 0) AS avg_actual_reduction,
+  {rate(SUM_ACTUAL, SUM_TARGET)} AS overall_achievement_rate
 FROM initiatives""")
 sql("initiative_status_breakdown", f"""
-SELECT status, COUNT(*) AS initiative_count, {D("COALESCE(SUM(target_reduction_tco2e), 0)")} AS total_target,
-  {D("COALESCE(SUM(actual_reduction_tco2e), 0)")} AS total_actual,
-  COALESCE({Q("SUM(target_reduction_tco2e)", "COUNT(target_reduction_tco2e)")}, 0) AS avg_target,
-  COALESCE({Q("SUM(actual_reduction_tco2e)", "COUNT(actual_reduction_tco2e)")}, 0) AS avg_actual,
-  {rate("SUM(actual_reduction_tco2e)", "SUM(target_reduction_tco2e)")} AS achievement_rate
+SELECT status, COUNT(*) AS initiative_count, {zero(SUM_TARGET)} AS total_target, {zero(SUM_ACTUAL)} AS total_actual,
+  COALESCE({Q(SUM_TARGET, f"COUNT({TARGET})")}, 0) AS avg_target, COALESCE({Q(SUM_ACTUAL, f"COUNT({ACTUAL})")}, 0) AS avg_actual,
+  {rate(SUM_ACTUAL, SUM_TARGET)} AS achievement_rate
 FROM initiatives GROUP BY status""")
 sql("top_initiatives", f"""
-SELECT initiative_id, name, {D("target_reduction_tco2e")} AS target_reduction_tco2e,
-  {D("actual_reduction_tco2e")} AS actual_reduction_tco2e, status,
-  {R(Q("actual_reduction_tco2e", "target_reduction_tco2e") + " * 100", 1)} AS achievement_rate
-FROM initiatives WHERE status IN ('active', 'completed') AND target_reduction_tco2e > 0
-ORDER BY {Q("actual_reduction_tco2e", "target_reduction_tco2e")} DESC, initiative_id LIMIT 5""")
+SELECT initiative_id, name, {D(TARGET)} AS target_reduction_tco2e, {D(ACTUAL)} AS actual_reduction_tco2e, status,
+  {R(SHARE, 1)} AS achievement_rate
+FROM initiatives x WHERE x.{TARGET} > 0 AND status IN ('active', 'completed')
+QUALIFY row_number() OVER (ORDER BY {Q("x." + ACTUAL, "x." + TARGET)} DESC, initiative_id) <= 5""")
 sql("active_initiatives_top", f"""
-SELECT initiative_id, name, description, {D("target_reduction_tco2e")} AS target_reduction_tco2e,
-  {D("actual_reduction_tco2e")} AS actual_reduction_tco2e, status, start_date, end_date
-FROM initiatives i WHERE status = 'active' ORDER BY i.target_reduction_tco2e DESC NULLS FIRST, initiative_id LIMIT 5""")
+SELECT initiative_id, name, description, {D(TARGET)} AS target_reduction_tco2e, {D(ACTUAL)} AS actual_reduction_tco2e, status,
+  start_date, end_date
+FROM initiatives x WHERE status = 'active'
+QUALIFY row_number() OVER (ORDER BY x.{TARGET} DESC NULLS FIRST, initiative_id) <= 5""")
 
 
 def initiative_page(email: str, condition: str, tail: str) -> str:
     return f"""
-SELECT i.initiative_id, i.name, i.description, {D("COALESCE(i.target_reduction_tco2e, 0)")} AS target_reduction_tco2e,
-  {D("COALESCE(i.actual_reduction_tco2e, 0)")} AS actual_reduction_tco2e,
-  {rate("i.actual_reduction_tco2e", "i.target_reduction_tco2e")} AS achievement_rate, i.status, i.start_date, i.end_date,
-  i.created_at, i.updated_at, u.first_name || ' ' || u.last_name AS created_by_name, {email} AS created_by_email
-FROM initiatives i LEFT JOIN users u ON i.created_by = u.user_id {condition} {tail}"""
+SELECT initiative_id, name, description, {zero(TARGET)} AS target_reduction_tco2e, {zero(ACTUAL)} AS actual_reduction_tco2e,
+  {rate(ACTUAL, TARGET)} AS achievement_rate, status, start_date, end_date, created_at, updated_at, created_by_name,
+  {email} AS created_by_email
+FROM {CREATED} WHERE {condition} {tail}"""
 
 
-sql("initiative_listing", initiative_page("u.email", "", """
-ORDER BY CASE i.status WHEN 'active' THEN 1 WHEN 'planned' THEN 2 WHEN 'completed' THEN 3 ELSE 4 END,
-  i.created_at DESC NULLS FIRST, i.initiative_id LIMIT 20 OFFSET 20"""))
-sql("initiative_listing_public", initiative_page("CAST(NULL AS VARCHAR)", "WHERE i.status = 'active'", ""))
+sql("initiative_listing", initiative_page("email", "TRUE", """
+QUALIFY row_number() OVER (ORDER BY COALESCE(list_position(['active', 'planned', 'completed'], status), 4),
+  created_at DESC, initiative_id) BETWEEN 21 AND 40"""))
+sql("initiative_listing_public", initiative_page("CAST(NULL AS VARCHAR)", "status = 'active'", ""))
 sql("initiative_listing_info", info("initiatives WHERE status = 'completed'", 1, 20))
 
 # --- one day --------------------------------------------------------------------------------
+PER_DAY = more(f"""per_day AS (
+  SELECT CAST(date_time AS DATE) AS d, 'energy' AS fact, {SUM_CO2E} AS kg, COUNT(DISTINCT building_id) AS active FROM energy GROUP BY 1
+  UNION ALL SELECT date, 'trips', {SUM_CO2E}, COUNT(DISTINCT user_id) FROM trips GROUP BY 1)""")
+
+
+def kg_on(days_back: int, fact: str | None = None) -> str:
+    which = f" AND fact = '{fact}'" if fact else ""
+    return f"COALESCE(SUM(kg) FILTER (WHERE d = {TODAY} - {days_back}{which}), 0)"
+
+
+def mean_day(condition: str) -> str:
+    keep = f"FILTER (WHERE fact = 'energy' AND d >= {TODAY} - 30{condition})"
+    return f"(CAST(SUM(kg) {keep} AS DOUBLE) / COUNT(kg) {keep})"
+
+
+def change(base: str) -> str:
+    return R(f"(CAST(e + t AS DOUBLE) - CAST({base} AS DOUBLE)) / NULLIF(CAST({base} AS DOUBLE), 0) * 100", 1)
+
+
+def figures(mean: str) -> str:
+    return f"""(SELECT {kg_on(0, "energy")} AS e, {kg_on(0, "trips")} AS t, {kg_on(1)} AS y, {mean} AS m,
+  COALESCE(MAX(active) FILTER (WHERE d = {TODAY} AND fact = 'energy'), 0) AS active_buildings,
+  COALESCE(MAX(active) FILTER (WHERE d = {TODAY} AND fact = 'trips'), 0) AS active_users FROM per_day) f"""
+
+
 sql("daily_dashboard", f"""
-SELECT {TODAY} AS report_date, {R("te", 2)} AS today_energy_co2e_kg, {R("tt", 2)} AS today_transport_co2e_kg,
-  {R("te + tt", 2)} AS today_total_co2e_kg, {R("y", 2)} AS yesterday_total_co2e_kg, {R("m", 2)} AS monthly_avg_co2e_kg,
-  {R(Q("te + tt - y", "y") + " * 100", 1)} AS day_over_day_change_percent,
-  {R("(CAST(te + tt AS DOUBLE) - m) / NULLIF(m, 0) * 100", 1)} AS vs_monthly_avg_percent
-FROM (SELECT
-  (SELECT COALESCE(SUM(co2e_emitted), 0) FROM energy WHERE CAST(date_time AS DATE) = {TODAY}) AS te,
-  (SELECT COALESCE(SUM(co2e_emitted), 0) FROM trips WHERE date = {TODAY}) AS tt,
-  (SELECT COALESCE(SUM(co2e_emitted), 0) FROM energy WHERE CAST(date_time AS DATE) = {TODAY} - 1)
-    + (SELECT COALESCE(SUM(co2e_emitted), 0) FROM trips WHERE date = {TODAY} - 1) AS y,
-  (SELECT {Q("SUM(d)", "COUNT(d)")} FROM (SELECT SUM(co2e_emitted) AS d FROM energy
-    WHERE date_time >= {TODAY} - INTERVAL '30 days' GROUP BY CAST(date_time AS DATE)) q) AS m) s""")
+SELECT {TODAY} AS report_date, {R("e", 2)} AS today_energy_co2e_kg, {R("t", 2)} AS today_transport_co2e_kg,
+  {R("e + t", 2)} AS today_total_co2e_kg, {R("y", 2)} AS yesterday_total_co2e_kg, {R("m", 2)} AS monthly_avg_co2e_kg,
+  {change("y")} AS day_over_day_change_percent, {change("m")} AS vs_monthly_avg_percent
+FROM {figures(mean_day(""))}""", PER_DAY)
 sql("daily_summary", f"""
-SELECT {TODAY} AS report_date, {R("te + tt", 2)} AS total_co2e_kg, {R("te", 2)} AS energy_co2e_kg,
-  {R("tt", 2)} AS transport_co2e_kg, {R("y", 2)} AS previous_day_total, {R("m", 2)} AS monthly_average,
-  CASE WHEN y > 0 THEN {R("(CAST(te + tt AS DOUBLE) - CAST(y AS DOUBLE)) / CAST(y AS DOUBLE) * 100", 1)} END AS day_over_day_change,
-  CASE WHEN m > 0 THEN {R("(CAST(te + tt AS DOUBLE) - m) / m * 100", 1)} END AS vs_monthly_average, active_buildings, active_users
-FROM (SELECT
-  (SELECT COALESCE(SUM(co2e_emitted), 0) FROM energy WHERE CAST(date_time AS DATE) = {TODAY}) AS te,
-  (SELECT COALESCE(SUM(co2e_emitted), 0) FROM trips WHERE date = {TODAY}) AS tt,
-  (SELECT COALESCE(SUM(co2e_emitted), 0) FROM energy WHERE CAST(date_time AS DATE) = {TODAY} - 1)
-    + (SELECT COALESCE(SUM(co2e_emitted), 0) FROM trips WHERE date = {TODAY} - 1) AS y,
-  COALESCE((SELECT {Q("SUM(d)", "COUNT(d)")} FROM (SELECT SUM(co2e_emitted) AS d FROM energy
-    WHERE date_time >= {TODAY} - INTERVAL '30 days' AND date_time < {TODAY} GROUP BY CAST(date_time AS DATE)) q), 0) AS m,
-  (SELECT COUNT(DISTINCT building_id) FROM energy WHERE CAST(date_time AS DATE) = {TODAY}) AS active_buildings,
-  (SELECT COUNT(DISTINCT user_id) FROM trips WHERE date = {TODAY}) AS active_users) s""")
+SELECT {TODAY} AS report_date, {R("e + t", 2)} AS total_co2e_kg, {R("e", 2)} AS energy_co2e_kg, {R("t", 2)} AS transport_co2e_kg,
+  {R("y", 2)} AS previous_day_total, {R("COALESCE(m, 0)", 2)} AS monthly_average, {change("y")} AS day_over_day_change,
+  {change("m")} AS vs_monthly_average, active_buildings, active_users
+FROM {figures(mean_day(f" AND d < {TODAY}"))}""", PER_DAY)
 sql("realtime_snapshot", f"""
-SELECT {TODAY} AS report_date, {D("te")} AS energy_co2e, {D("tt")} AS transport_co2e, {D("te + tt")} AS total_co2e,
-  {D("y")} AS yesterday_total,
-  CASE WHEN y > 0 THEN {R("(CAST(te + tt AS DOUBLE) - CAST(y AS DOUBLE)) / CAST(y AS DOUBLE) * 100", 1)} END AS change_percent
-FROM (SELECT
-  (SELECT COALESCE(SUM(co2e_emitted), 0) FROM energy WHERE CAST(date_time AS DATE) = {TODAY}) AS te,
-  (SELECT COALESCE(SUM(co2e_emitted), 0) FROM trips WHERE date = {TODAY}) AS tt,
-  (SELECT COALESCE(SUM(co2e_emitted), 0) FROM energy WHERE CAST(date_time AS DATE) = {TODAY} - 1)
-    + (SELECT COALESCE(SUM(co2e_emitted), 0) FROM trips WHERE date = {TODAY} - 1) AS y) s""")
+SELECT {TODAY} AS report_date, {D("e")} AS energy_co2e, {D("t")} AS transport_co2e, {D("e + t")} AS total_co2e,
+  {D("y")} AS yesterday_total, {change("y")} AS change_percent FROM {figures("NULL")}""", PER_DAY)

@@ -205,7 +205,6 @@ UNION ALL SELECT initiative_id, name, {D("target_reduction_tco2e")}, 0,
 FROM checked c JOIN users u ON u.user_id = c.created_by WHERE errors = ''""", INITIATIVES_CHECKED)
 
 # --- updates --------------------------------------------------------------------------------
-LATEST = "QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY {order}) = 1"
 READING_LATEST = more(batch("sent", given.READING_UPDATES), """latest AS (SELECT * FROM sent QUALIFY row_number()
   OVER (PARTITION BY record_id ORDER BY updated_at DESC, building_id DESC, date_time DESC, source DESC, consumption_kwh DESC) = 1)""")
 sql("upsert_readings", f"""SELECT {READING}, created_at, {D(CO2E)} AS co2e_emitted FROM (
@@ -284,12 +283,12 @@ for _section, _same in (
     SQL[f"footprint_{_section}"] = SQL[_same]
 
 # --- nested documents -----------------------------------------------------------------------
-sql("reading_documents", f"""SELECT ec.record_id AS id, ec.date_time, b.name, b.primary_use, b.sq_footage
-FROM energy ec JOIN buildings b ON b.building_id = ec.building_id WHERE ec.date_time >= {TODAY} - INTERVAL '30 days'""")
+sql("reading_documents", f"""SELECT record_id AS id, date_time, name, primary_use, sq_footage
+FROM metered WHERE date_time >= {TODAY} - INTERVAL '30 days'""")
 sql("trip_documents", f"""SELECT trip_id AS id, '{{"id":' || trip_id || ',"mode":"' || mode || '","date":"' || date
-  || '","user":{{"name":"' || u.first_name || ' ' || u.last_name || '","email":"' || u.email || '"'
-  || CASE WHEN u.department IS NULL THEN '' ELSE ',"department":"' || u.department || '"' END || '}}}}' AS document
-FROM trips t JOIN users u ON u.user_id = t.user_id WHERE date {MONTH}""")
+  || '","user":{{"name":"' || user_name || '","email":"' || email || '"'
+  || COALESCE(',"department":"' || department || '"', '') || '}}}}' AS document
+FROM travelled WHERE date {MONTH}""")
 
 
 # --- synthetic data -------------------------------------------------------------------------
