@@ -127,6 +127,7 @@ def append_initiatives(
 def _update(
     table: DataFrame,
     winners: DataFrame,
+    batch: DataFrame,
     key: str,
     changes: Callable[[Callable[[str], Column]], dict[str, Column]],
     allowed: Callable[[Callable[[str], Column]], Column] | None = None,
@@ -134,14 +135,14 @@ def _update(
     touched_at: dt.datetime | None = None,
     not_allowed: str = "not allowed",
 ) -> Change:
-    """Apply one row per key to the table in a single left join.
+    """Apply one row per key, reduced from the batch, to the table in a single left join.
 
     A batch of checked small size is broadcast, so the table is read and written without a
     shuffle; a larger one is joined on the unique key.
     """
     fields = [c for c in winners.columns if c != key]
     prefixed = winners.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in fields], F.lit(True).alias("_hit"))
-    joined = table.join(broadcast_if_small(prefixed), key, "left")
+    joined = table.join(broadcast_if_small(prefixed, batch), key, "left")
 
     def new(column: str) -> Column:
         return F.col(f"_new_{column}")
@@ -176,7 +177,7 @@ def update_readings(energy: DataFrame, updates: DataFrame, newest: Sequence[str]
     """Replace building, time, source and amount by key; the emission follows."""
     columns = ("building_id", "date_time", "source", "consumption_kwh")
     winners = latest_per_key(updates, ["record_id"], newest)
-    return _update(energy, winners, "record_id", lambda new: {c: new(c) for c in columns}, derive=with_energy_co2e)
+    return _update(energy, winners, updates, "record_id", lambda new: {c: new(c) for c in columns}, derive=with_energy_co2e)
 
 
 def update_trips(trips: DataFrame, updates: DataFrame, newest: Sequence[str] = ("updated_at",)) -> Change:
@@ -186,6 +187,7 @@ def update_trips(trips: DataFrame, updates: DataFrame, newest: Sequence[str] = (
     return _update(
         trips,
         winners,
+        updates,
         "trip_id",
         lambda new: {c: new(c) for c in columns},
         allowed=lambda new: F.col("user_id") == new("user_id"),
@@ -208,7 +210,7 @@ def update_initiatives(
         actual = F.coalesce(new("actual_reduction_tco2e"), F.lit(0))
         return {c: new(c) for c in columns} | {"actual_reduction_tco2e": actual}
 
-    return _update(initiatives, winners, "initiative_id", changes, touched_at=touched_at)
+    return _update(initiatives, winners, updates, "initiative_id", changes, touched_at=touched_at)
 
 
 def update_users(
@@ -217,7 +219,7 @@ def update_users(
     """Replace names and department by key."""
     columns = ("first_name", "last_name", "department")
     winners = latest_per_key(updates, ["user_id"], newest)
-    return _update(users, winners, "user_id", lambda new: {c: new(c) for c in columns}, touched_at=touched_at)
+    return _update(users, winners, updates, "user_id", lambda new: {c: new(c) for c in columns}, touched_at=touched_at)
 
 
 def update_buildings(
@@ -242,6 +244,7 @@ def update_buildings(
     change = _update(
         buildings,
         granted.select(*winners.columns),
+        updates,
         "building_id",
         lambda new: {c: new(c) for c in columns},
         touched_at=touched_at,
@@ -260,6 +263,7 @@ def patch_initiative_progress(
     return _update(
         initiatives,
         winners,
+        patches,
         "initiative_id",
         lambda new: {c: F.coalesce(new(c), F.col(c)) for c in columns},
         touched_at=touched_at,
@@ -270,7 +274,7 @@ def patch_initiative_progress(
 def delete_rows(table: DataFrame, keys: DataFrame, by: Sequence[str]) -> Change:
     """Delete rows matching the given key columns (for trips: key and owner)."""
     wanted = keys.select(*by).distinct()
-    small = broadcast_if_small(wanted)
+    small = broadcast_if_small(wanted, keys)
     return Change(
         table.join(small, list(by), "left_anti").select(*table.columns),
         table.join(small, list(by), "left_semi").select(*table.columns),
@@ -282,7 +286,7 @@ def delete_buildings_guarded(buildings: DataFrame, energy: DataFrame, keys: Data
     """Delete buildings that have no readings."""
     wanted = keys.select("building_id").distinct()
     # Only keys asked for are looked up in the readings, each at most once.
-    asked = energy.select("building_id").join(broadcast_if_small(wanted), "building_id", "left_semi")
+    asked = energy.select("building_id").join(broadcast_if_small(wanted, keys), "building_id", "left_semi")
     in_use = asked.distinct()
     change = delete_rows(buildings, wanted.join(in_use, "building_id", "left_anti"), ["building_id"])
     existing = wanted.join(buildings.select("building_id"), "building_id", "left_semi")
@@ -295,7 +299,7 @@ def delete_buildings_guarded(buildings: DataFrame, energy: DataFrame, keys: Data
 def delete_buildings_cascade(buildings: DataFrame, energy: DataFrame, keys: DataFrame) -> tuple[Change, DataFrame]:
     """Delete buildings and, with them, their readings; returns also the remaining readings."""
     change = delete_rows(buildings, keys, ["building_id"])
-    gone = broadcast_if_small(change.applied.select("building_id"))
+    gone = broadcast_if_small(change.applied.select("building_id"), keys)
     return change, energy.join(gone, "building_id", "left_anti").select(*energy.columns)
 
 
@@ -304,9 +308,10 @@ def delete_users_cascade(
 ) -> tuple[Change, DataFrame, DataFrame]:
     """Delete users with their trips; their initiatives stay without a creator."""
     change = delete_rows(users, keys, ["user_id"])
-    gone = broadcast_if_small(change.applied.select("user_id"))
+    deleted = change.applied.select("user_id")
+    gone = broadcast_if_small(deleted, keys)
     left = trips.join(gone, "user_id", "left_anti").select(*trips.columns)
-    marks = gone.select(F.col("user_id").alias("created_by"), F.lit(True).alias("_gone"))
-    marked = initiatives.join(broadcast_if_small(marks), "created_by", "left")
+    marks = deleted.select(F.col("user_id").alias("created_by"), F.lit(True).alias("_gone"))
+    marked = initiatives.join(broadcast_if_small(marks, keys), "created_by", "left")
     creator = F.when(F.col("_gone").isNull(), F.col("created_by"))
     return change, left, marked.withColumn("created_by", creator).select(*initiatives.columns)

@@ -82,62 +82,85 @@ def check_users(df: DataFrame) -> DataFrame:
     return with_errors(tidy, rules)
 
 
+def _checked(parsed: DataFrame, rules: dict[str, Column], typed: dict[str, Column]) -> DataFrame:
+    """Errors and typed columns from a frame whose `_` columns hold parsed values.
+
+    Parsing is a step of its own, so that a value is parsed once for its rule and its column.
+    """
+    scratch = [c for c in parsed.columns if c.startswith("_")]
+    return with_errors(parsed, rules).withColumns(typed).drop(*scratch)
+
+
 def check_trips(df: DataFrame) -> DataFrame:
-    date, mode, km = F.col("date"), F.col("mode"), F.col("distance_km")
+    km = F.col("distance_km")
+    parsed = df.withColumns({"_date": iso_date(F.col("date")), "_km": _number(km)})
     rules = {
-        "date must be an ISO date": iso_date(date).isNotNull(),
-        "mode is unknown": mode.isin(*TRIP_MODES),
-        "distance_km must be 0 to 10000": _number(km).between(0, 10_000),
+        "date must be an ISO date": F.col("_date").isNotNull(),
+        "mode is unknown": F.col("mode").isin(*TRIP_MODES),
+        "distance_km must be 0 to 10000": F.col("_km").between(0, 10_000),
     }
-    checked = with_errors(df, rules)
-    return checked.withColumns({"date": iso_date(date), "distance_km": km.try_cast(KM)})
+    return _checked(parsed, rules, {"date": F.col("_date"), "distance_km": km.try_cast(KM)})
 
 
 def check_readings(df: DataFrame, key_pattern: str = UUID) -> DataFrame:
-    time, source, kwh = F.col("date_time"), F.col("source"), F.col("consumption_kwh")
+    kwh = F.col("consumption_kwh")
+    parsed = df.withColumns({"_time": iso_timestamp(F.col("date_time")), "_kwh": _number(kwh)})
     rules = {
         "building_id is malformed": F.col("building_id").cast("string").rlike(key_pattern),
-        "date_time must be an ISO time": iso_timestamp(time).isNotNull(),
-        "source is unknown": source.isin(*ENERGY_SOURCES),
-        "consumption_kwh must be 0 to 1000000": _number(kwh).between(0, 1_000_000),
+        "date_time must be an ISO time": F.col("_time").isNotNull(),
+        "source is unknown": F.col("source").isin(*ENERGY_SOURCES),
+        "consumption_kwh must be 0 to 1000000": F.col("_kwh").between(0, 1_000_000),
     }
-    checked = with_errors(df, rules)
-    return checked.withColumns({"date_time": iso_timestamp(time), "consumption_kwh": kwh.try_cast(KWH)})
+    return _checked(parsed, rules, {"date_time": F.col("_time"), "consumption_kwh": kwh.try_cast(KWH)})
 
 
 def check_initiatives(df: DataFrame) -> DataFrame:
     target, status = F.col("target_reduction_tco2e"), F.col("status")
     start, end = F.col("start_date"), F.col("end_date")
-    tidy = df.withColumns({"name": F.trim("name"), "description": F.trim("description")})
+    parsed = df.withColumns(
+        {
+            "name": F.trim("name"),
+            "description": F.trim("description"),
+            "_target": _number(target),
+            "_start": iso_date(start),
+            "_end": iso_date(end),
+        }
+    )
     rules = {
         "name must have 3 to 200 characters": _length(F.col("name"), 3, 200),
         "description must have at most 1000 characters": _optional(
             F.col("description"), F.length("description") <= 1000
         ),
-        "target_reduction_tco2e must not be negative": _optional(target, _number(target) >= 0),
+        "target_reduction_tco2e must not be negative": _optional(target, F.col("_target") >= 0),
         "status is unknown": _optional(status, status.isin(*STATUSES)),
-        "start_date must be an ISO date": _optional(start, iso_date(start).isNotNull()),
-        "end_date must be an ISO date": _optional(end, iso_date(end).isNotNull()),
+        "start_date must be an ISO date": _optional(start, F.col("_start").isNotNull()),
+        "end_date must be an ISO date": _optional(end, F.col("_end").isNotNull()),
     }
     typed = {
         "target_reduction_tco2e": target.try_cast(REDUCTION),
-        "start_date": iso_date(start),
-        "end_date": iso_date(end),
+        "start_date": F.col("_start"),
+        "end_date": F.col("_end"),
     }
-    return with_errors(tidy, rules).withColumns(typed)
+    return _checked(parsed, rules, typed)
 
 
 def check_buildings(df: DataFrame) -> DataFrame:
     area, gps = F.col("sq_footage"), F.col("location_gps")
-    whole = F.when(area.rlike(WHOLE), area.try_cast("bigint"))
-    tidy = df.withColumns({"name": F.trim("name"), "primary_use": F.trim("primary_use")})
+    parsed = df.withColumns(
+        {
+            "name": F.trim("name"),
+            "primary_use": F.trim("primary_use"),
+            "_area": F.when(area.rlike(WHOLE), area.try_cast("bigint")),
+            "_gps": point(gps),
+        }
+    )
     rules = {
         "name must have 2 to 100 characters": _length(F.col("name"), 2, 100),
-        "sq_footage must be a whole number from 1 to 10000000": whole.between(1, 10_000_000),
+        "sq_footage must be a whole number from 1 to 10000000": F.col("_area").between(1, 10_000_000),
         "primary_use must have 2 to 50 characters": _length(F.col("primary_use"), 2, 50),
-        "location_gps must be POINT(x y)": _optional(gps, point(gps).isNotNull()),
+        "location_gps must be POINT(x y)": _optional(gps, F.col("_gps").isNotNull()),
     }
-    return with_errors(tidy, rules).withColumns({"sq_footage": area.try_cast("int"), "location_gps": point(gps)})
+    return _checked(parsed, rules, {"sq_footage": area.try_cast("int"), "location_gps": F.col("_gps")})
 
 
 def check_progress(df: DataFrame) -> DataFrame:
@@ -148,4 +171,4 @@ def check_progress(df: DataFrame) -> DataFrame:
         "status is unknown": _optional(status, status.isin(*STATUSES)),
         "nothing to change": actual.isNotNull() | status.isNotNull(),
     }
-    return with_errors(df, rules).withColumns({"actual_reduction_tco2e": actual.try_cast(REDUCTION)})
+    return _checked(df, rules, {"actual_reduction_tco2e": actual.try_cast(REDUCTION)})

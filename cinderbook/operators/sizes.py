@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, source: DataFrame | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark the frame for broadcast when it has at most `rows` rows.
 
     Meant for the narrow side (keys or a change batch) of a join with a large table, which then
-    is neither shuffled nor sorted.  The check reads no more than rows + 1 rows.
+    is neither shuffled nor sorted.  `source` is a frame with at least as many rows that is
+    cheaper to count; the check reads no more than rows + 1 of them.  A frame not marked is
+    joined by shuffle, where adaptive execution splits hot keys.
     """
-    if df.limit(rows + 1).count() <= rows:
+    if (df if source is None else source).limit(rows + 1).count() <= rows:
         return F.broadcast(df)
     return df

@@ -136,8 +136,8 @@ def test_deletes(spark):
 
 def test_large_batches_are_not_broadcast(spark):
     df = spark.range(50)
-    assert "ResolvedHint" in broadcast_if_small(df, 50)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in broadcast_if_small(df, 49)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" in broadcast_if_small(df, rows=50)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in broadcast_if_small(df, rows=49)._jdf.queryExecution().analyzed().toString()
 
 
 def test_hot_keys_in_a_batch(spark):
