@@ -126,7 +126,7 @@ def month(column: str) -> str:
 
 def info(source: str, number: int, size: int) -> str:
     return f"""
-SELECT {number} AS current_page, CAST(ceil(n / {size}.0) AS BIGINT) AS total_pages, n AS total_records,
+SELECT CAST({number} AS BIGINT) AS current_page, CAST(ceil(n / {size}.0) AS BIGINT) AS total_pages, n AS total_records,
   {number} < ceil(n / {size}.0) AS has_next, {number} > 1 AS has_prev FROM (SELECT COUNT(*) AS n FROM {source}) c"""
 
 
@@ -159,7 +159,7 @@ sql("carbon_footprint_summary", f"""
 SELECT DATE '2000-07-01' AS start_date, DATE '2001-07-01' AS end_date, {D("e + t")} AS total_co2e_kg,
   CAST(round(CAST(e + t AS DECIMAL(28,8)) / 1000, 3) AS DOUBLE) AS total_co2e_tonnes, {D("e")} AS energy_co2e_kg,
   {D("t")} AS transport_co2e_kg, COALESCE((SELECT name FROM per ORDER BY total DESC, building_id LIMIT 1), 'N/A')
-    AS top_emitting_building, (SELECT count(*) FROM per) AS total_buildings, 365 AS report_period_days
+    AS top_emitting_building, (SELECT count(*) FROM per) AS total_buildings, CAST(365 AS BIGINT) AS report_period_days
 FROM (SELECT COALESCE(round({SUM_CO2E}, 2), 0) AS e FROM energy WHERE {on_days(YEAR)}) x,
   (SELECT COALESCE(round({SUM_CO2E}, 2), 0) AS t FROM trips WHERE date {YEAR}) y
 """, more(f"""per AS (SELECT building_id, name, round({SUM_CO2E}, 2) AS total FROM metered

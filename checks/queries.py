@@ -23,13 +23,11 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def comparable(df: DataFrame) -> DataFrame:
-    """Exact decimals as doubles and small integers as bigints, for the comparison only."""
+    """Exact decimals as doubles, for the comparison only."""
     columns = []
     for field in df.schema.fields:
         if isinstance(field.dataType, T.DecimalType):
             columns.append(f"CAST(`{field.name}` AS DOUBLE) AS `{field.name}`")
-        elif isinstance(field.dataType, (T.IntegerType, T.ShortType)):
-            columns.append(f"CAST(`{field.name}` AS BIGINT) AS `{field.name}`")
         else:
             columns.append(f"`{field.name}`")
     return df.selectExpr(*columns)

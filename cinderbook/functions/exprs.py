@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 EFFECTIVENESS_ORDER = ("active", "completed", "planned")
 LISTING_ORDER = ("active", "planned", "completed")
 
+# Fixed value: text form of a position.
+POINT = r"^POINT\((-?\d+\.?\d*)\s+(-?\d+\.?\d*)\)$"
+
 
 def rounded(value: Column, digits: int) -> Column:
     """Round half away from zero.  Goes through decimal: a binary double rounds unreliably at ties."""
@@ -121,7 +124,6 @@ def period_start(timestamp: Column, period: str) -> Column:
 
 def point(text: Column) -> Column:
     """Parse `POINT(x y)` into a struct, NULL when the text has another form."""
-    pattern = r"^POINT\((-?\d+\.?\d*)\s+(-?\d+\.?\d*)\)$"
-    x = F.regexp_extract(text, pattern, 1).try_cast("double")
-    y = F.regexp_extract(text, pattern, 2).try_cast("double")
-    return F.when(text.rlike(pattern), F.struct(x.alias("x"), y.alias("y")))
+    x = F.regexp_extract(text, POINT, 1).try_cast("double")
+    y = F.regexp_extract(text, POINT, 2).try_cast("double")
+    return F.when(text.rlike(POINT), F.struct(x.alias("x"), y.alias("y")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import calendar
 import datetime as dt
+import uuid
 from dataclasses import dataclass
 
 MAX_PAGE_SIZE = 100
@@ -42,6 +43,15 @@ def check_positive(value: int, what: str, at_most: int | None = None) -> int:
     return value
 
 
+def check_uuid(value: str, what: str) -> str:
+    """A well-formed UUID, for keys given from outside."""
+    try:
+        uuid.UUID(value)
+    except (ValueError, TypeError, AttributeError):
+        raise ValueError(f"{what} must be a valid UUID, got {value!r}") from None
+    return value
+
+
 def check_choice(value: str, choices, what: str) -> str:
     if value not in choices:
         raise ValueError(f"{what} must be one of {', '.join(choices)}, got {value!r}")

@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from cinderbook.params import DateRange, Page, as_date, check_positive, days_before, months_before
+from cinderbook.params import DateRange, Page, as_date, check_positive, check_uuid, days_before, months_before
 
 
 def test_month_arithmetic_clamps():
@@ -31,6 +31,14 @@ def test_bad_pages(number, size):
         Page(number, size)
 
 
+def test_uuid():
+    key = "6f1c2a34-5b6d-4e7f-8a9b-0c1d2e3f4a5b"
+    assert check_uuid(key, "building_id") == key
+    for bad in ("b1", None, 7):
+        with pytest.raises(ValueError):
+            check_uuid(bad, "building_id")
+
+
 def test_positive():
     assert check_positive(3, "days") == 3
     with pytest.raises(ValueError):
