@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from cinderbook.functions.factors import with_energy_co2e, with_trip_co2e
 from cinderbook.operators.sizes import broadcast_if_small
+from cinderbook.schemas import MONTH_COLUMN
 
 
 @dataclass
@@ -51,6 +52,11 @@ def _aligned(rows: DataFrame, table: DataFrame, defaults: dict[str, Column]) ->
     return rows.select(*columns)
 
 
+def _without_month(table: DataFrame) -> DataFrame:
+    """New and moved rows have no partition month yet; writing the table gives it."""
+    return table.drop(MONTH_COLUMN)
+
+
 def _key_default(table: DataFrame, key: str) -> dict[str, Column]:
     """Text keys are generated where missing."""
     return {key: F.uuid()} if isinstance(table.schema[key].dataType, T.StringType) else {}
@@ -74,6 +80,7 @@ def append_trips(trips: DataFrame, users: DataFrame, batch: DataFrame, loaded_at
 
 
 def _append_facts(table, parents, batch, key, parent_key, loaded_at, derive) -> Change:
+    table = _without_month(table)
     known = parents.select(parent_key)
     defaults = {"created_at": _load_time(loaded_at), **_key_default(table, key)}
     rows = batch.join(known, parent_key, "left_semi")
@@ -140,6 +147,7 @@ def _update(
     A batch of checked small size is broadcast, so the table is read and written without a
     shuffle; a larger one is joined on the unique key.
     """
+    table = _without_month(table)
     fields = [c for c in winners.columns if c != key]
     prefixed = winners.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in fields], F.lit(True).alias("_hit"))
     joined = table.join(broadcast_if_small(prefixed, batch), key, "left")

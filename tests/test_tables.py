@@ -1,9 +1,11 @@
+import datetime as dt
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from cinderbook.params import DateRange
+from cinderbook.operators import maintain
 from cinderbook.operators.predicates import between_days
 from cinderbook.plans import documents, overview, views
 from cinderbook.plans.energy import readings_with_building
@@ -70,6 +72,21 @@ def test_dates_prune_months_and_reach_the_scan(spark, model, tmp_path):
     assert "ReadSchema: struct<date_time:timestamp_ntz,consumption_kwh:decimal(10,2)>" in plan
 
 
+def test_changes_to_a_table_read_by_month(spark, model, tmp_path):
+    tables.write_table(model.energy, "energy_consumption", str(tmp_path / "v1"))
+    read = tables.read_table(spark, "energy_consumption", str(tmp_path / "v1"))
+    moved = model.energy.filter("record_id = '1'").withColumn("date_time", F.lit("2024-06-20").cast("timestamp_ntz"))
+    moved = moved.withColumn("updated_at", F.col("date_time")).drop("co2e_emitted", "created_at")
+    changed = maintain.update_readings(read, moved).table
+    assert between_days(changed, "date_time", "2024-06-01", "2024-06-30").count() == 2
+    more = model.energy.withColumn("record_id", F.concat("record_id", F.lit("x"))).drop("co2e_emitted", "created_at")
+    added = maintain.append_readings(changed, model.buildings, more, dt.datetime(2024, 7, 1)).table
+    assert between_days(added, "date_time", "2024-05-01", "2024-05-31").count() == 1
+    tables.write_table(added, "energy_consumption", str(tmp_path / "v2"))
+    again = tables.read_table(spark, "energy_consumption", str(tmp_path / "v2"))
+    assert between_days(again, "date_time", "2024-06-01", "2024-06-30").count() == 3 and again.count() == 4
+
+
 def test_views(spark, small):
     views.create_views(ledger(spark, small), AS_OF)
     assert spark.sql("SELECT total_buildings FROM campus_overview").first()[0] == 10
