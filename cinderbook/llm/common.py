@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Words are maximal runs of anything but space, tab, line feed, vertical tab, form feed, carriage return.
+SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -79,6 +80,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def words_of(text: Column) -> Column:
+    """The words of a text in order; none for null. Only single blanks are left to split at, which takes no pattern."""
+    blanks = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D]", " ")
+    return F.array_remove(F.split(blanks, " "), "")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once per row, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

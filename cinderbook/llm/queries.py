@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderbook.llm import bpe, langid, sharding, wordpiece
+from cinderbook.llm import bpe, langid, quality, sharding, wordpiece
 from cinderbook.llm.common import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,17 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(asked, "text", langs, logs).drop("text")
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled good and not toxic."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0").select("doc_id")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality measures and verdict of every document."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return quality.judged(docs, "text", "doc_id", trusted_ids(spark, sf_dir)).drop("text")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text decoded from them, as digests."""
     ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), "text", TOKENIZER).drop("text")
@@ -60,6 +71,7 @@ QUERIES = {
     for f in (
         op1_token_counts,
         op5_language,
+        op6_quality,
         op7_bpe,
         op9_sharding,
     )
