@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderbook.llm import bpe, langid, quality, sharding, wordpiece
+from cinderbook.llm import bpe, langid, linededup, quality, sharding, sql, wordpiece
 from cinderbook.llm.common import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.drop("text")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the runs of lines that stand earlier in the table."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return linededup.without_repeats(docs, "text", "doc_id").select(
+        "doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256")
+    )
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the two thirds that are not held out."""
     docs = documents(spark, sf_dir)
@@ -70,10 +78,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts,
+        op3_line_dedup,
         op5_language,
         op6_quality,
         op7_bpe,
         op9_sharding,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(sql.SQL)
