@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderbook.llm import bpe, langid, linededup, quality, sharding, sql, wordpiece
+from cinderbook.llm import bpe, cws, langid, linededup, quality, sharding, sql, wordpiece
 from cinderbook.llm.common import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -74,6 +74,20 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_slots(rows, "shard", "place").drop("place")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    found = cws.fingerprints(documents(spark, sf_dir), "text", "doc_id")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        cws.as_text(F.col("signature")).alias("fingerprint"),
+        cws.as_text(F.col("edited_signature")).alias("edited_fingerprint"),
+        cws.likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
+        cws.likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,6 +97,7 @@ QUERIES = {
         op6_quality,
         op7_bpe,
         op9_sharding,
+        op10_fingerprints,
     )
 }
 SQL: dict[str, str] = dict(sql.SQL)
