@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from cinderbook.llm.common import mapped, slices
+from cinderbook.llm.common import mapped, saved, slices
 
 # Fixed value: the pattern of byte-level BPE words.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -120,12 +120,26 @@ def word_table(df: DataFrame, text: str, path: str) -> DataFrame:
     return mapped(counted, encode, "word string, n long, ids array<int>")
 
 
+def _frequent(words: DataFrame, head: int) -> pa.Table:
+    """word, ids of the most frequent words of at most LONG characters: at most `head`, by a cut in the counts.
+
+    The cut comes from a histogram of counts in eighths of powers of two, a few hundred rows at any size; no task sorts
+    the words.
+    """
+    short = words.where(F.length("word") <= LONG).withColumn("size", F.floor(8 * F.log2("n")))
+    cut, total = 1 << 60, 0
+    for row in sorted(short.groupBy("size").count().collect(), reverse=True):
+        total += row["count"]
+        if total > head:
+            break
+        cut = row["size"]
+    return short.where(F.col("size") >= cut).select("word", "ids").toArrow()
+
+
 def encode(df: DataFrame, text: str, path: str, column: str = "ids", head: int = HEAD) -> DataFrame:
     """The rows with the token ids of their whole text."""
     spark = df.sparkSession
-    # The one collect: at most `head` words of at most LONG characters. Ties in the count are settled by the word.
-    ranked = word_table(df, text, path).where(F.length("word") <= LONG).orderBy(F.desc("n"), "word")
-    frequent = spark.sparkContext.broadcast(ranked.limit(head).select("word", "ids").toArrow())
+    frequent = spark.sparkContext.broadcast(_frequent(saved(word_table(df, text, path), "words"), head))
     definition = spark.sparkContext.broadcast(_load(path))
     place = df.columns.index(text)
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderbook.llm import bpe, cws, langid, linededup, quality, sharding, sql, wordpiece
+from cinderbook.llm import bpe, cws, langid, linededup, pii, quality, sharding, sql, wordpiece
 from cinderbook.llm.common import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.drop("text")
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base kinds, and all spans with those that bootstrapping adds."""
+    found = pii.spans_of(documents(spark, sf_dir), "text", "doc_id")
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *map(n, pii.KINDS),
+        F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"),
+        pii.as_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the runs of lines that stand earlier in the table."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -92,6 +104,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts,
+        op2_personal_data,
         op3_line_dedup,
         op5_language,
         op6_quality,
