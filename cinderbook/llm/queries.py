@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderbook.llm import bpe, cws, langid, linededup, pii, quality, sharding, sql, wordpiece
+from cinderbook.llm import bpe, cws, langid, linededup, neardup, pii, quality, sharding, sql, wordpiece
 from cinderbook.llm.common import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,6 +71,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near-copies every document belongs to."""
+    return neardup.linked(documents(spark, sf_dir), "text", "doc_id").withColumnRenamed("id", "doc_id")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight equal shards by rendezvous hashing of doc_id, and where a ninth would take rows from them."""
     docs = documents(spark, sf_dir)
@@ -109,6 +114,7 @@ QUERIES = {
         op5_language,
         op6_quality,
         op7_bpe,
+        op8_near_duplicates,
         op9_sharding,
         op10_fingerprints,
     )
