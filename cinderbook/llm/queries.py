@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderbook.llm import bpe, cws, langid, linededup, neardup, pii, quality, sharding, sql, wordpiece
+from cinderbook.llm import bpe, cws, langid, linededup, mixing, neardup, pii, quality, sharding, sql, wordpiece
 from cinderbook.llm.common import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SHARDS = (1.0,) * 8
+ENTROPY = 0.95  # of the largest possible
+MAX_REPEATS = 2.0
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +42,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A training run of as many tokens as there are, its sources flattened to an entropy of 95 % of the largest."""
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    mixed = mixing.mixed(docs, "text", "doc_id", "source", entropy=ENTROPY, whole_corpus=True)
+    return mixed.select("doc_id", "source", "epoch", "block", F.round("at", 9).alias("at"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the two thirds that are not held out."""
     docs = documents(spark, sf_dir)
@@ -111,6 +120,7 @@ QUERIES = {
         op1_token_counts,
         op2_personal_data,
         op3_line_dedup,
+        op4_mixing,
         op5_language,
         op6_quality,
         op7_bpe,
