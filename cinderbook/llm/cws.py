@@ -107,9 +107,10 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def fingerprints(df: DataFrame, text: str, doc_id: str, samples: int = SAMPLES) -> DataFrame:
-    """id, n_chars, edited (text), signature, edited_signature, next_signature for every document.
+    """id, n_chars, edited_sha256, signature, edited_signature, next_signature for every document.
 
-    Everything after the one shuffle by block (weights, samples, neighbours) happens inside the blocks' partitions.
+    Everything after the one shuffle by block (weights, samples, neighbours) happens inside the blocks' partitions; only
+    digests and signatures are joined in the end. `followed` and `edited` give the edited texts themselves.
     """
     rows = followed(df, text, doc_id).withColumn("edited", F.when(F.col("own"), edited(F.col("text"), F.col("next"))))
     versions = F.array(
@@ -125,5 +126,5 @@ def fingerprints(df: DataFrame, text: str, doc_id: str, samples: int = SAMPLES)
         *(F.max(F.when(F.col("version") == v, F.col("signature"))).alias(name) for v, name in enumerate(("signature", "edited_signature")))
     )
     both = both.withColumn("next_signature", F.lead("signature").over(Window.partitionBy("block").orderBy("place")))
-    kept = rows.where("own").select("block", "place", "id", F.length("text").cast("bigint").alias("n_chars"), "edited")
+    kept = rows.where("own").select("block", "place", "id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     return kept.join(both, ["block", "place"]).drop("block", "place")

@@ -106,7 +106,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"),
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
+        "edited_sha256",
         cws.as_text(F.col("signature")).alias("fingerprint"),
         cws.as_text(F.col("edited_signature")).alias("edited_fingerprint"),
         cws.likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
