@@ -108,6 +108,17 @@ def score(words: str, pairs: str, llr: list[float]) -> Column:
     return F.when(F.size(words) == 0, F.lit(0.0)).otherwise((ones + twos) / (2 * F.size(words)))
 
 
+def passing(df: DataFrame, text: str, doc_id: str, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that are kept, with their own columns.
+
+    The task number in the condition keeps the verdict's long expressions from being moved into the scan's filter, where
+    each would be computed again at every use.
+    """
+    (task,) = fresh(df, "__task")
+    out = judged(df, text, doc_id, trusted, threshold).withColumn(task, F.spark_partition_id())
+    return out.where(F.col("kept") & (F.col(task) >= 0)).select(*df.columns)
+
+
 def judged(df: DataFrame, text: str, doc_id: str, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows with the plain measures, base_failed, llr_score and kept."""
     words, pairs = fresh(df, "__words", "__pairs")

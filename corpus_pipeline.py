@@ -12,8 +12,7 @@ from cinderbook.llm.queries import MAX_REPEATS, TOKENIZER, trusted_ids
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the plain rules and the likelihood ratio."""
-    judged = quality.judged(docs, "text", "doc_id", trusted_ids(spark, sf_dir))
-    return judged.where("kept").select(*docs.columns)
+    return quality.passing(docs, "text", "doc_id", trusted_ids(spark, sf_dir))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
