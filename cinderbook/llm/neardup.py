@@ -10,8 +10,8 @@ Links: documents with equal shingle sets form a class with one representative. B
 representatives into buckets (at similarity 0.85 a pair misses all 40 bands once in 10^10). A bucket is never expanded into
 all pairs: in each round some of its members, PIVOTS at first and four times as many each round, are compared with the
 members outside their component, and are not used again. Pairs whose sketches agree in less than MAYBE of the coordinates
-are dropped; of the rest, each document's best pair is confirmed on the full sets, links merge components, and only pairs
-between components are looked at again. A bucket is done when all its members are in one component or all were pivots, so
+are dropped; of the rest, each document's best pairs are confirmed on the full sets, links merge components, and only pairs
+between components are looked at again, eight times as many. A bucket is done when all its members are in one component or all were pivots, so
 no link between components is lost.
 
 Defined results: a null or blank text has no shingles and is linked with nothing; fewer than WORDS words are one shingle;
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderbook.llm.common import mapped, saved, slices
@@ -34,7 +34,7 @@ WORDS = 5
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
 PIVOTS = 16
-MAYBE = 0.7  # share of equal coordinates; at similarity 0.85 less than that is ten standard deviations off
+MAYBE = 0.7  # share of equal coordinates; at similarity 0.85 less than that is six standard deviations off
 KEPT = 1 << 18  # hashes of distinct words a task remembers at a time
 
 _U = np.uint64
@@ -224,10 +224,12 @@ def linked(df: DataFrame, text: str, doc_id: str, percent: int = 85) -> DataFram
             keys = nodes.select("digest", "node").join(asked, "node")
             found = sets_of(texts, text, doc_id).join(keys, "digest").where("id = node")
             sets = saved(found.select("node", "shingles").dropDuplicates(["node"]), "sets")
+        tried = 1
         while not pending.isEmpty():
-            # The best pair of each document that is left is confirmed on the full sets.
-            best = pending.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
-            best = saved(best, "best")
+            # The best pairs of each document are confirmed on the full sets: one at first, then eight times as many.
+            place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agree"), "a"))
+            best = saved(pending.withColumn("place", place).where(F.col("place") <= tried).select("a", "b"), "best")
+            tried *= 8
             one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one"))
             two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("two"))
             common = F.size(F.array_intersect("one", "two"))
