@@ -8,10 +8,10 @@ rounds.
 
 Links: documents with equal shingle sets form a class with one representative. Bands of ROWS coordinates put the
 representatives into buckets (at similarity 0.85 a pair misses all 40 bands once in 10^10). A bucket is never expanded into
-all pairs: in each round some of its members, PIVOTS at first and four times as many each round, are compared with the
+all pairs: in each round some of its members, PIVOTS at first and eight times as many each round, are compared with the
 members outside their component, and are not used again. Pairs whose sketches agree in less than MAYBE of the coordinates
-are dropped; of the rest, each document's best pairs are confirmed on the full sets, links merge components, and only pairs
-between components are looked at again, eight times as many. A bucket is done when all its members are in one component or all were pivots, so
+are dropped; of the rest, each document's best pair is confirmed on the full sets, links merge components, and then all pairs
+that are still between components are. A bucket is done when all its members are in one component or all were pivots, so
 no link between components is lost.
 
 Defined results: a null or blank text has no shingles and is linked with nothing; fewer than WORDS words are one shingle;
@@ -158,28 +158,28 @@ def components(edges: DataFrame) -> DataFrame:
     nodes pointed to, until none is left.
     """
     edges, mapping = saved(edges.where("a <> b").distinct(), "edges"), None
-    while True:
+    while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         point = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
         point = saved(point.select("node", F.least("node", "root").alias("root")), "pointers")
-        for _ in range(2):
-            onward = point.select(F.col("node").alias("root"), F.col("root").alias("further"))
-            point = point.join(onward, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
-            point = saved(point, "pointers")
-        if mapping is None:
-            mapping = point
-        else:
-            onward = point.select(F.col("node").alias("root"), F.col("root").alias("further"))
-            mapping = saved(mapping.join(onward, "root", "left").select("node", F.coalesce("further", "root").alias("root")), "roots")
+        point = saved(_followed(_followed(point, point), point), "pointers")
+        mapping = point if mapping is None else saved(_followed(mapping, point), "roots")
         a, b = (point.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
         edges = edges.join(a, "a").join(b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
         edges = saved(edges, "edges")
-        if edges.isEmpty():
-            return mapping
+    return mapping if mapping is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _followed(mapping: DataFrame, point: DataFrame) -> DataFrame:
+    """Each node's root replaced by what that points to."""
+    onward = point.select(F.col("node").alias("root"), F.col("root").alias("further"))
+    return mapping.join(onward, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The labels after links (a, b) between nodes."""
+    if links.isEmpty():
+        return labels
     a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
     roots = components(links.join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
     found = labels.join(roots.withColumnRenamed("node", "label"), "label", "left")
@@ -204,6 +204,7 @@ def linked(df: DataFrame, text: str, doc_id: str, percent: int = 85) -> DataFram
     shared = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
     members = saved(banded.join(shared, "bucket").withColumn("used", F.lit(False)), "buckets")
     labels = saved(members.select("node").distinct().withColumn("label", F.col("node")), "labels")
+    refused = df.sparkSession.createDataFrame([], "a long, b long")
     pivots_of = PIVOTS
     while True:
         # Buckets that still hold several components, and members that have not been pivots.
@@ -217,6 +218,7 @@ def linked(df: DataFrame, text: str, doc_id: str, percent: int = 85) -> DataFram
         pivots = saved(pivots.select("bucket", F.col("p.node").alias("pivot"), F.col("p.label").alias("of")), "pivots")
         pairs = members.join(pivots, "bucket").where("label <> of")
         pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        pairs = pairs.join(refused, ["a", "b"], "left_anti")
         pending = saved(_agreeing(pairs, nodes), "pending")
         if not pending.isEmpty():
             asked = pending.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -224,21 +226,25 @@ def linked(df: DataFrame, text: str, doc_id: str, percent: int = 85) -> DataFram
             keys = nodes.select("digest", "node").join(asked, "node")
             found = sets_of(texts, text, doc_id).join(keys, "digest").where("id = node")
             sets = saved(found.select("node", "shingles").dropDuplicates(["node"]), "sets")
-        tried = 1
+        best_only = pivots_of == PIVOTS
         while not pending.isEmpty():
-            # The best pairs of each document are confirmed on the full sets: one at first, then eight times as many.
+            # Confirmed on the full sets: the best pair of each document, then all pairs that are still between components.
             place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agree"), "a"))
-            best = saved(pending.withColumn("place", place).where(F.col("place") <= tried).select("a", "b"), "best")
-            tried *= 8
+            chosen = pending.withColumn("place", place).where("place = 1") if best_only else pending
             one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one"))
             two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("two"))
             common = F.size(F.array_intersect("one", "two"))
-            links = best.join(one, "a").join(two, "b").where(100 * common >= percent * (F.size("one") + F.size("two") - common))
-            labels = _merged(labels, saved(links.select("a", "b"), "links"))
-            pending = saved(_apart(pending.join(best, ["a", "b"], "left_anti"), labels), "pending")
+            similar = 100 * common >= percent * (F.size("one") + F.size("two") - common)
+            judged = saved(chosen.join(one, "a").join(two, "b").select("a", "b", similar.alias("similar")), "judged")
+            refused = refused.unionByName(judged.where("NOT similar").drop("similar"))
+            labels = _merged(labels, judged.where("similar").drop("similar"))
+            if not best_only:
+                break
+            best_only = False
+            pending = saved(_apart(pending.join(judged, ["a", "b"], "left_anti"), labels), "pending")
         spent = pivots.select("bucket", F.col("pivot").alias("node"), F.lit(True).alias("now"))
         members = members.join(spent, ["bucket", "node"], "left").select("bucket", "node", F.coalesce("now", "used").alias("used"))
-        pivots_of *= 4
+        pivots_of *= 8
     found = rows.join(classes, "digest", "left").join(labels, "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("label", "node", "id"))
     return found.select("id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("id").isNull() | (F.col("id") == F.col("component_id")))
