@@ -253,9 +253,8 @@ def _(spark, sf_dir):
 
 def _guarded(spark, sf_dir) -> maintain.Change:
     t = ledger(spark, sf_dir)
-    today = between_days(t.energy, "date_time", AS_OF, AS_OF)
     keys = t.users.select(F.col("user_id").alias("building_id"))
-    return maintain.delete_buildings_guarded(t.buildings, today, keys)
+    return maintain.delete_buildings_guarded(t.buildings, t.energy, keys)
 
 
 @job("delete_buildings_guarded")
@@ -263,6 +262,13 @@ def _(spark, sf_dir):
     return _guarded(spark, sf_dir).table.select("building_id", "name")
 
 
+@job("delete_buildings_guarded_live")
+def _(spark, sf_dir):
+    t = ledger(spark, sf_dir)
+    keys = t.users.select(F.col("user_id").alias("building_id"))
+    return maintain.delete_buildings_guarded(t.buildings, live(spark, sf_dir), keys).table.select("building_id", "name")
+
+
 @job("delete_buildings_refused")
 def _(spark, sf_dir):
     return _guarded(spark, sf_dir).refused
@@ -293,14 +299,14 @@ def _(spark, sf_dir):
 # --- nested documents -----------------------------------------------------------------------
 @query("reading_documents")
 def _(t):
-    rows = energy.readings_with_building(t.buildings, t.energy, AS_OF)
+    rows = energy.readings_with_building(t.buildings, t.energy, AS_OF, role="admin")
     nested = documents.reading_documents(rows)
     return nested.select("id", "date_time", "building.name", "building.primary_use", "building.sq_footage")
 
 
 @query("trip_documents")
 def _(t):
-    rows = transport.trips_with_user(t.users, t.trips, start=MONTH.start, end=MONTH.end)
+    rows = transport.trips_with_user(t.users, t.trips)
     slim = documents.trip_documents(rows).select("id", "mode", F.col("date").cast("string").alias("date"), "user")
     return documents.as_json(slim)
 
@@ -311,7 +317,9 @@ for _name in ("summary", "scopes", "buildings", "monthly_trend", "energy_sources
 
 @query("carbon_footprint_document")
 def _(t):
-    return documents.carbon_footprint_document(t, YEAR).select(F.to_json(F.struct("*")).alias("document"))
+    rows = documents.carbon_footprint_document(t, YEAR)
+    amount = F.coalesce(*[F.get_json_object("document", f"$.{c}") for c in ("total_co2e_kg", "monthly_co2e")])
+    return rows.select("section", "item", amount.cast("double").alias("co2e"))
 
 
 # --- synthetic data -------------------------------------------------------------------------
@@ -349,8 +357,8 @@ def _(spark, sf_dir):
 @job("stream_hourly_trend")
 def _(spark, sf_dir):
     folder = _run_folder(spark)
-    _finished(rollups.start_append(rollups.hourly_trend(live_readings(_live_stream(spark, sf_dir))), folder))
-    return spark.read.parquet(str(PurePosixPath(folder) / "windows"))
+    _finished(rollups.start_rollup(rollups.hourly_trend(live_readings(_live_stream(spark, sf_dir))), folder))
+    return rollups.latest_windows(spark, folder, ("period", "building_id"))
 
 
 def _ingested(spark, sf_dir) -> str:

@@ -372,9 +372,9 @@ for _name, _months in (("personal_footprint", 3), ("personal_footprint_year", 12
 SELECT user_id, COUNT(trip_id) AS total_trips, {zero(SUM_KM)} AS total_distance_km, {zero(SUM_CO2E)} AS total_co2e_kg,
   COALESCE({MEAN_KM}, 0) AS avg_trip_distance FROM {with_trips(recent(_months))} GROUP BY user_id""")
 sql("user_vs_campus_average", f"""
-SELECT user_id, {D("total")} AS user_co2e, COALESCE(a, 0) AS campus_avg_co2e,
-  {R("CAST(total AS DOUBLE) / NULLIF(a, 0) * 100 - 100", 1)} AS percentage_vs_average
-FROM per, (SELECT {Q("SUM(total)", "COUNT(total)")} AS a FROM per WHERE role = 'user') c""", more(f"""per AS (
+SELECT u.user_id, {D("COALESCE(total, 0)")} AS user_co2e, COALESCE(a, 0) AS campus_avg_co2e,
+  {R("CAST(COALESCE(total, 0) AS DOUBLE) / NULLIF(a, 0) * 100 - 100", 1)} AS percentage_vs_average
+FROM users u LEFT JOIN per ON u.user_id = per.user_id, (SELECT {Q("SUM(total)", "COUNT(total)")} AS a FROM per WHERE role = 'user') c""", more(f"""per AS (
   SELECT user_id, role, {SUM_CO2E} AS total FROM travelled WHERE {recent(3)} GROUP BY user_id, role)"""))
 sql("personal_monthly_trend", f"""
 SELECT user_id, {month("date")} AS month, {D(SUM_CO2E)} AS monthly_co2e, COUNT(*) AS monthly_trips

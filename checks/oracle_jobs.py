@@ -261,9 +261,11 @@ WHERE (trip_id, user_id) NOT IN (SELECT trip_id, user_id FROM trips)""", TRIP_SE
 LIVE = f"SELECT {READING}, {D(CO2E)} AS co2e_emitted, date_time AS created_at FROM live"
 sql("delete_readings", f"{LIVE} WHERE record_id NOT IN (SELECT l_orderkey FROM lineitem)")
 sql("delete_initiatives", f"SELECT {INITIATIVE}, description FROM initiatives WHERE status <> 'cancelled'")
-BUSY = more(f"busy AS (SELECT DISTINCT building_id FROM energy WHERE CAST(date_time AS DATE) = {TODAY})")
+BUSY = more("busy AS (SELECT DISTINCT building_id FROM energy)")
 sql("delete_buildings_guarded", """SELECT building_id, name FROM buildings
 WHERE building_id NOT IN (SELECT user_id FROM users) OR building_id IN (SELECT building_id FROM busy)""", BUSY)
+sql("delete_buildings_guarded_live", """SELECT building_id, name FROM buildings
+WHERE building_id NOT IN (SELECT user_id FROM users) OR building_id IN (SELECT building_id FROM live)""")
 sql("delete_buildings_refused", """SELECT user_id AS building_id,
   CASE WHEN user_id IN (SELECT building_id FROM buildings) THEN 'has readings' ELSE 'not found' END AS reason FROM users
 WHERE user_id NOT IN (SELECT building_id FROM buildings) OR user_id IN (SELECT building_id FROM busy)""", BUSY)
@@ -282,13 +284,23 @@ for _section, _same in (
 ):
     SQL[f"footprint_{_section}"] = SQL[_same]
 
+_ITEMS = (
+    ("summary", "''", "total_co2e_kg"), ("scopes", "emission_scope", "total_co2e_kg"), ("buildings", "building_name", "total_co2e_kg"),
+    ("monthly_trend", "month || ' ' || source", "monthly_co2e"), ("energy_sources", "source", "total_co2e_kg"),
+    ("transport_modes", "mode", "total_co2e_kg"),
+)
+SQL["carbon_footprint_document"] = " UNION ALL ".join(
+    f"SELECT '{section}' AS section, CAST({item} AS VARCHAR) AS item, CAST({amount} AS DOUBLE) AS co2e FROM ({SQL['footprint_' + section]}) AS s_{section}"
+    for section, item, amount in _ITEMS
+)
+
 # --- nested documents -----------------------------------------------------------------------
 sql("reading_documents", f"""SELECT record_id AS id, date_time, name, primary_use, sq_footage
-FROM metered WHERE date_time >= {TODAY} - INTERVAL '30 days'""")
+FROM metered""")
 sql("trip_documents", f"""SELECT trip_id AS id, '{{"id":' || trip_id || ',"mode":"' || mode || '","date":"' || date
   || '","user":{{"name":"' || user_name || '","email":"' || email || '"'
   || COALESCE(',"department":"' || department || '"', '') || '}}}}' AS document
-FROM travelled WHERE date {MONTH}""")
+FROM travelled""")
 
 
 # --- synthetic data -------------------------------------------------------------------------
@@ -340,10 +352,8 @@ WHERE {noise("sample", "trip_id", seed=7)} < 0.1""")
 WINDOW_SUMS = f"""count(*) AS record_count, {D("SUM(consumption_kwh)")} AS total_consumption_kwh,
   {D(f"SUM({CO2E})")} AS total_co2e_emitted FROM live"""
 sql("stream_daily_rollup", f"SELECT CAST(date_trunc('day', date_time) AS TIMESTAMP) AS period, {WINDOW_SUMS} GROUP BY 1")
-# The watermark, one day behind the newest reading, holds back the windows still open.
 sql("stream_hourly_trend", f"""
-SELECT CAST(date_trunc('hour', date_time) AS TIMESTAMP) AS period, building_id, {WINDOW_SUMS} GROUP BY 1, 2
-HAVING period + INTERVAL '1 hour' <= (SELECT max(date_time) FROM live) - INTERVAL '1 day'""")
+SELECT CAST(date_trunc('hour', date_time) AS TIMESTAMP) AS period, building_id, {WINDOW_SUMS} GROUP BY 1, 2""")
 sql("stream_ingest", NEW_READINGS, READINGS_CHECKED)
 sql("stream_ingest_refused", f"SELECT record_id, errors AS reason FROM checked WHERE errors <> '' UNION ALL {REFUSED_READINGS}",
     READINGS_CHECKED)

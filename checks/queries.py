@@ -91,10 +91,10 @@ query("building_listing")(
 
 # The same ranks and percentiles by the range-partitioned method, as beyond one task's reach.
 query("building_efficiency_partitioned")(
-    lambda t: buildings.building_efficiency(t.buildings, t.energy, AS_OF, single_task_rows=0)
+    lambda t: buildings.building_efficiency(t.buildings, t.energy, AS_OF, partitioned=True)
 )
 query("building_performance_partitioned")(
-    lambda t: buildings.building_performance_ranked(t.buildings, t.energy, AS_OF, single_task_rows=0)
+    lambda t: buildings.building_performance_ranked(t.buildings, t.energy, AS_OF, partitioned=True)
 )
 
 # --- energy ---------------------------------------------------------------------------------
@@ -130,7 +130,7 @@ query("transport_mode_breakdown")(lambda t: transport.transport_mode_breakdown(t
 query("user_footprint")(lambda t: transport.user_footprint(t.users, t.trips))
 query("user_transport_patterns")(lambda t: transport.user_transport_patterns(t.users, t.trips, AS_OF))
 query("user_transport_patterns_partitioned")(
-    lambda t: transport.user_transport_patterns(t.users, t.trips, AS_OF, single_task_rows=0)
+    lambda t: transport.user_transport_patterns(t.users, t.trips, AS_OF, partitioned=True)
 )
 query("user_recent_trip_stats")(lambda t: transport.user_recent_trip_stats(t.users, t.trips, AS_OF))
 query("user_transport_patterns_range")(

@@ -6,6 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinderbook.schemas import ENERGY_CO2E, TRIP_CO2E
 
@@ -30,9 +31,6 @@ TRIP_FACTORS = {
 }
 UNKNOWN_MODE_FACTOR = Decimal("0.15")
 
-# A factor table up to this many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_FACTORS = 10_000
-
 
 def _emission(key: str, amount: str, factors: dict, default: Decimal) -> Column:
     cases = " ".join(f"WHEN '{name}' THEN {amount} * {factor}BD" for name, factor in factors.items())
@@ -54,7 +52,7 @@ def with_energy_co2e(df: DataFrame, factors: DataFrame | None = None) -> DataFra
     if factors is None:
         return df.withColumn("co2e_emitted", energy_co2e())
     return _with_factor_table(
-        df, factors, "source", "consumption_kwh", UNKNOWN_SOURCE_FACTOR, ENERGY_CO2E
+        df, factors, "source", ENERGY_FACTORS, "consumption_kwh", UNKNOWN_SOURCE_FACTOR, ENERGY_CO2E
     )
 
 
@@ -62,13 +60,19 @@ def with_trip_co2e(df: DataFrame, factors: DataFrame | None = None) -> DataFrame
     """Set `co2e_emitted` of trips, from the built-in factors or a (key, factor) table."""
     if factors is None:
         return df.withColumn("co2e_emitted", trip_co2e())
-    return _with_factor_table(df, factors, "mode", "distance_km", UNKNOWN_MODE_FACTOR, TRIP_CO2E)
+    return _with_factor_table(
+        df, factors, "mode", TRIP_FACTORS, "distance_km", UNKNOWN_MODE_FACTOR, TRIP_CO2E
+    )
 
 
-def _with_factor_table(df, factors, key, amount, default, kind) -> DataFrame:
-    # One row per key, so that the join cannot multiply facts.
-    table = factors.groupBy(F.col("key").alias("_factor_key")).agg(
-        F.max(F.col("factor").cast("decimal(6,4)")).alias("_factor"),
+def _with_factor_table(df, factors, key, keys, amount, default, kind) -> DataFrame:
+    # Only keys that facts may hold, one row each: the join cannot multiply facts, and the table is small enough to send to
+    # every task whatever its size was.  Factors keep their own scale; only the emission is rounded.
+    if not isinstance(factors.schema["factor"].dataType, T.DecimalType):
+        raise TypeError("factors must be decimals")
+    known = factors.filter(F.col("key").isin(list(keys)))
+    table = known.groupBy(F.col("key").alias("_factor_key")).agg(
+        F.max("factor").alias("_factor"),
         F.count_distinct("factor").alias("_variants"),
     ).withColumn(
         "_factor",
@@ -76,11 +80,9 @@ def _with_factor_table(df, factors, key, amount, default, kind) -> DataFrame:
             F.raise_error(F.lit("factor table holds two factors for one key"))
         ),
     ).drop("_variants")
-    if factors.limit(BROADCAST_FACTORS + 1).count() <= BROADCAST_FACTORS:
-        table = F.broadcast(table)
-    rated = F.col(amount) * F.coalesce(F.col("_factor"), F.lit(default).cast("decimal(6,4)"))
+    rated = F.col(amount) * F.coalesce(F.col("_factor"), F.lit(default))
     return (
-        df.join(table, df[key] == table["_factor_key"], "left")
+        df.join(F.broadcast(table), df[key] == table["_factor_key"], "left")
         .withColumn("co2e_emitted", rated.cast(kind))
         .drop("_factor_key", "_factor")
     )

@@ -1,10 +1,9 @@
 """Ranks, percent ranks and percentiles over a whole table.
 
 `rank() OVER (ORDER BY x)` has no partition key: Spark moves every row into one task.  That is
-right for a frame of proven small size (one row per building of a campus) and hopeless for one
-row per user of a large organisation.  So every function here takes `at_most`, an upper bound of
-the row count the caller can prove, and switches to a range-partitioned method beyond
-`SINGLE_TASK_ROWS` (or when there is no bound).
+right for a frame of small size (one row per building of a campus) and hopeless for one row per
+user of a large organisation.  So every function here takes `partitioned`: False plans the plain
+window, True the range-partitioned method.  Nothing is counted to choose; the results are equal.
 
 The range-partitioned method cuts the value axis at approximate quantiles.  Each cut value is a
 bucket of its own, the open intervals between cuts are the others:
@@ -24,13 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderbook.operators.durable import durable
-
-# Rows one task ranks without trouble.
-SINGLE_TASK_ROWS = 200_000
-
-# Upper bound for the number of cuts, whatever the cluster's shuffle parallelism.
-MAX_CUTS = 512
+# Rows of an interval between two cuts, about.
+INTERVAL_ROWS = 200_000
 
 _BELOW, _TIES, _TOTAL = "_rows_below", "_rows_tied", "_rows_total"
 
@@ -43,8 +37,7 @@ def with_global_rank(
     descending: bool = True,
     percent_rank: str | None = None,
     total: str | None = None,
-    at_most: int | None = None,
-    single_task_rows: int = SINGLE_TASK_ROWS,
+    partitioned: bool = False,
 ) -> DataFrame:
     """Add columns computed over the whole frame.
 
@@ -52,7 +45,7 @@ def with_global_rank(
     `total` is the number of rows.  NULLs are the largest value: first when descending, last
     when ascending.
     """
-    if at_most is not None and at_most <= single_task_rows:
+    if not partitioned:
         return _ranked_in_one_task(df, measure, rank, descending, percent_rank, total)
     placed = place_rows(df, measure)
     below, ties, rows = F.col(_BELOW), F.col(_TIES), F.col(_TOTAL)
@@ -84,14 +77,14 @@ def _ranked_in_one_task(df, measure, rank, descending, percent_rank, total) -> D
 def place_rows(df: DataFrame, measure: str, cuts: int | None = None) -> DataFrame:
     """Add, per row: how many rows are below it, how many share its value, how many there are.
 
-    The frame is written out first: it is read for the cuts, for the counts and for the result,
-    and these three must see the same rows.
+    The frame is read for the cuts, for the counts and for the result, so it should be a small
+    aggregation with exact sums: computed again, it gives the same rows.  It is kept while the
+    session runs; a lost part is computed again.  The number of cuts follows the row count.
     """
-    df = durable(df)
-    spark = df.sparkSession
+    df = df.persist()
     kind = df.schema[measure].dataType
     if cuts is None:
-        cuts = max(2, min(MAX_CUTS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        cuts = max(4, -(-df.count() // INTERVAL_ROWS))
     steps = [F.lit(i / cuts) for i in range(1, cuts)]
     found = df.agg(F.percentile_approx(measure, F.array(*steps), F.lit(10_000))).first()[0] or []
     bounds = sorted(set(found))
@@ -108,7 +101,7 @@ def place_rows(df: DataFrame, measure: str, cuts: int | None = None) -> DataFram
         bucket = F.lit(1)
     bucketed = df.withColumn("_bucket", bucket)
 
-    # At most 2 * MAX_CUTS + 2 rows: one task, and safe to broadcast.
+    # Two rows a cut: one for each 100,000 rows of the frame.
     sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     in_order = Window.partitionBy().orderBy("_bucket")
     offsets = sizes.select(
@@ -129,7 +122,7 @@ def place_rows(df: DataFrame, measure: str, cuts: int | None = None) -> DataFram
     )
     return (
         tied.unionByName(spread)
-        .join(F.broadcast(offsets), "_bucket")
+        .join(offsets, "_bucket")
         .withColumns(
             {
                 _BELOW: F.col("_offset") + F.col("_inside"),
@@ -146,15 +139,13 @@ def with_percentiles(
     fractions: Sequence[float],
     into: str,
     *,
-    at_most: int | None = None,
-    single_task_rows: int = SINGLE_TASK_ROWS,
+    partitioned: bool = False,
 ) -> DataFrame:
     """Add the exact interpolated percentiles of the measure as an array column."""
-    if at_most is not None and at_most <= single_task_rows:
+    if not partitioned:
         points = F.array(*[F.lit(float(f)) for f in fractions])
         cut_points = F.percentile(measure, points).over(Window.partitionBy())
         return df.withColumn(into, cut_points)
-    df = durable(df)
     values = distributed_percentiles(df, measure, fractions)
     return df.withColumn(into, F.array(*[F.lit(v).cast("double") for v in values]))
 

@@ -17,7 +17,7 @@ from cinderbook.functions.exprs import (
 )
 from cinderbook.operators.paging import numbered, page_of, top
 from cinderbook.operators.predicates import between_days, equal_to, where
-from cinderbook.operators.ranking import SINGLE_TASK_ROWS, with_global_rank, with_percentiles
+from cinderbook.operators.ranking import with_global_rank, with_percentiles
 from cinderbook.operators.totals import co2e_totals, energy_totals, exact_sum, row_count
 from cinderbook.params import DateRange, Page, days_before, months_before
 
@@ -140,12 +140,12 @@ def building_efficiency(
     buildings: DataFrame,
     energy: DataFrame,
     as_of: dt.date | str,
-    single_task_rows: int = SINGLE_TASK_ROWS,
+    partitioned: bool = False,
 ) -> DataFrame:
     """Mean, spread, intensity, rank and quartile rating over the last month's readings.
 
-    The averages are per reading.  There is one row per building, so the building count bounds
-    what is ranked and decides how.
+    The averages are per reading.  There is one row per building; `partitioned` ranks them
+    without bringing all of them into one task.
     """
     kwh = F.col("consumption_kwh")
     stats = between_days(energy, "date_time", start=months_before(as_of, 1)).groupBy("building_id").agg(
@@ -159,9 +159,8 @@ def building_efficiency(
     rows = stats.join(_described(buildings), "building_id").withColumn(
         "intensity", ratio(mean(F.col("co2e"), F.col("records")), F.col("sq_footage"))
     )
-    bound = {"at_most": buildings.count(), "single_task_rows": single_task_rows}
-    rows = with_percentiles(rows, "intensity", (0.25, 0.5, 0.75), "quartiles", **bound)
-    rows = with_global_rank(rows, "intensity", rank="efficiency_rank", descending=False, **bound)
+    rows = with_percentiles(rows, "intensity", (0.25, 0.5, 0.75), "quartiles", partitioned=partitioned)
+    rows = with_global_rank(rows, "intensity", rank="efficiency_rank", descending=False, partitioned=partitioned)
     return rows.select(
         "building_id",
         "building_name",
@@ -183,7 +182,7 @@ def building_performance_ranked(
     as_of: dt.date | str,
     days: int = 30,
     highest_first: bool = True,
-    single_task_rows: int = SINGLE_TASK_ROWS,
+    partitioned: bool = False,
 ) -> DataFrame:
     """Emission and intensity ranks over the last days, empty buildings included.
 
@@ -201,9 +200,8 @@ def building_performance_ranked(
         F.coalesce(ratio(F.col("co2e"), F.col("sq_footage")), F.lit(0.0)).alias("co2e_per_sqft"),
         or_zero(F.col("records")).alias("record_count"),
     )
-    bound = {"at_most": buildings.count(), "single_task_rows": single_task_rows}
-    rows = with_global_rank(rows, "total_co2e", rank="emission_rank", total="building_total", **bound)
-    rows = with_global_rank(rows, "co2e_per_sqft", rank="efficiency_rank", descending=highest_first, **bound)
+    rows = with_global_rank(rows, "total_co2e", rank="emission_rank", total="building_total", partitioned=partitioned)
+    rows = with_global_rank(rows, "co2e_per_sqft", rank="efficiency_rank", descending=highest_first, partitioned=partitioned)
     rating = rank_percentile_rating(F.col("efficiency_rank"), F.col("building_total"))
     return (
         rows.withColumn("efficiency_rating", rating)

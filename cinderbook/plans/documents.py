@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderbook.operators.totals import one_row
 from cinderbook.params import DateRange
 from cinderbook.plans import overview
 from cinderbook.schemas import Ledger
@@ -43,38 +43,27 @@ def as_json(rows: DataFrame, key: str = "id") -> DataFrame:
     return rows.select(F.col(key), F.to_json(F.struct(*rows.columns)).alias("document"))
 
 
-# How each nested list is ordered; a leading minus stands for descending.
-_ORDERS = {
-    "scopes": ("-total_co2e_kg", "emission_scope"),
-    "buildings": ("-total_co2e_kg", "building_name"),
+# What names an item within its section.
+_ITEMS = {
+    "summary": (),
+    "scopes": ("emission_scope",),
+    "buildings": ("building_name",),
     "monthly_trend": ("month", "source"),
-    "energy_sources": ("-total_co2e_kg", "source"),
-    "transport_modes": ("-total_co2e_kg", "mode"),
+    "energy_sources": ("source",),
+    "transport_modes": ("mode",),
 }
 
 
-def _listed(section: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """A short section as one array in the given order."""
-    by = [F.col(c[1:]).desc_nulls_first() if c.startswith("-") else F.col(c).asc_nulls_last() for c in order]
-    placed = section.withColumn("_place", F.row_number().over(Window.partitionBy().orderBy(*by)))
-    items = F.array_sort(F.collect_list(F.struct("_place", *section.columns)))
-    return placed.agg(items.alias("items")).select(
-        F.transform("items", lambda item: item.dropFields("_place")).alias("items")
-    )
-
-
-def carbon_footprint_document(ledger: Ledger, days: DateRange, largest: int = 10) -> DataFrame:
-    """The carbon footprint report as one nested row.
+def carbon_footprint_document(ledger: Ledger, days: DateRange) -> DataFrame:
+    """The whole carbon footprint report as rows: section, item, and the item as one JSON document.
 
-    Only sections of a fixed small size are nested: scopes, sources, modes, months of the range
-    and the largest emitters.  The section with every building is a frame of its own, see
-    `overview.carbon_footprint` and `write_sections`.
+    Every building of the range has its document; no section is gathered into one row.
     """
-    sections = overview.carbon_footprint(ledger, days, limit=largest)
-    summary = sections.pop("summary")
-    lists = {name: _listed(section, _ORDERS[name]) for name, section in sections.items()}
-    parts = one_row(ledger.energy.sparkSession, summary=summary, **lists)
-    return parts.select("summary", *[F.col(f"{name}.items").alias(name) for name in lists])
+    parts = []
+    for name, section in overview.carbon_footprint(ledger, days).items():
+        item = F.concat_ws(" ", *[F.col(c).cast("string") for c in _ITEMS[name]])
+        parts.append(section.select(F.lit(name).alias("section"), item.alias("item"), F.to_json(F.struct("*")).alias("document")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def write_sections(sections: dict[str, DataFrame], path: str) -> None:

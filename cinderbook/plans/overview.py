@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderbook.functions.exprs import month_of, or_zero, rounded, tonnes
-from cinderbook.operators.durable import durable
 from cinderbook.operators.predicates import between_days
 from cinderbook.operators.ranking import share_of_total
 from cinderbook.operators.totals import (
@@ -155,13 +154,14 @@ def _summary_of(buildings: DataFrame, per_building: DataFrame, trips: DataFrame,
 def carbon_footprint(ledger: Ledger, days: DateRange, limit: int | None = None) -> dict[str, DataFrame]:
     """Every section of the carbon footprint report.
 
-    The facts are read once: readings are totalled by month, building and source, trips by month
-    and mode, and written to the shared folder; all sections roll up these two small tables.
+    Readings are totalled by month, building and source, trips by month and mode; all sections roll
+    these two small tables up.  In one query over several sections Spark reads each fact once and
+    reuses the totals.
     """
     energy = between_days(ledger.energy, "date_time", days.start, days.end)
     trips = between_days(ledger.trips, "date", days.start, days.end)
-    by_energy = durable(energy_totals(energy, month_of(F.col("date_time")).alias("month"), "building_id", "source"))
-    by_trip = durable(trip_totals(trips, month_of(F.col("date")).alias("month"), "mode"))
+    by_energy = energy_totals(energy, month_of(F.col("date_time")).alias("month"), "building_id", "source")
+    by_trip = trip_totals(trips, month_of(F.col("date")).alias("month"), "mode")
     energy_row = roll_up(by_energy).withColumnRenamed("records", "record_count")
     trip_row = roll_up(by_trip).withColumnRenamed("trips", "record_count")
     energy_row, trip_row = (row.withColumn("record_count", or_zero(F.col("record_count"))) for row in (energy_row, trip_row))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cinderbook.functions.exprs import full_name, mean, month_of, or_zero, period_start, rounded
 from cinderbook.operators.paging import page_after, page_info, page_of, page_per_key, top
 from cinderbook.operators.predicates import between_days, equal_to, where
-from cinderbook.operators.ranking import SINGLE_TASK_ROWS, with_global_rank
+from cinderbook.operators.ranking import with_global_rank
 from cinderbook.operators.totals import co2e_totals, trip_totals
 from cinderbook.params import PERIOD_MONTHS, DateRange, Page, check_choice, months_before
 
@@ -61,15 +61,14 @@ def _user_totals(trips: DataFrame) -> DataFrame:
     )
 
 
-def _ranked_patterns(users: DataFrame, totals: DataFrame, at_most: int, single_task_rows: int) -> DataFrame:
+def _ranked_patterns(users: DataFrame, totals: DataFrame, partitioned: bool) -> DataFrame:
     rows = totals.join(users.select("user_id", "first_name", "last_name", "department"), "user_id")
     rows = with_global_rank(
         rows,
         "co2e",
         rank="co2e_rank",
         percent_rank="percent",
-        at_most=at_most,
-        single_task_rows=single_task_rows,
+        partitioned=partitioned,
     )
     return rows.select(
         "user_id",
@@ -94,7 +93,7 @@ def user_transport_patterns(
     trips: DataFrame,
     as_of: dt.date | str,
     months: int = 3,
-    single_task_rows: int = SINGLE_TASK_ROWS,
+    partitioned: bool = False,
 ) -> DataFrame:
     """Ranked trip statistics of users with trips in the last months.
 
@@ -104,7 +103,7 @@ def user_transport_patterns(
     cutoff = months_before(as_of, months)
     recent = trips.filter(F.col("date").isNull() | (F.col("date") >= F.lit(cutoff)))
     people = users.filter(F.col("role") == "user")
-    return _ranked_patterns(people, _user_totals(recent), users.count(), single_task_rows).orderBy(*_largest_first())
+    return _ranked_patterns(people, _user_totals(recent), partitioned).orderBy(*_largest_first())
 
 
 def user_recent_trip_stats(
@@ -136,12 +135,12 @@ def user_transport_patterns_range(
     days: DateRange,
     department: str | None = None,
     limit: int = 20,
-    single_task_rows: int = SINGLE_TASK_ROWS,
+    partitioned: bool = False,
 ) -> DataFrame:
     """Ranked trip statistics in a date range, all roles, optionally one department; top rows."""
     people = where(users, equal_to("department", department))
     totals = _user_totals(between_days(trips, "date", days.start, days.end))
-    rows = _ranked_patterns(people, totals, users.count(), single_task_rows)
+    rows = _ranked_patterns(people, totals, partitioned)
     return top(rows, _largest_first(), limit)
 
 
@@ -199,7 +198,7 @@ def personal_footprint(
 def user_vs_campus_average(
     users: DataFrame, trips: DataFrame, as_of: dt.date | str, months: int = 3, user_id=None
 ) -> DataFrame:
-    """Each traveller's total against the mean total of travellers with the role 'user'.
+    """Each person's total, 0 without a trip, against the mean total of travellers with the role 'user'.
 
     The mean is a scalar subquery over the same aggregation, whose shuffle Spark reuses.
     """
@@ -212,7 +211,8 @@ def user_vs_campus_average(
         mean(F.sum(of_user), F.count(of_user)).alias("average")
     )
     versus = F.col("co2e").cast("double") / F.nullif(F.col("average"), F.lit(0.0)) * 100 - 100
-    rows = totals.withColumn("average", campus.scalar())
+    rows = users.select("user_id").join(totals, "user_id", "left").withColumn("co2e", or_zero(F.col("co2e")))
+    rows = rows.withColumn("average", campus.scalar())
     return where(rows, equal_to("user_id", user_id)).select(
         "user_id",
         F.col("co2e").alias("user_co2e"),

@@ -16,7 +16,7 @@ def test_same_rows(spark, con, small, name):
 
 def test_sql_is_registered():
     assert set(SQL) <= set(REGISTRY)
-    assert set(REGISTRY) - set(SQL) == {"carbon_footprint_document"}
+    assert set(REGISTRY) - set(SQL) == set()
 
 
 def test_entry(spark):

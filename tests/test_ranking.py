@@ -38,12 +38,12 @@ def sets():
 
 @pytest.mark.parametrize("name", list(sets()))
 @pytest.mark.parametrize("descending", [True, False])
-@pytest.mark.parametrize("at_most", [None, 5000])
-def test_ranks(spark, name, descending, at_most):
+@pytest.mark.parametrize("partitioned", [True, False])
+def test_ranks(spark, name, descending, partitioned):
     values = sets()[name]
     df = spark.createDataFrame(list(enumerate(values)), "id INT, v DOUBLE").repartition(5)
     ranked = with_global_rank(
-        df, "v", rank="r", descending=descending, percent_rank="p", total="n", at_most=at_most
+        df, "v", rank="r", descending=descending, percent_rank="p", total="n", partitioned=partitioned
     )
     got = {row.id: (row.r, row.p, row.n) for row in ranked.collect()}
     assert len(got) == len(values)
@@ -53,8 +53,8 @@ def test_ranks(spark, name, descending, at_most):
 
 def test_ranks_of_decimals(spark):
     df = spark.range(300).selectExpr("id", "CAST(id % 100 AS DECIMAL(20,4)) / 4 AS v")
-    plain = {r.id: r.r for r in with_global_rank(df, "v", rank="r", at_most=300).collect()}
-    spread = {r.id: r.r for r in with_global_rank(df, "v", rank="r").collect()}
+    plain = {r.id: r.r for r in with_global_rank(df, "v", rank="r").collect()}
+    spread = {r.id: r.r for r in with_global_rank(df, "v", rank="r", partitioned=True).collect()}
     assert plain == spread
 
 
@@ -70,6 +70,6 @@ def test_percentiles(spark, name):
     df = spark.createDataFrame(list(enumerate(values)), "id INT, v DOUBLE").repartition(5)
     fractions = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
     expected = np.percentile([v for v in values if v is not None], [100 * f for f in fractions])
-    for at_most in (None, 5000):
-        got = with_percentiles(df, "v", fractions, "q", at_most=at_most).first().q
+    for partitioned in (True, False):
+        got = with_percentiles(df, "v", fractions, "q", partitioned=partitioned).first().q
         assert got == pytest.approx(list(expected))
