@@ -119,11 +119,20 @@ def _(spark, sf_dir):
     return reasons(_appended_readings(spark, sf_dir), "record_id")
 
 
-@job("append_trips")
-def _(spark, sf_dir):
+def _appended_trips(spark, sf_dir) -> maintain.Change:
     checked = quality.check_trips(submitted(spark, sf_dir, given.TRIPS_SUBMITTED))
     t = ledger(spark, sf_dir)
-    return maintain.append_trips(t.trips, t.users, quality.accepted(checked), LOADED_AT).table
+    return maintain.append_trips(t.trips, t.users, quality.accepted(checked), LOADED_AT)
+
+
+@job("append_trips")
+def _(spark, sf_dir):
+    return _appended_trips(spark, sf_dir).table
+
+
+@job("append_trips_refused")
+def _(spark, sf_dir):
+    return reasons(_appended_trips(spark, sf_dir), "trip_id")
 
 
 def _appended_buildings(spark, sf_dir) -> maintain.Change:

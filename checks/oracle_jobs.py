@@ -57,6 +57,8 @@ INITIATIVE_ERRORS = errors(
     ("status is unknown", "(status IS NULL OR status IN ('planned','active','completed','cancelled'))"),
     ("start_date must be an ISO date", f"(start_date IS NULL OR {iso('start_date')})"),
     ("end_date must be an ISO date", f"(end_date IS NULL OR {iso('end_date')})"),
+    ("end_date must not be before start_date",
+     "COALESCE(CAST(TRY_CAST(end_date AS TIMESTAMP) AS DATE) >= CAST(TRY_CAST(start_date AS TIMESTAMP) AS DATE), TRUE)"),
 )
 INITIATIVES_CHECKED = more(batch("submitted", given.INITIATIVES_SUBMITTED),
                            "raw AS (SELECT * REPLACE (trim(name) AS name) FROM submitted)", f"""checked AS (
@@ -167,16 +169,24 @@ TRIP_CO2E = """CAST(CASE mode WHEN 'car' THEN distance_km * CAST(0.21 AS DECIMAL
   WHEN 'bike' THEN 0 WHEN 'walk' THEN 0 ELSE distance_km * CAST(0.15 AS DECIMAL(2,2)) END AS DECIMAL(8,4))"""
 READING = f"record_id, building_id, date_time, source, {D('consumption_kwh')} AS consumption_kwh"
 TRIP = f"trip_id, user_id, date, mode, {D('distance_km')} AS distance_km"
-NEW_READINGS = f"""SELECT {READING}, {LOADED} AS created_at, {D(CO2E)} AS co2e_emitted FROM checked
-WHERE errors = '' AND building_id IN (SELECT building_id FROM buildings)"""
-REFUSED_READINGS = """SELECT record_id, 'unknown building_id' AS reason FROM checked
-WHERE errors = '' AND building_id NOT IN (SELECT building_id FROM buildings)"""
+# A key is unique: an insert of a known one is refused, and of several rows with one key only one goes in.
+FIT_READINGS = """(SELECT *, record_id IN (SELECT record_id FROM energy) AS known, row_number() OVER (PARTITION BY record_id
+    ORDER BY building_id DESC, date_time DESC, source DESC, consumption_kwh DESC) AS place FROM checked
+  WHERE errors = '' AND building_id IN (SELECT building_id FROM buildings)) fit"""
+NEW_READINGS = f"""SELECT {READING}, {LOADED} AS created_at, {D(CO2E)} AS co2e_emitted FROM {FIT_READINGS} WHERE place = 1 AND NOT known"""
+REFUSED_READINGS = f"""SELECT record_id, 'unknown building_id' AS reason FROM checked
+WHERE errors = '' AND building_id NOT IN (SELECT building_id FROM buildings)
+UNION ALL SELECT record_id, 'record_id exists' FROM {FIT_READINGS} WHERE place = 1 AND known
+UNION ALL SELECT record_id, 'record_id repeated in the batch' FROM {FIT_READINGS} WHERE place = 2"""
 sql("append_readings", f"""SELECT {READING}, created_at, {D("co2e_emitted")} AS co2e_emitted FROM energy
 UNION ALL {NEW_READINGS}""", READINGS_CHECKED)
 sql("append_readings_refused", REFUSED_READINGS, READINGS_CHECKED)
 sql("append_trips", f"""SELECT {TRIP}, created_at, {D("co2e_emitted")} AS co2e_emitted FROM trips
 UNION ALL SELECT {TRIP}, {LOADED}, {D(TRIP_CO2E)} FROM checked
-WHERE errors = '' AND user_id IN (SELECT user_id FROM users)""", TRIPS_CHECKED)
+WHERE errors = '' AND user_id IN (SELECT user_id FROM users) AND trip_id NOT IN (SELECT trip_id FROM trips)""", TRIPS_CHECKED)
+sql("append_trips_refused", """SELECT trip_id, CASE WHEN user_id NOT IN (SELECT user_id FROM users) THEN 'unknown user_id'
+  ELSE 'trip_id exists' END AS reason FROM checked
+WHERE errors = '' AND (user_id NOT IN (SELECT user_id FROM users) OR trip_id IN (SELECT trip_id FROM trips))""", TRIPS_CHECKED)
 
 BUILDING_VERDICT = """verdict AS (SELECT *, building_id = min(building_id) OVER (PARTITION BY name) AS first,
   name IN (SELECT name FROM buildings) AS known FROM checked WHERE errors = '')"""

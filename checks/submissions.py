@@ -8,7 +8,7 @@ from __future__ import annotations
 TRIPS_SUBMITTED = (
     "orders",
     (
-        "-1 - o_orderkey AS trip_id",
+        "CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey ELSE -1 - o_orderkey END AS trip_id",
         "o_custkey + CASE WHEN o_orderstatus = 'P' THEN 100 ELSE 0 END AS user_id",
         "CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'F' THEN 'soon'"
         " ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS date",
@@ -22,7 +22,7 @@ TRIPS_SUBMITTED = (
 READINGS_SUBMITTED = (
     "events",
     (
-        "event_id AS record_id",
+        "CASE WHEN event_id % 5 = 0 THEN event_id WHEN event_id % 7 = 0 THEN -event_id ELSE -1 - event_id END AS record_id",
         "CASE WHEN event_type = 'error' THEN -1 - user_id ELSE user_id END AS building_id",
         "CASE WHEN event_type = 'click' AND value > 100 THEN 'never' ELSE CAST(ts AS STRING) END AS date_time",
         "CASE event_type WHEN 'view' THEN 'electricity' WHEN 'click' THEN 'gas' WHEN 'purchase' THEN 'fuel'"
@@ -41,7 +41,8 @@ INITIATIVES_SUBMITTED = (
         "CASE p_type WHEN 'PROMO' THEN 'draft' WHEN 'LARGE' THEN NULL WHEN 'ECONOMY' THEN 'active' ELSE 'planned' END"
         " AS status",
         "CASE WHEN p_size = 30 THEN '2001-02-30' ELSE '2001-03-01' END AS start_date",
-        "CASE WHEN p_size = 20 THEN '1 May' WHEN p_size > 20 THEN '2002-01-31' END AS end_date",
+        "CASE WHEN p_size = 20 THEN '1 May' WHEN p_size > 40 THEN '2001-02-01'"
+        " WHEN p_size > 20 THEN '2002-01-31' END AS end_date",
         "p_partkey AS created_by",
     ),
 )

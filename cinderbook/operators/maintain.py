@@ -57,9 +57,31 @@ def _without_month(table: DataFrame) -> DataFrame:
     return table.drop(MONTH_COLUMN)
 
 
-def _key_default(table: DataFrame, key: str) -> dict[str, Column]:
-    """Text keys are generated where missing."""
-    return {key: F.uuid()} if isinstance(table.schema[key].dataType, T.StringType) else {}
+def _keyed(batch: DataFrame, table: DataFrame, key: str, loaded_at: dt.datetime) -> DataFrame:
+    """Text keys are generated where missing: from the load time and the row, so that a task run again gives the same."""
+    if not isinstance(table.schema[key].dataType, T.StringType):
+        return batch
+    if key not in batch.columns:
+        batch = batch.withColumn(key, F.lit(None).cast("string"))
+    h = F.md5(F.concat_ws("|", F.lit(loaded_at.isoformat()), F.to_json(F.struct(*batch.columns))))
+    part = lambda start, n: F.substring(h, start, n)
+    made = F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-a"), part(18, 3), F.lit("-"), part(21, 12))
+    return batch.withColumn(key, F.coalesce(key, made))
+
+
+def _new_keys(table: DataFrame, rows: DataFrame, key: str, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row for each key that the table does not have, and what is refused: known keys, and keys given twice.
+
+    Of several rows of a key the largest by its other columns is taken; the refused row beside it is the smallest.
+    """
+    others = [c for c in rows.columns if c != key]
+    packed = F.struct(*others)
+    keys = rows.groupBy(key).agg(F.max(packed).alias("_one"), F.min(packed).alias("_other"), F.count(F.lit(1)).alias("_n"))
+    one = keys.select(key, "_one.*").select(*rows.columns)
+    known = table.select(key).join(broadcast_if_small(one.select(key), batch), key, "left_semi").distinct()
+    refused = _refuse(one.join(known, key, "left_semi").select(*rows.columns), f"{key} exists")
+    again = keys.filter("_n > 1").select(key, "_other.*").select(*rows.columns)
+    return one.join(known, key, "left_anti").select(*rows.columns), refused.unionByName(_refuse(again, f"{key} repeated in the batch"))
 
 
 def _load_time(loaded_at: dt.datetime) -> Column:
@@ -80,23 +102,26 @@ def append_trips(trips: DataFrame, users: DataFrame, batch: DataFrame, loaded_at
 
 
 def _append_facts(table, parents, batch, key, parent_key, loaded_at, derive) -> Change:
-    table = _without_month(table)
+    table, batch = _without_month(table), _keyed(batch, table, key, loaded_at)
     known = parents.select(parent_key)
-    defaults = {"created_at": _load_time(loaded_at), **_key_default(table, key)}
-    rows = batch.join(known, parent_key, "left_semi")
+    defaults = {"created_at": _load_time(loaded_at)}
+    rows, refused = _new_keys(table, batch.join(known, parent_key, "left_semi").select(*batch.columns), key, batch)
     applied = derive(_aligned(rows, table, defaults)).select(*table.columns)
-    refused = _refuse(batch.join(known, parent_key, "left_anti"), f"unknown {parent_key}")
+    unknown = batch.join(known, parent_key, "left_anti").select(*batch.columns)
+    refused = _refuse(unknown, f"unknown {parent_key}").unionByName(refused)
     return Change(table.unionByName(applied), applied, refused)
 
 
 def append_unique(
     table: DataFrame, batch: DataFrame, key: str, unique: str, loaded_at: dt.datetime
 ) -> Change:
-    """Add buildings or users whose name or address is new.
+    """Add buildings or users whose key and whose name or address are new.
 
     Of several rows with the same new value the smallest key is taken.  Batch rows bear a key.
     """
     batch = latest_per_key(batch, [key], [unique])
+    taken = batch.join(table.select(key), key, "left_semi").select(*batch.columns)
+    batch = batch.join(table.select(key), key, "left_anti").select(*batch.columns)
     first = batch.groupBy(unique).agg(F.min(key).alias(key))
     free = first.join(table.select(unique), unique, "left_anti")
     # The pair (value, key) identifies a batch row: no join on the possibly very common value.
@@ -105,7 +130,8 @@ def append_unique(
     applied = _aligned(batch.join(free, pair, "left_semi"), table, defaults)
     others = batch.join(free, pair, "left_anti").join(first.withColumn("_first", F.lit(True)), pair, "left")
     reason = F.when(F.col("_first"), f"{unique} exists").otherwise(f"{unique} repeated in the batch")
-    return Change(table.unionByName(applied), applied, others.withColumn("reason", reason).drop("_first"))
+    refused = others.withColumn("reason", reason).select(*batch.columns, "reason")
+    return Change(table.unionByName(applied), applied, refused.unionByName(_refuse(taken, f"{key} exists")))
 
 
 def append_initiatives(
@@ -113,20 +139,22 @@ def append_initiatives(
 ) -> Change:
     """Add initiatives.  Only an admin decides the status, suggestions of others are planned.
 
-    `created_by` names the submitter; rows of unknown submitters are refused.
+    `created_by` names the submitter; rows of unknown submitters and known or repeated keys are refused.
     """
+    batch = _keyed(batch, initiatives, "initiative_id", loaded_at)
     submitters = users.select(F.col("user_id").alias("created_by"), F.col("role").alias("_role"))
     status = F.when(F.col("_role") == "admin", F.coalesce("status", F.lit("planned"))).otherwise(F.lit("planned"))
-    rows = batch.join(submitters, "created_by").withColumn("status", status).drop("_role")
+    rows = batch.join(submitters, "created_by").withColumn("status", status).select(*batch.columns)
+    rows, refused = _new_keys(initiatives, rows, "initiative_id", batch)
     defaults = {
         "created_at": _load_time(loaded_at),
         "updated_at": _load_time(loaded_at),
         "actual_reduction_tco2e": F.lit(0),
-        **_key_default(initiatives, "initiative_id"),
     }
     applied = _aligned(rows, initiatives, defaults)
     known = submitters.select("created_by")
-    refused = _refuse(batch.join(known, "created_by", "left_anti"), "unknown submitter")
+    unknown = batch.join(known, "created_by", "left_anti").select(*batch.columns)
+    refused = _refuse(unknown, "unknown submitter").unionByName(refused)
     return Change(initiatives.unionByName(applied), applied, refused)
 
 

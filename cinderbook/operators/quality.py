@@ -135,6 +135,7 @@ def check_initiatives(df: DataFrame) -> DataFrame:
         "status is unknown": _optional(status, status.isin(*STATUSES)),
         "start_date must be an ISO date": _optional(start, F.col("_start").isNotNull()),
         "end_date must be an ISO date": _optional(end, F.col("_end").isNotNull()),
+        "end_date must not be before start_date": F.coalesce(F.col("_end") >= F.col("_start"), F.lit(True)),
     }
     typed = {
         "target_reduction_tco2e": target.try_cast(REDUCTION),
