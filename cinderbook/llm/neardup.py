@@ -8,7 +8,7 @@ rounds.
 
 Links: documents with equal shingle sets form a class with one representative. Bands of ROWS coordinates put the
 representatives into buckets (at similarity 0.85 a pair misses all 40 bands once in 10^10). A bucket is never expanded into
-all pairs: in each round some of its members, PIVOTS at first and eight times as many each round, are compared with the
+all pairs: in each round some of its members, one at first and eight times as many each round, are compared with the
 members outside their component, and are not used again. Pairs whose sketches agree in less than MAYBE of the coordinates
 are dropped; of the rest, each document's best pair is confirmed on the full sets, links merge components, and then all pairs
 that are still between components are. A bucket is done when all its members are in one component or all were pivots, so
@@ -33,7 +33,7 @@ from cinderbook.llm.common import mapped, saved, slices
 WORDS = 5
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
-PIVOTS = 16
+PIVOTS = 1
 MAYBE = 0.7  # share of equal coordinates; at similarity 0.85 less than that is six standard deviations off
 KEPT = 1 << 18  # hashes of distinct words a task remembers at a time
 
@@ -204,6 +204,11 @@ def linked(df: DataFrame, text: str, doc_id: str, percent: int = 85) -> DataFram
     shared = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
     members = saved(banded.join(shared, "bucket").withColumn("used", F.lit(False)), "buckets")
     labels = saved(members.select("node").distinct().withColumn("label", F.col("node")), "labels")
+    # The full sets of all representatives in a shared bucket, for the confirmations. The ids may be many at any size.
+    texts = df.join(labels.select("node").hint("merge"), F.col(doc_id) == F.col("node"), "left_semi")
+    keys = nodes.select("digest", "node").join(labels.select("node"), "node")
+    found = sets_of(texts, text, doc_id).join(keys, "digest").where("id = node")
+    sets = saved(found.select("node", "shingles").dropDuplicates(["node"]), "sets")
     refused = df.sparkSession.createDataFrame([], "a long, b long")
     pivots_of = PIVOTS
     while True:
@@ -220,12 +225,6 @@ def linked(df: DataFrame, text: str, doc_id: str, percent: int = 85) -> DataFram
         pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         pairs = pairs.join(refused, ["a", "b"], "left_anti")
         pending = saved(_agreeing(pairs, nodes), "pending")
-        if not pending.isEmpty():
-            asked = pending.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            texts = df.join(asked, F.col(doc_id) == F.col("node"), "left_semi")
-            keys = nodes.select("digest", "node").join(asked, "node")
-            found = sets_of(texts, text, doc_id).join(keys, "digest").where("id = node")
-            sets = saved(found.select("node", "shingles").dropDuplicates(["node"]), "sets")
         best_only = pivots_of == PIVOTS
         while not pending.isEmpty():
             # Confirmed on the full sets: the best pair of each document, then all pairs that are still between components.
