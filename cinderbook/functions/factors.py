@@ -31,6 +31,9 @@ TRIP_FACTORS = {
 }
 UNKNOWN_MODE_FACTOR = Decimal("0.15")
 
+# The type of factors given as text.
+TEXT_FACTOR = "decimal(18,10)"
+
 
 def _emission(key: str, amount: str, factors: dict, default: Decimal) -> Column:
     cases = " ".join(f"WHEN '{name}' THEN {amount} * {factor}BD" for name, factor in factors.items())
@@ -68,8 +71,11 @@ def with_trip_co2e(df: DataFrame, factors: DataFrame | None = None) -> DataFrame
 def _with_factor_table(df, factors, key, keys, amount, default, kind) -> DataFrame:
     # Only keys that facts may hold, one row each: the join cannot multiply facts, and the table is small enough to send to
     # every task whatever its size was.  Factors keep their own scale; only the emission is rounded.
-    if not isinstance(factors.schema["factor"].dataType, T.DecimalType):
-        raise TypeError("factors must be decimals")
+    kind_given = factors.schema["factor"].dataType
+    if isinstance(kind_given, T.StringType):
+        factors = factors.withColumn("factor", F.col("factor").cast(TEXT_FACTOR))
+    elif not isinstance(kind_given, T.DecimalType):
+        raise TypeError("factors must be decimals, or decimals as text")
     known = factors.filter(F.col("key").isin(list(keys)))
     table = known.groupBy(F.col("key").alias("_factor_key")).agg(
         F.max("factor").alias("_factor"),

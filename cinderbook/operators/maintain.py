@@ -58,15 +58,18 @@ def _without_month(table: DataFrame) -> DataFrame:
 
 
 def _keyed(batch: DataFrame, table: DataFrame, key: str, loaded_at: dt.datetime) -> DataFrame:
-    """Text keys are generated where missing: from the load time and the row, so that a task run again gives the same."""
+    """Text keys are generated where missing: from the load time, the row, and its number among equal rows, so that a
+    task run again gives the same."""
     if not isinstance(table.schema[key].dataType, T.StringType):
         return batch
     if key not in batch.columns:
         batch = batch.withColumn(key, F.lit(None).cast("string"))
-    h = F.md5(F.concat_ws("|", F.lit(loaded_at.isoformat()), F.to_json(F.struct(*batch.columns))))
+    equal = batch.filter(F.col(key).isNull()).groupBy(*batch.columns).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = equal.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    h = F.md5(F.concat_ws("|", F.lit(loaded_at.isoformat()), F.to_json(F.struct(*batch.columns)), F.col("_i").cast("string")))
     part = lambda start, n: F.substring(h, start, n)
     made = F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-a"), part(18, 3), F.lit("-"), part(21, 12))
-    return batch.withColumn(key, F.coalesce(key, made))
+    return batch.filter(F.col(key).isNotNull()).unionByName(numbered.withColumn(key, made).select(*batch.columns))
 
 
 def _new_keys(table: DataFrame, rows: DataFrame, key: str, batch: DataFrame) -> tuple[DataFrame, DataFrame]:

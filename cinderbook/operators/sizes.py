@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A batch up to this many bytes is sent to every executor; a larger one is shuffled.
+# A batch up to this many rows and bytes is sent to every executor; a larger one is shuffled.
+BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, source: DataFrame | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark the frame for broadcast when its rows are proven to take at most `most` bytes.
+def broadcast_if_small(
+    df: DataFrame, source: DataFrame | None = None, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Mark the frame for broadcast when it is proven to have at most `rows` rows of `most` bytes in all.
 
     Meant for the narrow side (keys or a change batch) of a join with a large table, which then
     is neither shuffled nor sorted.  `source` is a frame with at least as many rows, and at least as
-    wide, that is cheaper to measure.  Every task sums up the bytes of its own rows and sends one
-    number.  A frame not marked is joined by shuffle, where adaptive execution splits hot keys.
+    wide, that is cheaper to measure.  Every task adds up its own rows and bytes and sends two
+    numbers.  A frame not marked is joined by shuffle, where adaptive execution splits hot keys.
     """
     measured = df if source is None else source
     width = F.length(F.to_json(F.struct(*measured.columns))) + 16 * len(measured.columns)
-    total = measured.agg(F.sum(width)).first()[0]
-    return F.broadcast(df) if (total or 0) <= most else df
+    count, total = measured.agg(F.count(F.lit(1)), F.sum(width)).first()
+    return F.broadcast(df) if count <= rows and (total or 0) <= most else df
