@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from cinderbook.llm.common import mapped, saved, slices
+from cinderbook.llm.common import fresh, mapped, saved, slices
 
 # Fixed value: the pattern of byte-level BPE words.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -138,6 +138,7 @@ def _frequent(words: DataFrame, head: int) -> pa.Table:
 
 def encode(df: DataFrame, text: str, path: str, column: str = "ids", head: int = HEAD) -> DataFrame:
     """The rows with the token ids of their whole text."""
+    (column,) = fresh(df, column)
     spark = df.sparkSession
     frequent = spark.sparkContext.broadcast(_frequent(saved(word_table(df, text, path), "words"), head))
     definition = spark.sparkContext.broadcast(_load(path))
@@ -177,6 +178,7 @@ def encode(df: DataFrame, text: str, path: str, column: str = "ids", head: int =
 
 def decode(df: DataFrame, ids: str, path: str, column: str = "decoded") -> DataFrame:
     """The rows with the text of their token ids; null ids give null. Bytes that are no UTF-8 become U+FFFD."""
+    (column,) = fresh(df, column)
     definition = df.sparkSession.sparkContext.broadcast(_load(path))
     place = df.columns.index(ids)
 

@@ -86,6 +86,16 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(blanks, " "), "")
 
 
+def beside(df: DataFrame, added: list[str], build) -> DataFrame:
+    """build(df) with its columns `added`, where the frame may have columns of these names itself: they stay, and the added
+    ones get a name of their own near it."""
+    names = {a.lower() for a in added}
+    hidden = {c: f"__own_{c}" for c in df.columns if c.lower() in names}
+    out = build(df.withColumnsRenamed(hidden))
+    own = [F.col(hidden.get(c, c)).alias(c) for c in df.columns]
+    return out.select(*own, *[F.col(a).alias(n) for a, n in zip(added, fresh(df, *added), strict=True)])
+
+
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once per row, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinderbook.llm.common import mapped, slices
+from cinderbook.llm.common import fresh, mapped, slices
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -95,6 +95,7 @@ def learn(training: DataFrame) -> tuple[list[str], np.ndarray]:
 def predict(df: DataFrame, text: str, langs: list[str], logs: np.ndarray) -> DataFrame:
     """The rows with lang_pred and score: the posterior of the language from the mean log-probability of an n-gram times
     the square root of their number, so that long texts are surer than short ones without all ending at 1."""
+    names = fresh(df, "lang_pred", "score")
     sent = df.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(logs)))
     place = df.columns.index(text)
 
@@ -115,7 +116,7 @@ def predict(df: DataFrame, text: str, langs: list[str], logs: np.ndarray) -> Dat
                 best = int(sums.argmax())
                 preds.append(langs[best])
                 scores.append(float(odds[best] / odds.sum()))
-            yield pa.record_batch([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.record_batch([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, *names])
 
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    added = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
     return mapped(df, score, T.StructType([*df.schema.fields, *added]))

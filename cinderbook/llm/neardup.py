@@ -194,6 +194,7 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def linked(df: DataFrame, text: str, doc_id: str, percent: int = 85) -> DataFrame:
     """id, n_shingles, component_id, kept for every row: links at 100 * intersection >= percent * union of shingle sets."""
+    df, doc_id, text = df.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")), "id", "text"
     rows = saved(sketched(df, text, doc_id), "sketches")
     filled = rows.where("digest IS NOT NULL AND id IS NOT NULL")
     classes = saved(filled.groupBy("digest").agg(F.min("id").alias("node")), "classes")
@@ -205,7 +206,7 @@ def linked(df: DataFrame, text: str, doc_id: str, percent: int = 85) -> DataFram
     members = saved(banded.join(shared, "bucket").withColumn("used", F.lit(False)), "buckets")
     labels = saved(members.select("node").distinct().withColumn("label", F.col("node")), "labels")
     # The full sets of all representatives in a shared bucket, for the confirmations. The ids may be many at any size.
-    texts = df.join(labels.select("node").hint("merge"), F.col(doc_id) == F.col("node"), "left_semi")
+    texts = df.join(labels.select("node").hint("merge"), df["id"] == F.col("node"), "left_semi")
     keys = nodes.select("digest", "node").join(labels.select("node"), "node")
     found = sets_of(texts, text, doc_id).join(keys, "digest").where("id = node")
     sets = saved(found.select("node", "shingles").dropDuplicates(["node"]), "sets")

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderbook.llm.common import SPACE_CHARS, SPACES, fresh, let, words_of
+from cinderbook.llm.common import SPACE_CHARS, SPACES, beside, fresh, let, words_of
 
 BUCKETS = 1 << 14
 TRUSTED_DOCS = 20_000  # labelled documents the trusted multinomial is fitted on at most
@@ -114,13 +114,20 @@ def passing(df: DataFrame, text: str, doc_id: str, trusted: DataFrame, threshold
     The task number in the condition keeps the verdict's long expressions from being moved into the scan's filter, where
     each would be computed again at every use.
     """
-    (task,) = fresh(df, "__task")
+    (task, kept) = fresh(df, "__task", "kept")
     out = judged(df, text, doc_id, trusted, threshold).withColumn(task, F.spark_partition_id())
-    return out.where(F.col("kept") & (F.col(task) >= 0)).select(*df.columns)
+    return out.where(F.col(kept) & (F.col(task) >= 0)).select(*df.columns)
+
+
+ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr_score", "kept"]
 
 
 def judged(df: DataFrame, text: str, doc_id: str, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows with the plain measures, base_failed, llr_score and kept."""
+    return beside(df, ADDED, lambda rows: _judged(rows, text, doc_id, trusted, threshold))
+
+
+def _judged(df: DataFrame, text: str, doc_id: str, trusted: DataFrame, threshold: float) -> DataFrame:
     words, pairs = fresh(df, "__words", "__pairs")
     llr = ratios(df, text, doc_id, trusted)
     # The text goes no further than the first steps; from there on only word hashes do.

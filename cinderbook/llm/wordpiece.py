@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from cinderbook.llm.common import mapped, slices
+from cinderbook.llm.common import fresh, mapped, slices
 
 # A word is a run of letters, marks and digits, or one other character that is no space.
 WORD = r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]"
@@ -111,6 +111,7 @@ def _automaton(key: str, sent) -> Automaton:
 
 def token_counts(df: DataFrame, text: str, starts: list[str], goes_on: list[str], lower: bool = False) -> DataFrame:
     """The rows with n_words, n_tokens and n_unknown (words that are one unknown token each) of their whole text."""
+    names = fresh(df, "n_words", "n_tokens", "n_unknown")
     sent = df.sparkSession.sparkContext.broadcast((starts, goes_on))
     key = hashlib.sha256(repr((starts, goes_on)).encode()).hexdigest()
     place = df.columns.index(text)
@@ -136,7 +137,7 @@ def token_counts(df: DataFrame, text: str, starts: list[str], goes_on: list[str]
                 pieces = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
                 unknown = int((pieces < 0).sum())
                 out[:, row] = len(words), pieces.sum() + 2 * unknown, unknown
-            yield pa.record_batch([*batch.columns, *map(pa.array, out)], [*batch.schema.names, "n_words", "n_tokens", "n_unknown"])
+            yield pa.record_batch([*batch.columns, *map(pa.array, out)], [*batch.schema.names, *names])
 
-    added = [T.StructField(c, T.LongType()) for c in ("n_words", "n_tokens", "n_unknown")]
+    added = [T.StructField(c, T.LongType()) for c in names]
     return mapped(df, counts, T.StructType([*df.schema.fields, *added]))
