@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -27,12 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from cinderbook.llm.common import fresh, mapped, saved, slices
 
 # Fixed value: the pattern of byte-level BPE words.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# Characters that the library and the pattern here sort alike; elsewhere their tables are of different Unicode versions.
+SAME = "\x00-\u0557\u2000-\u206f\u20a0-\u20bf\u3040-\u3096\u30a1-\u30fa\u4e00-\u9fef\uac00-\ud7a3"
+
 HEAD = 1 << 17  # words of the distinct-word table sent to every task
 KEPT = 1 << 18  # words a task counts or keeps at a time
 LONG = 64  # characters of the longest word in that part
@@ -46,12 +51,18 @@ def _tokenizer(definition: str) -> Tokenizer:
 
 @functools.cache
 def _splitter(definition: str):
-    """Words and special tokens of a text, in order."""
+    """Words and special tokens of a text, in order. Parts with other than SAME characters are split by the library itself."""
     special = [t.content for t in _tokenizer(definition).get_added_tokens_decoder().values()]
     apart = regex.compile("(" + "|".join(regex.escape(s) for s in special) + ")") if special else None
-    words = regex.compile(WORD).findall
+    plain, library = regex.compile(WORD).findall, ByteLevel(add_prefix_space=False, use_regex=True)
+    strange = re.compile(f"[^{SAME}]").search
     known = set(special)
 
+    def words(text: str) -> list[str]:
+        if text.isascii() or not strange(text):
+            return plain(text)
+        return [text[a:b] for _, (a, b) in library.pre_tokenize_str(text)]
+
     def split(text: str) -> list[str]:
         if apart is None or not any(s in text for s in known):
             return words(text)
