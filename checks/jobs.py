@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
 import uuid
 from decimal import Decimal
 from pathlib import PurePosixPath
@@ -14,7 +15,6 @@ from checks import submissions as given
 from checks.queries import MONTH, YEAR, job, query
 from cinderbook.functions.factors import with_energy_co2e
 from cinderbook.operators import integrity, maintain, quality
-from cinderbook.operators.durable import shared_folder
 from cinderbook.operators.predicates import between_days
 from cinderbook.plans import documents, energy, overview, transport
 from cinderbook.sources import binding, synth
@@ -347,7 +347,11 @@ def _live_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run_folder(spark: SparkSession) -> str:
-    return str(PurePosixPath(shared_folder(spark)) / f"stream-{uuid.uuid4().hex}")
+    """Below the session's shared folder; a local session without one gets a folder for this run."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+    return f"{(shared or tempfile.mkdtemp(prefix='checks-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _finished(stream_query) -> None:

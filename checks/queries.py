@@ -89,6 +89,8 @@ query("building_listing")(
     lambda t: buildings.building_listing(t.buildings, Page(2, 5)).drop("location_gps")
 )
 
+query("building_listing_info")(lambda t: buildings.building_listing_info(t.buildings, Page(2, 5)))
+
 # The same ranks and percentiles by the range-partitioned method, as beyond one task's reach.
 query("building_efficiency_partitioned")(
     lambda t: buildings.building_efficiency(t.buildings, t.energy, AS_OF, partitioned=True)
@@ -162,6 +164,7 @@ query("trip_listing_after")(
     )
 )
 query("trip_listing_info")(lambda t: transport.trip_listing_info(t.users, t.trips, Page(2, 50)))
+query("trip_listing_info_user")(lambda t: transport.trip_listing_info(t.users, t.trips, Page(1, 5), user_id=1))
 query("user_directory")(lambda t: transport.user_directory(t.users))
 
 # --- initiatives ----------------------------------------------------------------------------

@@ -57,10 +57,11 @@ def page_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], pa
     )
 
 
-def page_info(df: DataFrame, page: Page) -> DataFrame:
-    """One row: position of the page among all pages of the frame."""
+def page_info(df: DataFrame, page: Page, rows: str | None = None) -> DataFrame:
+    """One row: position of the page among all pages of the frame, each row counting as many as its column `rows` says."""
+    counted = F.count(F.lit(1)) if rows is None else F.coalesce(F.sum(rows), F.lit(0).cast("bigint"))
     pages = F.ceil(F.col("total_records").cast("double") / F.lit(page.size)).cast("bigint")
-    return df.agg(F.count(F.lit(1)).alias("total_records")).select(
+    return df.agg(counted.alias("total_records")).select(
         F.lit(page.number).cast("bigint").alias("current_page"),
         pages.alias("total_pages"),
         F.col("total_records"),

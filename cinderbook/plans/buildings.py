@@ -15,7 +15,7 @@ from cinderbook.functions.exprs import (
     ratio,
     rounded,
 )
-from cinderbook.operators.paging import numbered, page_of, top
+from cinderbook.operators.paging import numbered, page_info, page_of, top
 from cinderbook.operators.predicates import between_days, equal_to, where
 from cinderbook.operators.ranking import with_global_rank, with_percentiles
 from cinderbook.operators.totals import co2e_totals, energy_totals, exact_sum, row_count
@@ -297,6 +297,11 @@ def building_rows(buildings: DataFrame, primary_use: str | None = None, building
     return rows.select(*_PROFILE)
 
 
+def building_listing_info(buildings: DataFrame, page: Page = Page(), primary_use: str | None = None) -> DataFrame:
+    """Page metadata of the listing."""
+    return page_info(building_rows(buildings, primary_use), page)
+
+
 def building_listing(buildings: DataFrame, page: Page = Page(), primary_use: str | None = None) -> DataFrame:
     """A page of buildings by name; names are unique."""
     rows = building_rows(buildings, primary_use)

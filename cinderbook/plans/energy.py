@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cinderbook.functions.exprs import day_of, hour_label, mean, month_of, period_start, ratio, rounded
 from cinderbook.operators.paging import page_after, page_info, page_of
 from cinderbook.operators.predicates import between_days, equal_to, visible_readings, where
-from cinderbook.operators.totals import co2e_totals, energy_totals
+from cinderbook.operators.totals import co2e_totals, energy_totals, row_count
 from cinderbook.params import DateRange, Page, check_choice, days_before, months_before
 
 PERIODS = ("hourly", "daily", "weekly", "monthly")
@@ -225,6 +225,18 @@ def energy_listing_after(
 
 
 def energy_listing_info(
-    buildings: DataFrame, energy: DataFrame, as_of: dt.date | str, page: Page = Page(1, 50), **filters
+    buildings: DataFrame,
+    energy: DataFrame,
+    as_of: dt.date | str,
+    page: Page = Page(1, 50),
+    building_id=None,
+    source: str | None = None,
+    start: dt.date | str | None = None,
+    end: dt.date | str | None = None,
+    role: str | None = None,
 ) -> DataFrame:
-    return page_info(readings_with_building(buildings, energy, as_of, **filters), page)
+    """Page metadata of the listing: readings are counted per building before they meet the buildings."""
+    readings = visible_readings(between_days(energy, "date_time", start, end), role, as_of)
+    readings = where(readings, equal_to("building_id", building_id), equal_to("source", source))
+    counts = readings.groupBy("building_id").agg(row_count().alias("rows"))
+    return page_info(counts.join(buildings.select("building_id"), "building_id"), page, "rows")

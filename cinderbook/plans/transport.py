@@ -322,8 +322,21 @@ def trip_listing_admin_after(
     return page_after(trips_with_user(users, trips, **filters), TRIP_ORDER, last_seen, size)
 
 
-def trip_listing_info(users: DataFrame, trips: DataFrame, page: Page = Page(1, 50), **filters) -> DataFrame:
-    return page_info(trips_with_user(users, trips, **filters), page)
+def trip_listing_info(
+    users: DataFrame,
+    trips: DataFrame,
+    page: Page = Page(1, 50),
+    start: dt.date | str | None = None,
+    end: dt.date | str | None = None,
+    mode: str | None = None,
+    department: str | None = None,
+    user_id=None,
+) -> DataFrame:
+    """Page metadata of the admin listing or of one user's trips: trips are counted per user before they meet the users."""
+    rows = where(between_days(trips, "date", start, end), equal_to("mode", mode), equal_to("user_id", user_id))
+    counts = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"))
+    people = where(users, equal_to("department", department)).select("user_id")
+    return page_info(counts.join(people, "user_id"), page, "rows")
 
 
 def user_directory(users: DataFrame, user_id=None) -> DataFrame:
