@@ -37,6 +37,7 @@ HEADLINE = (
     "department_summary",
     "user_vs_campus_average",
     "trip_listing",
+    "trip_listing_admin",
     "initiative_effectiveness",
     "initiative_status_breakdown",
     "daily_dashboard",
