@@ -7,7 +7,7 @@ Jaccard similarity, with tail bounds as for independent samples. Texts of some l
 rounds.
 
 Links: documents with equal shingle sets form a class with one representative. Bands of ROWS coordinates put the
-representatives into buckets (at similarity 0.85 a pair misses all 40 bands once in 10^10). A bucket is never expanded into
+representatives into buckets (at similarity 0.85 a pair misses all 50 bands 4 times in 10^9). A bucket is never expanded into
 all pairs: in each round some of its members, one at first and eight times as many each round, are compared with the
 members outside their component, and are not used again. Pairs whose sketches agree in less than MAYBE of the coordinates
 are dropped; of the rest, each document's best pair is confirmed on the full sets, links merge components, and then all pairs
@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from cinderbook.llm.common import mapped, saved, slices
 
 WORDS = 5
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 50, 7
 COORDINATES = BANDS * ROWS
 PIVOTS = 1
-MAYBE = 0.7  # share of equal coordinates; at similarity 0.85 less than that is six standard deviations off
+MAYBE = 0.7  # share of equal coordinates; at similarity 0.85 less than that is eight standard deviations off
 KEPT = 1 << 18  # hashes of distinct words a task remembers at a time
 
 _U = np.uint64
