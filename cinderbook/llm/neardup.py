@@ -7,10 +7,10 @@ Jaccard similarity, with tail bounds as for independent samples. Texts of some l
 rounds.
 
 Links: documents with equal shingle sets form a class with one representative. Bands of ROWS coordinates put the
-representatives into buckets (at similarity 0.85 a pair misses all 50 bands 4 times in 10^9). A bucket is never expanded into
+representatives into buckets (a pair misses all bands 4 times in 10^9: 50 bands at similarity 0.85, 83 at 0.8). A bucket is never expanded into
 all pairs: in each round some of its members, one at first and eight times as many each round, are compared with the
-members outside their component, and are not used again. Pairs whose sketches agree in less than MAYBE of the coordinates
-are dropped; of the rest, each document's best pair is confirmed on the full sets, links merge components, and then all pairs
+members outside their component, and are not used again. Pairs whose sketches agree in too few coordinates (`maybe`) are
+dropped; of the rest, each document's best pair is confirmed on the full sets, links merge components, and then all pairs
 that are still between components are. A bucket is done when all its members are in one component or all were pivots, so
 no link between components is lost.
 
@@ -20,6 +20,7 @@ rows with equal ids are one document; a null id has no component and is kept; an
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +35,24 @@ WORDS = 5
 BANDS, ROWS = 50, 7
 COORDINATES = BANDS * ROWS
 PIVOTS = 1
-MAYBE = 0.7  # share of equal coordinates; at similarity 0.85 less than that is eight standard deviations off
 KEPT = 1 << 18  # hashes of distinct words a task remembers at a time
 
 _U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
 
 
+def bands_for(percent: int) -> int:
+    """Bands of ROWS coordinates that a pair at the limit misses as rarely as BANDS bands at 0.85, and BANDS at least."""
+    miss = lambda share: math.log1p(-(share**ROWS))
+    return max(BANDS, math.ceil(BANDS * miss(0.85) / miss(percent / 100))) if percent < 100 else BANDS
+
+
+def maybe(percent: int, coordinates: int) -> float:
+    """Share of equal coordinates that pairs at the limit fall short of only by eight standard deviations."""
+    share = percent / 100
+    return round(share - 8 * math.sqrt(share * (1 - share) / coordinates), 2)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(31))) * _U(0x7FB5D329728EA185)
     x = (x ^ (x >> _U(27))) * _U(0x81DADEF4BC2DD44D)
@@ -86,11 +98,11 @@ def sketch(values: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     return out
 
 
-def sketched(df: DataFrame, text: str, doc_id: str) -> DataFrame:
+def sketched(df: DataFrame, text: str, doc_id: str, bands_of: int = BANDS) -> DataFrame:
     """id, n_shingles, digest (of the shingle set), bands, coordinates (a byte each) for every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seeds = WordHashes(), np.arange(1, BANDS + 1, dtype=_U) * _ODD[3]
+        hashes, seeds = WordHashes(), np.arange(1, bands_of + 1, dtype=_U) * _ODD[3]
         for batch in slices(batches, 1):
             sizes, digests, bands, bytes_of = [], [], [], []
             for value in batch.column(1).to_pylist():
@@ -98,8 +110,8 @@ def sketched(df: DataFrame, text: str, doc_id: str) -> DataFrame:
                 sizes.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 if len(found):
-                    s, key = sketch(found), seeds
-                    for column in s.reshape(BANDS, ROWS).T:
+                    s, key = sketch(found, bands_of * ROWS), seeds
+                    for column in s.reshape(bands_of, ROWS).T:
                         key = _mix(key ^ column) + _ODD[4]
                     bands.append(key.view(np.int64))
                     bytes_of.append((_mix(s) & _U(255)).astype(np.uint8).tobytes())
@@ -136,15 +148,15 @@ def sets_of(df: DataFrame, text: str, doc_id: str) -> DataFrame:
     return mapped(asked, rows, "id long, digest binary, shingles array<long>").where("digest IS NOT NULL")
 
 
-def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b, agree: pairs whose sketches agree in MAYBE of the coordinates or more."""
+def _agreeing(pairs: DataFrame, nodes: DataFrame, coordinates: int, least: float) -> DataFrame:
+    """a, b, agree: pairs whose sketches agree in a share `least` of the coordinates or more."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("one", "two"))
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, coordinates) for c in ("one", "two"))
             agree = (one == two).mean(axis=1) if batch.num_rows else np.zeros(0)
             out = pa.record_batch([batch.column("a"), batch.column("b"), pa.array(agree)], ["a", "b", "agree"])
-            yield out.filter(pa.array(agree >= MAYBE))
+            yield out.filter(pa.array(agree >= least))
 
     one = nodes.select(F.col("node").alias("a"), F.col("coordinates").alias("one"))
     two = nodes.select(F.col("node").alias("b"), F.col("coordinates").alias("two"))
@@ -195,7 +207,9 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def linked(df: DataFrame, text: str, doc_id: str, percent: int = 85) -> DataFrame:
     """id, n_shingles, component_id, kept for every row: links at 100 * intersection >= percent * union of shingle sets."""
     df, doc_id, text = df.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")), "id", "text"
-    rows = saved(sketched(df, text, doc_id), "sketches")
+    bands_of = bands_for(percent)
+    least = maybe(percent, bands_of * ROWS)
+    rows = saved(sketched(df, text, doc_id, bands_of), "sketches")
     filled = rows.where("digest IS NOT NULL AND id IS NOT NULL")
     classes = saved(filled.groupBy("digest").agg(F.min("id").alias("node")), "classes")
     own = filled.withColumnRenamed("id", "node").join(classes, ["digest", "node"]).dropDuplicates(["digest", "node"])
@@ -225,7 +239,7 @@ def linked(df: DataFrame, text: str, doc_id: str, percent: int = 85) -> DataFram
         pairs = members.join(pivots, "bucket").where("label <> of")
         pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         pairs = pairs.join(refused, ["a", "b"], "left_anti")
-        pending = saved(_agreeing(pairs, nodes), "pending")
+        pending = saved(_agreeing(pairs, nodes, bands_of * ROWS, least), "pending")
         best_only = pivots_of == PIVOTS
         while not pending.isEmpty():
             # Confirmed on the full sets: the best pair of each document, then all pairs that are still between components.

@@ -9,6 +9,8 @@ from cinderbook.llm import bpe, linededup, mixing, neardup, quality
 from cinderbook.llm.common import documents, saved
 from cinderbook.llm.queries import MAX_REPEATS, TOKENIZER, trusted_ids
 
+NEAR = 80  # percent
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the plain rules and the likelihood ratio."""
@@ -22,8 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document by id of each group of near-copies."""
-    linked = neardup.linked(docs, "text", "doc_id")
+    """The first document by id of each group of near-copies (similarity NEAR percent or more)."""
+    linked = neardup.linked(docs, "text", "doc_id", NEAR)
     gone = linked.where("NOT kept").select(F.col("id").alias("__id"))
     return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti").select(*docs.columns)
 

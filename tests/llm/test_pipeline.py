@@ -1,11 +1,14 @@
 """The stages on the small tables, and the registered queries."""
 
+import itertools
+
 import pytest
 
 import corpus_pipeline
 from checks.compare import plain, rows_of  # noqa: F401
 from cinderbook.llm.common import saved
 from cinderbook.llm.queries import QUERIES, SQL
+from tests.llm.test_operators import sets
 
 
 def test_stages(spark, small):
@@ -33,3 +36,36 @@ def test_same_as_sql(spark, con, small, name):
     names = [d[0] for d in cursor.description]
     assert sorted(names) == sorted(df.columns)
     assert rows_of(df.columns, df.collect()) == rows_of(names, cursor.fetchall())
+
+
+def chain(n, steps, tag):
+    """A text of n words and copies of it, each with some more of its last words changed."""
+    words = [f"{tag}{i}" for i in range(n)]
+    return [" ".join(words[: n - k] + [f"{tag}{k}x{i}" for i in range(k)]) for k in steps]
+
+
+def test_near_dedup_links_from_four_fifths(spark, small):
+    # 104 words are 100 shingles: with k words changed the similarity to the first text is (100 - k) / (100 + k).
+    texts = [t for g in range(12) for t in chain(104, (0, 8, 9, 11), f"g{g}w")] + chain(50, (0, 0), "short")
+    texts += [None, "", "one two", "one two"]
+    rows = [(i, t, "en", "s", None) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{small}/documents.parquet").schema)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, small).collect()}
+    assert kept == brute_first(rows, 80) and kept != brute_first(rows, 85)
+
+
+def brute_first(rows, percent):
+    """Ids of the first document of each group."""
+    parts = [(r[0], sets(r[1])) for r in rows]
+    root = {k: k for k, _ in parts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, s), (b, t) in itertools.combinations(parts, 2):
+        if s and t and 100 * len(s & t) >= percent * len(s | t):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {k for k in root if find(k) == k}
