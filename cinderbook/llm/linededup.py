@@ -6,7 +6,10 @@ lines whose hash occurs once are dropped; the others are joined by hash and exte
 hashes, into all runs of WINDOW lines around them. Of each such run the first place (by document, then line) stays, and
 every later place is deleted; overlapping deletions merge into longer runs.
 
-The result is exact: a line goes if and only if it lies in WINDOW consecutive lines that also stand at an earlier place.
+With long_words, a line of that many words or more is a run of its own as well, whatever stands beside it.
+
+The result is exact: a line goes if and only if it lies in WINDOW consecutive lines that also stand at an earlier place, or
+is a long line that does.
 
 Defined results: a null text stays null; lines without a word belong to no run and stay; rows equal in id and text are one
 document and get the same result; null ids come first; documents are ordered by id, then by a hash of the text; an empty
@@ -18,22 +21,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderbook.llm.common import SPACE_CHARS, fresh, let, saved
+from cinderbook.llm.common import SPACE_CHARS, fresh, let, saved, words_of
 
 WINDOW = 2
 
 
-def _lines(text: Column) -> Column:
-    """Lines with a word, as structs of line number `at` and hash `h`."""
-    all_lines = F.transform(
-        F.split(text, "\n"),
-        lambda x, i: F.when(F.btrim(x, F.lit(SPACE_CHARS)) != "", F.struct(i.alias("at"), F.xxhash64(x).alias("h"))),
-    )
+def _lines(text: Column, long_words: int | None) -> Column:
+    """Lines with a word, as structs of line number `at`, hash `h` and, with long_words, whether they are `long`."""
+
+    def line(x: Column, i: Column) -> Column:
+        fields = [i.alias("at"), F.xxhash64(x).alias("h")]
+        if long_words is not None:
+            # n words take 2 n - 1 characters at least.
+            fields.append(((F.length(x) >= 2 * long_words - 1) & (F.size(words_of(x)) >= long_words)).alias("long"))
+        return F.when(F.btrim(x, F.lit(SPACE_CHARS)) != "", F.struct(*fields))
+
+    all_lines = F.transform(F.split(text, "\n"), line)
     return F.filter(all_lines, lambda x: x.isNotNull())
 
 
-def _selected(lines: Column, window: int) -> Column:
-    """The minima of all windows, each once: place, hash, and the hashes and line numbers up to window - 1 to both sides."""
+def _selected(lines: Column, window: int, alone: bool) -> Column:
+    """The minima of all windows, each once: place, hash, and the hashes and line numbers up to window - 1 to both sides.
+
+    With alone, each long line as well, as a run of one line.
+    """
 
     def of(line: Column) -> Column:
         n, hashes = F.size(line), F.transform(line, lambda x: x["h"])
@@ -44,36 +55,43 @@ def _selected(lines: Column, window: int) -> Column:
 
         def around(p: Column) -> Column:
             first = F.greatest(p - (window - 1), F.lit(0))
-            return F.struct(F.get(line, p)["h"].alias("h"), first.alias("first"), F.slice(line, first + 1, p - first + window).alias("near"))
+            near = F.slice(line, first + 1, p - first + window)
+            return F.struct(F.get(line, p)["h"].alias("h"), F.lit(window).alias("window"), near.alias("near"))
+
+        def single(x: Column) -> Column:
+            return F.struct(x["h"].alias("h"), F.lit(1).alias("window"), F.array(x).alias("near"))
 
         starts = F.when(n >= window, F.sequence(F.lit(0), n - window)).otherwise(F.array().cast("array<int>"))
         places = let(hashes, lambda h: F.array_distinct(F.transform(starts, lambda i: minimum(h, i))))
-        return F.transform(places, around)
+        marks = F.transform(places, around)
+        return F.concat(marks, F.transform(F.filter(line, lambda x: x["long"]), single)) if alone else marks
 
     return let(lines, of)
 
 
-def repeated_lines(df: DataFrame, text: str, doc_id: str, window: int = WINDOW) -> DataFrame:
+def repeated_lines(df: DataFrame, text: str, doc_id: str, window: int = WINDOW, long_words: int | None = None) -> DataFrame:
     """id, hash, gone: the line numbers to delete of every document (id and text hash) that has any."""
-    docs = df.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"), _lines(F.col(text)).alias("lines"))
-    marks = docs.select("id", "hash", F.explode(_selected(F.col("lines"), window)).alias("mark")).select("id", "hash", "mark.*")
-    marks = saved(marks, "line-marks")
-    shared = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    lines = _lines(F.col(text), long_words)
+    docs = df.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"), lines.alias("lines"))
+    found = _selected(F.col("lines"), window, long_words is not None)
+    marks = saved(docs.select("id", "hash", F.explode(found).alias("mark")).select("id", "hash", "mark.*"), "line-marks")
+    shared = marks.groupBy("h", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "window")
 
     # Extend each shared line to both sides: every run of `window` lines that holds it.
-    def runs(near: Column) -> Column:
-        starts = F.when(F.size(near) >= window, F.sequence(F.lit(1), F.size(near) - window + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.slice(near, i, window))
+    def runs(near: Column, n: Column) -> Column:
+        starts = F.when(F.size(near) >= n, F.sequence(F.lit(1), F.size(near) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.slice(near, i, n))
 
     # Two passes of a 64-bit hash over the run's line hashes name it.
     placed = (
-        marks.join(shared, "h")
-        .select("id", "hash", F.explode(runs(F.col("near"))).alias("run"))
+        marks.join(shared, ["h", "window"])
+        .select("id", "hash", "window", F.explode(runs(F.col("near"), F.col("window"))).alias("run"))
         .select(
             "id",
             "hash",
             F.transform("run", lambda x: x["at"]).alias("lines"),
             F.struct(
+                "window",
                 F.xxhash64(F.transform("run", lambda x: x["h"])).alias("a"), F.hash(F.reverse(F.transform("run", lambda x: x["h"]))).alias("b")
             ).alias("name"),
         )
@@ -84,10 +102,10 @@ def repeated_lines(df: DataFrame, text: str, doc_id: str, window: int = WINDOW)
     return later.groupBy("id", "hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("lines")))).alias("gone"))
 
 
-def without_repeats(df: DataFrame, text: str, doc_id: str, window: int = WINDOW) -> DataFrame:
+def without_repeats(df: DataFrame, text: str, doc_id: str, window: int = WINDOW, long_words: int | None = None) -> DataFrame:
     """The rows with the repeated lines taken out of their text, and n_removed, the number of lines taken out."""
     key, gone, removed = fresh(df, "__hash", "__gone", "n_removed")
-    found = repeated_lines(df, text, doc_id, window).select(F.col("id").alias("__id"), F.col("hash").alias(key), F.col("gone").alias(gone))
+    found = repeated_lines(df, text, doc_id, window, long_words).select(F.col("id").alias("__id"), F.col("hash").alias(key), F.col("gone").alias(gone))
     rows = df.withColumn(key, F.xxhash64(text))
     joined = rows.join(found.withColumnRenamed(key, "__of"), F.expr(f"`{doc_id}` <=> __id AND `{key}` = __of"), "left")
 

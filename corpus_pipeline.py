@@ -10,6 +10,7 @@ from cinderbook.llm.common import documents, saved
 from cinderbook.llm.queries import MAX_REPEATS, TOKENIZER, trusted_ids
 
 NEAR = 80  # percent
+LONG_LINE = 50  # words
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the runs of lines that stand earlier; one of which no line is left goes, n_chars follows the text."""
-    cut = linededup.without_repeats(docs, "text", "doc_id")
+    """Documents without the runs of two lines, and lines of LONG_LINE words, that stand earlier; one of which no line is left
+    goes, n_chars follows the text."""
+    cut = linededup.without_repeats(docs, "text", "doc_id", long_words=LONG_LINE)
     return cut.where((F.col("n_removed") == 0) | (F.col("text") != "")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

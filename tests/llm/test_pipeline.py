@@ -69,3 +69,34 @@ def brute_first(rows, percent):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     return {k for k in root if find(k) == k}
+
+
+def test_line_dedup_takes_long_lines_alone(spark, small):
+    words = [f"w{i}" for i in range(60)]
+    just, short, longer = " ".join(words[:50]), " ".join(words[:49]), "\t".join(words)
+    # Neighbours differ everywhere, so no two lines repeat together.
+    texts = [f"head {i}\n{x}\ntail {i}" for i, x in enumerate([just, just, short, short, longer, longer, "hi", "hi"])]
+    texts += [longer, just + " ", "own line\n\n" + just, None, "", f"{short}\n{just}\n{short}\n{just}", "x " * 30 + "y" * 60, "x " * 30 + "y" * 60]
+    rows = [(i, t, "en", "s", None) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{small}/documents.parquet").schema)
+    found = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs.repartition(3), small).collect()}
+    assert found == brute_lines(rows, 50)
+    assert found[1] == "head 1\ntail 1" and found[3] == texts[3] and 8 not in found and found[9] == texts[9] and found[15] == texts[15]
+
+
+def brute_lines(rows, long_words):
+    """Text by id after deleting later pairs of lines and later long lines, without documents that this leaves empty."""
+    seen, out = set(), {}
+    for i, text, *_ in sorted(rows, key=lambda r: r[0]):
+        lines = (text or "").split("\n")
+        worded = [k for k, x in enumerate(lines) if x.split()]
+        runs = [(k,) for k in worded if len(lines[k].split()) >= long_words] + list(zip(worded, worded[1:], strict=False))
+        gone = set()
+        for run in sorted(runs):
+            name = tuple(lines[k] for k in run)
+            gone.update(run if name in seen else ())
+            seen.add(name)
+        left = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        if not gone or left:
+            out[i] = left if text is not None else None
+    return out
