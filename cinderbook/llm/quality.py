@@ -1,26 +1,32 @@
 """Quality rules: plain text measures, and a hashed n-gram log-likelihood ratio (built-in expressions only).
 
-The ratio compares two multinomials over BUCKETS hashed word unigrams and bigrams: one of trusted documents, one of the
-whole raw corpus. A document's score is the mean of log p_trusted - log p_raw over its n-grams, so that length plays no
-part; a document is kept if it passes the plain rules and scores at least THRESHOLD. The table of ratios has BUCKETS
-entries at any corpus size, so it is collected and sent to the tasks as one constant.
-
-Defined results: a null or blank text has no words and fails the plain rules; with no trusted document all ratios are
-those of two equal multinomials; repeated ids count as often as they occur; other columns pass through.
+The ratio compares two multinomials over hashed word unigrams and bigrams, each kind in buckets of its own: one of trusted
+documents, one of the whole raw corpus, which is also the prior of the first. The number of buckets follows the characters
+of the corpus, so that a bucket holds about as many n-grams at any size. A document's score is the mean of the log ratios of
+its n-grams, so that length plays no part, less the cut: the score that a share LOST of the held-out trusted documents falls
+short of. A document is kept if it passes the plain rules and scores at least THRESHOLD. One trusted document in HELD_OUT
+is held out, the others are fitted, however many they are. The ratios are a table that the n-grams are joined with; up to
+BROADCAST buckets it is sent to the tasks.
+
+Defined results: a null or blank text has no words, fails the plain rules and has the ratio 0; with no trusted document all
+ratios and the cut are 0; if none of them is held out, the cut is taken over those that were fitted; repeated ids count as
+often as they occur; other columns pass through.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderbook.llm.common import SPACE_CHARS, SPACES, beside, fresh, let, words_of
+from cinderbook.llm.common import SPACE_CHARS, SPACES, beside, fresh, let, saved, words_of
+from cinderbook.operators.sizes import broadcast_if_small
 
-BUCKETS = 1 << 14
-TRUSTED_DOCS = 20_000  # labelled documents the trusted multinomial is fitted on at most
-THRESHOLD = -0.06  # nats per n-gram
+LEAST_BUCKETS = 1 << 14
+CHARS = 2048  # characters of the corpus for each bucket of a kind
+BROADCAST = 1 << 21
+HELD_OUT = 10
+LOST = 0.01
+THRESHOLD = 0.0  # nats per n-gram above the cut
 MIN_WORDS = 50
 SYMBOLS = "[#*$%&|<>]"
 
@@ -74,38 +80,58 @@ def with_measures(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("n_dup_lines", repeated_lines(value))
 
 
-def _bucket(hashed: Column) -> Column:
-    return hashed.bitwiseAND(BUCKETS - 1).cast("int")
+def buckets_for(chars: int) -> int:
+    """A power of two, at most twice what CHARS asks for beyond LEAST_BUCKETS."""
+    return max(LEAST_BUCKETS, 1 << max(0, -(-chars // CHARS) - 1).bit_length())
+
+
+def _key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("__key"), F.hash(text).alias("__key2")]
+
 
+def _grams(words: str, buckets: int) -> Column:
+    """Buckets of the unigrams, and after them those of the bigrams."""
+    of = lambda h, first: h.bitwiseAND(buckets - 1) + first
+    return F.concat(F.transform(words, lambda h: of(h, 0)), F.transform(pair_hashes(words), lambda h: of(h, buckets)))
 
-def ratios(df: DataFrame, text: str, doc_id: str, trusted: DataFrame, limit: int = TRUSTED_DOCS) -> list[float]:
-    """The log-likelihood ratio of every bucket, from all documents and the trusted ones.
 
-    trusted: one column of ids. At most `limit` of them, by a hash, are used: few enough to broadcast.
+def ratios(df: DataFrame, text: str, doc_id: str, fitted: DataFrame, buckets: int) -> DataFrame:
+    """bucket, micro: the log-likelihood ratio in millionths of every bucket in use, from all documents and the fitted ones.
+
+    fitted: one column of distinct ids.
     """
-    ids = trusted.select(F.col(trusted.columns[0]).alias("__id")).where("__id IS NOT NULL").distinct()
-    ids = ids.orderBy(F.xxhash64("__id"), "__id").limit(limit).withColumn("__trusted", F.lit(1))
-    rows = df.select(F.col(doc_id).alias("__id"), word_hashes(F.col(text)).alias("__w"))
-    flagged = rows.join(F.broadcast(ids), "__id", "left").where(F.size("__w") > 0)
-    grams = F.concat("__w", pair_hashes("__w"))
+    ids = fitted.select(F.col(fitted.columns[0]).alias("__id"), F.lit(1).alias("__trusted"))
+    rows = df.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(broadcast_if_small(ids), "__id", "left")
+    rows = rows.select("__trusted", word_hashes(F.col("__text")).alias("__w"))
     counts = (
-        flagged.select("__trusted", F.explode(grams).alias("gram"))
-        .groupBy(_bucket(F.col("gram")).alias("bucket"))
+        rows.select("__trusted", F.explode(_grams("__w", buckets)).alias("bucket"))
+        .groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("raw"), F.count("__trusted").alias("target"))
     )
-    raw, target = [0] * BUCKETS, [0] * BUCKETS
-    for row in counts.collect():  # BUCKETS rows at most
-        raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
-    of_target, of_raw = math.log(sum(target) + BUCKETS), math.log(sum(raw) + BUCKETS)
-    return [round(math.log(t + 1) - of_target - math.log(r + 1) + of_raw, 6) for t, r in zip(target, raw, strict=True)]
+    counts = saved(counts, "quality-counts")
+    n = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
+    share = (n["target"] or 0) / (n["raw"] or 1)
+    ratio = F.log((F.col("target") + 1) / (F.col("raw") * share + 1))
+    return counts.select("bucket", F.round(ratio * 1_000_000).cast("bigint").alias("micro"))
+
 
+def scores(df: DataFrame, text: str, table: DataFrame, buckets: int) -> DataFrame:
+    """__key, __key2, __mean: the mean ratio of every text that has words; equal texts are one row."""
+    rows = df.select(*_key(F.col(text)), word_hashes(F.col(text)).alias("__w"))
+    grams = rows.select("__key", "__key2", F.explode(_grams("__w", buckets)).alias("bucket"))
+    joined = grams.join(F.broadcast(table) if 2 * buckets <= BROADCAST else table, "bucket")
+    # Whole numbers add up to the same sum in any order.
+    summed = joined.groupBy("__key", "__key2").agg(F.sum("micro").alias("sum"), F.count(F.lit(1)).alias("n"))
+    return summed.select("__key", "__key2", (F.col("sum") / F.col("n") / 1_000_000).alias("__mean"))
 
-def score(words: str, pairs: str, llr: list[float]) -> Column:
-    """Mean ratio over the unigrams and bigrams of the words; 0 without words."""
-    table = F.split(F.lit(",".join(map(str, llr))), ",").cast("array<double>")
-    ones = F.aggregate(words, F.lit(0.0), lambda total, x: total + F.get(table, _bucket(x)))
-    twos = F.aggregate(pairs, F.lit(0.0), lambda total, h: total + F.get(table, _bucket(h)))
-    return F.when(F.size(words) == 0, F.lit(0.0)).otherwise((ones + twos) / (2 * F.size(words)))
+
+def cut_of(df: DataFrame, text: str, doc_id: str, trusted: DataFrame, found: DataFrame) -> float:
+    """The mean ratio that a share LOST of the held-out trusted documents of MIN_WORDS words or more falls short of."""
+    rows = df.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(broadcast_if_small(trusted), "__id")
+    rows = rows.where(F.size(words_of(F.col("__text"))) >= MIN_WORDS).select("__held", *_key(F.col("__text")))
+    rows = rows.join(found, ["__key", "__key2"])
+    low = {r["__held"]: r["low"] for r in rows.groupBy("__held").agg(F.percentile_approx("__mean", LOST, 100_000).alias("low")).collect()}
+    return low.get(True, low.get(False, 0.0))
 
 
 def passing(df: DataFrame, text: str, doc_id: str, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -128,11 +154,19 @@ def judged(df: DataFrame, text: str, doc_id: str, trusted: DataFrame, threshold:
 
 
 def _judged(df: DataFrame, text: str, doc_id: str, trusted: DataFrame, threshold: float) -> DataFrame:
-    words, pairs = fresh(df, "__words", "__pairs")
-    llr = ratios(df, text, doc_id, trusted)
+    words, pairs, key, key2, mean = fresh(df, "__words", "__pairs", "__key", "__key2", "__mean")
+    ids = trusted.select(F.col(trusted.columns[0]).alias("__id")).where("__id IS NOT NULL").distinct()
+    held = F.pmod(F.xxhash64(F.col("__id"), F.lit("held out")), F.lit(HELD_OUT)) == 0
+    ids = ids.withColumn("__held", held)
+    buckets = buckets_for(df.agg(F.sum(F.length(text))).first()[0] or 0)
+    table = ratios(df, text, doc_id, ids.where("NOT __held").select("__id"), buckets)
+    found = saved(scores(df, text, table, buckets), "quality-scores")
+    cut = cut_of(df, text, doc_id, ids, found)
     # The text goes no further than the first steps; from there on only word hashes do.
-    out = with_measures(df.withColumn(words, word_hashes(F.col(text))), text).withColumn(pairs, pair_hashes(words))
+    out = df.withColumns(dict(zip((key, key2), _key(F.col(text)), strict=True)))
+    out = with_measures(out.withColumn(words, word_hashes(F.col(text))), text).withColumn(pairs, pair_hashes(words))
     out = with_repeated_words(out, words, pairs, "n_repeat_words").withColumn("n_words", F.size(words).cast("bigint"))
-    out = out.withColumn("llr_score", score(words, pairs, llr)).drop(words, pairs)
+    out = out.drop(words, pairs).join(found.toDF(key, key2, mean), [key, key2], "left")
+    out = out.withColumn("llr_score", F.coalesce(mean, F.lit(0.0)) - F.lit(cut)).drop(key, key2, mean)
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr_score") >= threshold))

@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline
 from checks.compare import plain, rows_of  # noqa: F401
+from cinderbook.llm import quality
 from cinderbook.llm.common import saved
 from cinderbook.llm.queries import QUERIES, SQL
 from tests.llm.test_operators import sets
@@ -100,3 +101,21 @@ def brute_lines(rows, long_words):
         if not gone or left:
             out[i] = left if text is not None else None
     return out
+
+
+def test_quality_keeps_unseen_clean_documents_and_drops_junk(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    trusted = labels.where("quality = 1 AND toxic = 0").select("doc_id")
+    half = trusted.where("pmod(xxhash64(doc_id, 'half'), 2) = 0")
+    kept = {r.doc_id: r.kept for r in quality.judged(docs, "text", "doc_id", half).collect() if not r.base_failed}
+    clean = [kept[r.doc_id] for r in trusted.join(half, "doc_id", "left_anti").collect() if r.doc_id in kept]
+    junk = [kept[r.doc_id] for r in labels.where("quality = 0").collect() if r.doc_id in kept]
+    assert len(clean) > 100 and sum(clean) > 0.85 * len(clean) and len(junk) > 20 and sum(junk) < 0.05 * len(junk), (sum(clean), len(clean), sum(junk), len(junk))
+
+
+def test_quality_buckets_grow_with_the_corpus():
+    sizes = [quality.buckets_for(chars) for chars in (0, 10**7, 10**9, 10**12)]
+    assert sizes[0] == sizes[1] == quality.LEAST_BUCKETS
+    assert all(s & (s - 1) == 0 for s in sizes) and all(quality.CHARS / 2 < c / s <= quality.CHARS for c, s in ((10**9, sizes[2]), (10**12, sizes[3])))
