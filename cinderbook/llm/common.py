@@ -58,9 +58,14 @@ def _shipped(application: str) -> None:
     SparkContext.getOrCreate().addPyFile(str(archive))
 
 
+def shipped(spark: SparkSession) -> None:
+    """Needed before functions of this package run in Python workers."""
+    _shipped(spark.sparkContext.applicationId)
+
+
 def mapped(df: DataFrame, function, schema) -> DataFrame:
     """df.mapInArrow for functions of this package."""
-    _shipped(df.sparkSession.sparkContext.applicationId)
+    shipped(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderbook.llm import bpe, cws, langid, linededup, mixing, neardup, pii, quality, sharding, sql, wordpiece
-from cinderbook.llm.common import documents
+from cinderbook.llm import bpe, cws, langid, linededup, mixing, neardup, packing, pii, quality, sharding, sql, vectorcodes, whitening, wordpiece
+from cinderbook.llm.common import documents, saved
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SHARDS = (1.0,) * 8
 ENTROPY = 0.95  # of the largest possible
 MAX_REPEATS = 2.0
@@ -114,6 +117,29 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on its table's four leading components."""
+    return whitening.whitened(embeddings(spark, sf_dir).select("vec_id", "embedding"), "embedding")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens, a row for each piece."""
+    pieces = packing.packed(documents(spark, sf_dir).select("doc_id", "text"), "text", WORD_TOKENIZER)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding as four bytes, with the error by vector and by label."""
+    rows, books = vectorcodes.coded(embeddings(spark, sf_dir).select("vec_id", "embedding", "label"), "embedding", "vec_id")
+    rows = saved(rows.drop("embedding"), "vector-codes")
+    found = vectorcodes.with_label_errors(rows, "label", "error").select("vec_id", "code", "error", "label_error")
+    return found.withColumn("codebooks_sha256", F.lit(hashlib.sha256(vectorcodes.listed(books).encode()).hexdigest()))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -127,6 +153,9 @@ QUERIES = {
         op8_near_duplicates,
         op9_sharding,
         op10_fingerprints,
+        op11_whitening,
+        op12_packing,
+        op13_vector_codes,
     )
 }
 SQL: dict[str, str] = dict(sql.SQL)
