@@ -340,10 +340,19 @@ query("sample_trips")(lambda t: synth.sample_rows(t.trips, 0.1, 7, "trip_id"))
 
 
 # --- streams --------------------------------------------------------------------------------
-def _live_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.stream_table(
-        spark, sf_dir, binding.GIVEN["events"], pathGlobFilter="events.parquet", recursiveFileLookup="false"
-    )
+# The events come in this many files, one a micro-batch; all but the first bring readings of closed windows and known keys.
+FILES = 4
+
+
+def _arriving(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The events as a stream of several micro-batches, and a folder for the run."""
+    folder = _run_folder(spark)
+    events = read(spark, sf_dir, "events")
+    for k in range(FILES):
+        part = events.where(F.pmod("event_id", F.lit(FILES)) == k)
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = rollups.stream_table(spark, f"{folder}/in", binding.GIVEN["events"], maxFilesPerTrigger="1")
+    return stream, folder
 
 
 def _run_folder(spark: SparkSession) -> str:
@@ -354,31 +363,40 @@ def _run_folder(spark: SparkSession) -> str:
     return f"{(shared or tempfile.mkdtemp(prefix='checks-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def _finished(stream_query) -> None:
-    stream_query.awaitTermination()
-    if stream_query.exception() is not None:
-        raise stream_query.exception()
+def _finished(*stream_queries) -> None:
+    for stream_query in stream_queries:
+        stream_query.awaitTermination()
+        if stream_query.exception() is not None:
+            raise stream_query.exception()
+
+
+def _rolled_up(spark, sf_dir, rollup) -> str:
+    stream, folder = _arriving(spark, sf_dir)
+    _finished(rollups.start_rollup(live_readings(stream), rollup, folder))
+    return folder
 
 
 @job("stream_daily_rollup")
 def _(spark, sf_dir):
-    folder = _run_folder(spark)
-    _finished(rollups.start_rollup(rollups.daily_rollup(live_readings(_live_stream(spark, sf_dir))), folder))
-    return rollups.latest_windows(spark, folder)
+    return rollups.windows(spark, _rolled_up(spark, sf_dir, rollups.DAILY), rollups.DAILY)
 
 
 @job("stream_hourly_trend")
 def _(spark, sf_dir):
-    folder = _run_folder(spark)
-    _finished(rollups.start_rollup(rollups.hourly_trend(live_readings(_live_stream(spark, sf_dir))), folder))
-    return rollups.latest_windows(spark, folder, ("period", "building_id"))
+    folder = _rolled_up(spark, sf_dir, rollups.HOURLY)
+    rollups.merge_late(spark, folder, rollups.HOURLY)
+    return rollups.windows(spark, folder, rollups.HOURLY)
+
+
+@job("stream_late_readings")
+def _(spark, sf_dir):
+    return rollups.late_readings(spark, _rolled_up(spark, sf_dir, rollups.DAILY)).select("record_id", "batch")
 
 
 def _ingested(spark, sf_dir) -> str:
-    folder = _run_folder(spark)
+    stream, folder = _arriving(spark, sf_dir)
     t = ledger(spark, sf_dir)
-    raw = _live_stream(spark, sf_dir).selectExpr(*given.READINGS_SUBMITTED[1])
-    _finished(ingest.start_ingest(raw, t.energy, t.buildings, folder, LOADED_AT, NUMBER_KEY))
+    _finished(*ingest.start_ingest(stream.selectExpr(*given.READINGS_STREAMED[1]), t.energy, t.buildings, folder, LOADED_AT, NUMBER_KEY))
     return folder
 
 

@@ -31,6 +31,17 @@ READINGS_SUBMITTED = (
     ),
 )
 
+# The same, keys in eight rows each, spread over the files that arrive one after another.
+READINGS_STREAMED = (
+    "events",
+    (
+        "CASE WHEN event_id % 5 = 0 THEN event_id WHEN event_id % 7 = 0 THEN -event_id"
+        " ELSE -1 - CAST(floor(event_id / 8) AS BIGINT) END AS record_id",
+        *READINGS_SUBMITTED[1][1:],
+        "event_id % 4 AS file",
+    ),
+)
+
 INITIATIVES_SUBMITTED = (
     "part",
     (

@@ -57,16 +57,16 @@ def _without_month(table: DataFrame) -> DataFrame:
     return table.drop(MONTH_COLUMN)
 
 
-def _keyed(batch: DataFrame, table: DataFrame, key: str, loaded_at: dt.datetime) -> DataFrame:
+def _keyed(batch: DataFrame, table: DataFrame, key: str, loaded_at: dt.datetime, salt: str = "") -> DataFrame:
     """Text keys are generated where missing: from the load time, the row, and its number among equal rows, so that a
-    task run again gives the same."""
+    task run again gives the same.  Loads of one time need a salt each."""
     if not isinstance(table.schema[key].dataType, T.StringType):
         return batch
     if key not in batch.columns:
         batch = batch.withColumn(key, F.lit(None).cast("string"))
     equal = batch.filter(F.col(key).isNull()).groupBy(*batch.columns).agg(F.count(F.lit(1)).alias("_n"))
     numbered = equal.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    h = F.md5(F.concat_ws("|", F.lit(loaded_at.isoformat()), F.to_json(F.struct(*batch.columns)), F.col("_i").cast("string")))
+    h = F.md5(F.concat_ws("|", F.lit(loaded_at.isoformat() + salt), F.to_json(F.struct(*batch.columns)), F.col("_i").cast("string")))
     part = lambda start, n: F.substring(h, start, n)
     made = F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-a"), part(18, 3), F.lit("-"), part(21, 12))
     return batch.filter(F.col(key).isNotNull()).unionByName(numbered.withColumn(key, made).select(*batch.columns))
@@ -93,10 +93,10 @@ def _load_time(loaded_at: dt.datetime) -> Column:
 
 # --- append ---------------------------------------------------------------------------------
 def append_readings(
-    energy: DataFrame, buildings: DataFrame, batch: DataFrame, loaded_at: dt.datetime
+    energy: DataFrame, buildings: DataFrame, batch: DataFrame, loaded_at: dt.datetime, salt: str = ""
 ) -> Change:
     """Add readings of known buildings with their emission."""
-    return _append_facts(energy, buildings, batch, "record_id", "building_id", loaded_at, with_energy_co2e)
+    return _append_facts(energy, buildings, batch, "record_id", "building_id", loaded_at, with_energy_co2e, salt)
 
 
 def append_trips(trips: DataFrame, users: DataFrame, batch: DataFrame, loaded_at: dt.datetime) -> Change:
@@ -104,8 +104,8 @@ def append_trips(trips: DataFrame, users: DataFrame, batch: DataFrame, loaded_at
     return _append_facts(trips, users, batch, "trip_id", "user_id", loaded_at, with_trip_co2e)
 
 
-def _append_facts(table, parents, batch, key, parent_key, loaded_at, derive) -> Change:
-    table, batch = _without_month(table), _keyed(batch, table, key, loaded_at)
+def _append_facts(table, parents, batch, key, parent_key, loaded_at, derive, salt="") -> Change:
+    table, batch = _without_month(table), _keyed(batch, table, key, loaded_at, salt)
     known = parents.select(parent_key)
     defaults = {"created_at": _load_time(loaded_at)}
     rows, refused = _new_keys(table, batch.join(known, parent_key, "left_semi").select(*batch.columns), key, batch)

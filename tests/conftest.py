@@ -42,7 +42,7 @@ def con():
 
 def energy_frame(spark, rows):
     """(record, building, time, source, kwh) rows as readings with their emission."""
-    rows = [(r, b, dt.datetime.fromisoformat(t), s, None if k is None else Decimal(str(k))) for r, b, t, s, k in rows]
+    rows = [(r, b, t and dt.datetime.fromisoformat(t), s, None if k is None else Decimal(str(k))) for r, b, t, s, k in rows]
     df = spark.createDataFrame(
         rows,
         "record_id STRING, building_id STRING, date_time TIMESTAMP_NTZ, source STRING, consumption_kwh DECIMAL(12,4)",
