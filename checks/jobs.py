@@ -179,7 +179,22 @@ def _(spark, sf_dir):
 @job("upsert_readings")
 def _(spark, sf_dir):
     updates = submitted(spark, sf_dir, given.READING_UPDATES)
-    return maintain.update_readings(live(spark, sf_dir), updates).table
+    return maintain.update_readings(live(spark, sf_dir), binding.buildings(spark, sf_dir), updates).table
+
+
+def _corrected(spark, sf_dir) -> maintain.Change:
+    updates = submitted(spark, sf_dir, given.READING_CORRECTIONS)
+    return maintain.update_readings(live(spark, sf_dir), binding.buildings(spark, sf_dir), updates)
+
+
+@job("correct_readings")
+def _(spark, sf_dir):
+    return _corrected(spark, sf_dir).table
+
+
+@job("correct_readings_refused")
+def _(spark, sf_dir):
+    return reasons(_corrected(spark, sf_dir), "record_id")
 
 
 def _updated_trips(spark, sf_dir) -> maintain.Change:

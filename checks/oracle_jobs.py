@@ -224,6 +224,21 @@ sql("upsert_readings", f"""SELECT {READING}, created_at, {D(CO2E)} AS co2e_emitt
     CASE WHEN n.record_id IS NULL THEN v.consumption_kwh ELSE n.consumption_kwh END AS consumption_kwh,
     v.date_time AS created_at
   FROM live v LEFT JOIN latest n ON n.record_id = v.record_id) x""", READING_LATEST)
+# Only updates that keep every rule and name a building count; of those of a key the newest.
+CORRECTED = more(batch("sent", given.READING_CORRECTIONS), """judged AS (SELECT *, concat_ws('; ',
+    CASE WHEN date_time IS NULL THEN 'date_time must be an ISO time' END,
+    CASE WHEN source IS NULL OR source NOT IN ('electricity', 'gas', 'fuel', 'steam') THEN 'source is unknown' END,
+    CASE WHEN consumption_kwh NOT BETWEEN 0 AND 1000000 THEN 'consumption_kwh must be 0 to 1000000' END) AS broken,
+    building_id IN (SELECT building_id FROM buildings) AS known FROM sent)""", """latest AS (SELECT * FROM judged WHERE broken = '' AND known
+  QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY updated_at DESC, building_id DESC, date_time DESC, source DESC, consumption_kwh DESC) = 1)""")
+sql("correct_readings", f"""SELECT {READING}, created_at, {D(CO2E)} AS co2e_emitted FROM (
+  SELECT v.record_id, COALESCE(n.building_id, v.building_id) AS building_id, COALESCE(n.date_time, v.date_time) AS date_time,
+    COALESCE(n.source, v.source) AS source, CASE WHEN n.record_id IS NULL THEN v.consumption_kwh ELSE n.consumption_kwh END AS consumption_kwh,
+    v.date_time AS created_at
+  FROM live v LEFT JOIN latest n ON n.record_id = v.record_id) x""", CORRECTED)
+sql("correct_readings_refused", """SELECT record_id, broken AS reason FROM judged WHERE broken <> ''
+UNION ALL SELECT record_id, 'unknown building_id' FROM judged WHERE broken = '' AND NOT known
+UNION ALL SELECT record_id, 'not found' FROM latest WHERE record_id NOT IN (SELECT record_id FROM live)""", CORRECTED)
 TRIP_SENT = more(batch("sent", given.TRIP_UPDATES))
 sql("upsert_trips", f"""SELECT {TRIP}, created_at, {D(TRIP_CO2E)} AS co2e_emitted FROM (
   SELECT t.trip_id, t.user_id, COALESCE(n.date, t.date) AS date, COALESCE(n.mode, t.mode) AS mode,

@@ -107,6 +107,19 @@ READING_UPDATES = (
     ),
 )
 
+# The same with unknown sources, negative amounts, missing times and buildings that do not exist.
+READING_CORRECTIONS = (
+    "lineitem",
+    (
+        "l_orderkey AS record_id",
+        "CASE WHEN l_partkey % 9 = 1 THEN -l_suppkey ELSE l_suppkey END AS building_id",
+        "CASE WHEN l_partkey % 9 <> 2 THEN l_shipdate END AS date_time",
+        "CASE l_partkey % 9 WHEN 3 THEN 'plasma' WHEN 4 THEN NULL ELSE 'gas' END AS source",
+        "CAST(CASE WHEN l_partkey % 9 = 3 OR l_partkey % 9 = 5 THEN -5 ELSE l_quantity END AS DECIMAL(10,2)) AS consumption_kwh",
+        "l_shipdate AS updated_at",
+    ),
+)
+
 TRIP_UPDATES = (
     "orders",
     (

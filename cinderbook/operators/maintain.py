@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinderbook.functions.factors import with_energy_co2e, with_trip_co2e
+from cinderbook.operators import quality
 from cinderbook.operators.sizes import broadcast_if_small
 from cinderbook.schemas import MONTH_COLUMN
 
@@ -212,18 +213,44 @@ def _update(
     return Change(result.select(*table.columns), applied.select(*table.columns), refused)
 
 
-def update_readings(energy: DataFrame, updates: DataFrame, newest: Sequence[str] = ("updated_at",)) -> Change:
-    """Replace building, time, source and amount by key; the emission follows."""
+def _ruled(updates: DataFrame, check: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The updates that keep the rules of new rows, and the others with the rules they break."""
+    checked = quality.check_typed(check, updates)
+    broken = quality.rejected(checked).withColumn("reason", F.array_join("errors", "; "))
+    return quality.accepted(checked).select(*updates.columns), broken.select(*updates.columns, "reason")
+
+
+def _refusing(change: Change, *refused: DataFrame) -> Change:
+    for more in refused:
+        change = Change(change.table, change.applied, change.refused.unionByName(more))
+    return change
+
+
+def update_readings(
+    energy: DataFrame, buildings: DataFrame, updates: DataFrame, newest: Sequence[str] = ("updated_at",)
+) -> Change:
+    """Replace building, time, source and amount by key; the emission follows.
+
+    Updates pass the rules of new readings, and their building must exist; of the ones of a key that do, the newest counts.
+    """
     columns = ("building_id", "date_time", "source", "consumption_kwh")
-    winners = latest_per_key(updates, ["record_id"], newest)
-    return _update(energy, winners, updates, "record_id", lambda new: {c: new(c) for c in columns}, derive=with_energy_co2e)
+    sound, broken = _ruled(updates, lambda df: quality.check_readings(df, key_pattern=""))
+    known = buildings.select("building_id")
+    unknown = _refuse(sound.join(known, "building_id", "left_anti").select(*updates.columns), "unknown building_id")
+    winners = latest_per_key(sound.join(known, "building_id", "left_semi").select(*updates.columns), ["record_id"], newest)
+    change = _update(energy, winners, updates, "record_id", lambda new: {c: new(c) for c in columns}, derive=with_energy_co2e)
+    return _refusing(change, broken, unknown)
 
 
 def update_trips(trips: DataFrame, updates: DataFrame, newest: Sequence[str] = ("updated_at",)) -> Change:
-    """Replace date, mode and distance by key, only by the trip's own user; the emission follows."""
+    """Replace date, mode and distance by key, only by the trip's own user; the emission follows.
+
+    Updates pass the rules of new trips.
+    """
     columns = ("date", "mode", "distance_km")
-    winners = latest_per_key(updates, ["trip_id"], newest)
-    return _update(
+    sound, broken = _ruled(updates, quality.check_trips)
+    winners = latest_per_key(sound, ["trip_id"], newest)
+    change = _update(
         trips,
         winners,
         updates,
@@ -233,6 +260,7 @@ def update_trips(trips: DataFrame, updates: DataFrame, newest: Sequence[str] = (
         derive=with_trip_co2e,
         not_allowed="not the owner",
     )
+    return _refusing(change, broken)
 
 
 def update_initiatives(
@@ -241,35 +269,39 @@ def update_initiatives(
     touched_at: dt.datetime,
     newest: Sequence[str] = ("sent_at",),
 ) -> Change:
-    """Replace all editable columns by key; a missing actual reduction becomes zero."""
+    """Replace all editable columns by key, by the rules of initiatives; a missing actual reduction becomes zero."""
     columns = ("name", "description", "target_reduction_tco2e", "status", "start_date", "end_date")
-    winners = latest_per_key(updates, ["initiative_id"], newest)
+    sound, broken = _ruled(updates, quality.check_initiative_updates)
+    winners = latest_per_key(sound, ["initiative_id"], newest)
 
     def changes(new):
         actual = F.coalesce(new("actual_reduction_tco2e"), F.lit(0))
         return {c: new(c) for c in columns} | {"actual_reduction_tco2e": actual}
 
-    return _update(initiatives, winners, updates, "initiative_id", changes, touched_at=touched_at)
+    return _refusing(_update(initiatives, winners, updates, "initiative_id", changes, touched_at=touched_at), broken)
 
 
 def update_users(
     users: DataFrame, updates: DataFrame, touched_at: dt.datetime, newest: Sequence[str] = ("sent_at",)
 ) -> Change:
-    """Replace names and department by key."""
+    """Replace names and department by key, by the rules of profiles."""
     columns = ("first_name", "last_name", "department")
-    winners = latest_per_key(updates, ["user_id"], newest)
-    return _update(users, winners, updates, "user_id", lambda new: {c: new(c) for c in columns}, touched_at=touched_at)
+    sound, broken = _ruled(updates, quality.check_profiles)
+    winners = latest_per_key(sound, ["user_id"], newest)
+    change = _update(users, winners, updates, "user_id", lambda new: {c: new(c) for c in columns}, touched_at=touched_at)
+    return _refusing(change, broken)
 
 
 def update_buildings(
     buildings: DataFrame, updates: DataFrame, touched_at: dt.datetime, newest: Sequence[str] = ("sent_at",)
 ) -> Change:
-    """Replace name, area, use and position by key, unless another building has the new name.
+    """Replace name, area, use and position by key, by the rules of buildings, unless another building has the new name.
 
     Names are compared with the table before the batch.  Of several buildings asking for one new
     name, the one already bearing it comes first, then the smallest key.
     """
-    winners = latest_per_key(updates, ["building_id"], newest)
+    sound, broken = _ruled(updates, quality.check_buildings)
+    winners = latest_per_key(sound, ["building_id"], newest)
     named = buildings.select("building_id", F.col("name").alias("_old"))
     found = winners.join(broadcast_if_small(named), "building_id")
     keeps = F.col("_old") == F.col("name")
@@ -290,7 +322,7 @@ def update_buildings(
     )
     unknown = _refuse(winners.join(buildings.select("building_id"), "building_id", "left_anti"), "not found")
     taken = found.drop("_old").join(free, ["name", "building_id"], "left_anti").select(*winners.columns)
-    return Change(change.table, change.applied, unknown.unionByName(_refuse(taken, "name exists")))
+    return Change(change.table, change.applied, unknown.unionByName(_refuse(taken, "name exists")).unionByName(broken))
 
 
 def patch_initiative_progress(

@@ -7,8 +7,11 @@ as broken, so required fields need no separate rule.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinderbook.functions.exprs import point
 from cinderbook.schemas import ENERGY_SOURCES, KM, KWH, REDUCTION, STATUSES, TRIP_MODES
@@ -61,25 +64,26 @@ def rejected(checked: DataFrame) -> DataFrame:
     return checked.filter(F.size("errors") > 0)
 
 
-def check_users(df: DataFrame) -> DataFrame:
-    """Addresses are lower-cased, names and department trimmed."""
-    tidy = df.withColumns(
-        {
-            "email": F.lower(F.trim("email")),
-            "first_name": F.trim("first_name"),
-            "last_name": F.trim("last_name"),
-            "department": F.trim("department"),
-        }
-    )
-    rules = {
-        "email": F.col("email").rlike(EMAIL),
+def _profile_rules() -> dict[str, Column]:
+    return {
         "first_name must have 2 to 50 characters": _length(F.col("first_name"), 2, 50),
         "last_name must have 2 to 50 characters": _length(F.col("last_name"), 2, 50),
         "department must have at most 100 characters": _optional(
             F.col("department"), F.length("department") <= 100
         ),
     }
-    return with_errors(tidy, rules)
+
+
+def check_profiles(df: DataFrame) -> DataFrame:
+    """Names and department, trimmed."""
+    return with_errors(df.withColumns({c: F.trim(c) for c in ("first_name", "last_name", "department")}), _profile_rules())
+
+
+def check_users(df: DataFrame) -> DataFrame:
+    """Profiles with an address, which is lower-cased."""
+    tidy = df.withColumns({c: F.trim(c) for c in ("first_name", "last_name", "department")})
+    tidy = tidy.withColumn("email", F.lower(F.trim("email")))
+    return with_errors(tidy, {"email": F.col("email").rlike(EMAIL)} | _profile_rules())
 
 
 def _checked(parsed: DataFrame, rules: dict[str, Column], typed: dict[str, Column]) -> DataFrame:
@@ -173,3 +177,25 @@ def check_progress(df: DataFrame) -> DataFrame:
         "nothing to change": actual.isNotNull() | status.isNotNull(),
     }
     return _checked(df, rules, {"actual_reduction_tco2e": actual.try_cast(REDUCTION)})
+
+
+def check_typed(check: Callable[[DataFrame], DataFrame], df: DataFrame) -> DataFrame:
+    """The check of submitted text over rows that have types already: the rows with their errors, texts trimmed."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    text = {c: F.col(c).cast("string") for c, kind in kinds.items() if not isinstance(kind, (T.StringType, T.StructType))}
+    for name, kind in kinds.items():
+        if isinstance(kind, T.StructType):
+            text[name] = F.concat(F.lit("POINT("), F.col(f"{name}.x"), F.lit(" "), F.col(f"{name}.y"), F.lit(")"))
+    checked = check(df.withColumns(text))
+    return checked.withColumns({c: F.col(c).cast(kinds[c]) for c in text if checked.schema[c].dataType.simpleString() != kinds[c].simpleString()})
+
+
+def check_initiative_updates(df: DataFrame) -> DataFrame:
+    """A whole initiative as it is to be: the rules of a new one, and those of its progress; the status is needed."""
+    actual = F.col("actual_reduction_tco2e")
+    checked = check_initiatives(df)
+    more = with_errors(checked.withColumnRenamed("errors", "_before"), {
+        "actual_reduction_tco2e must be a non-negative number": _optional(actual, _number(actual) >= 0),
+        "status is missing": F.col("status").isNotNull(),
+    })
+    return more.withColumns({"errors": F.concat("_before", "errors"), "actual_reduction_tco2e": actual.try_cast(REDUCTION)}).drop("_before")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A batch up to this many rows and bytes is sent to every executor; a larger one is shuffled.
 BROADCAST_ROWS = 100_000
@@ -17,10 +18,23 @@ def broadcast_if_small(
 
     Meant for the narrow side (keys or a change batch) of a join with a large table, which then
     is neither shuffled nor sorted.  `source` is a frame with at least as many rows, and at least as
-    wide, that is cheaper to measure.  Every task adds up its own rows and bytes and sends two
-    numbers.  A frame not marked is joined by shuffle, where adaptive execution splits hot keys.
+    wide, that is cheaper to measure.  Rows are counted first, up to the bound; only a frame within it
+    has its bytes added up, the lengths of texts beside the fixed widths of the other types.  A frame
+    not marked is joined by shuffle, where adaptive execution splits hot keys.
     """
     measured = df if source is None else source
-    width = F.length(F.to_json(F.struct(*measured.columns))) + 16 * len(measured.columns)
-    count, total = measured.agg(F.count(F.lit(1)), F.sum(width)).first()
-    return F.broadcast(df) if count <= rows and (total or 0) <= most else df
+    count = measured.limit(rows + 1).count()
+    return F.broadcast(df) if count <= rows and _bytes(measured, count) <= most else df
+
+
+def _bytes(df: DataFrame, count: int) -> int:
+    fixed, widths = 0, []
+    for field in df.schema.fields:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            widths.append(F.octet_length(field.name))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            widths.append(F.length(F.to_json(F.struct(field.name))))
+        fixed += 16
+    if not widths:
+        return count * fixed
+    return count * fixed + (df.agg(F.sum(sum((F.coalesce(w, F.lit(0)) for w in widths), F.lit(0)))).first()[0] or 0)

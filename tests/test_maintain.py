@@ -59,12 +59,13 @@ def test_append_initiatives_by_role(spark):
 def test_update_recomputes_and_is_idempotent(spark):
     e = energy_frame(spark, [("1", "b", "2024-06-15", "electricity", 100), ("2", "b", "2024-06-15", "gas", 100)])
     sent = updates(energy_frame(spark, [("1", "b", "2024-06-15", "electricity", 200), ("7", "b", "2024-06-15", "gas", 1)]))
-    first = maintain.update_readings(e, sent)
+    b = building_frame(spark, [("b", "Hall", 100, "Academic")])
+    first = maintain.update_readings(e, b, sent)
     got = table(first, "record_id")
     assert got["1"].co2e_emitted == Decimal("0.0800") and got["2"].co2e_emitted == Decimal("0.0200")
     assert reasons(first, "record_id") == {"7": "not found"}
     assert [r.record_id for r in first.applied.collect()] == ["1"]
-    again = maintain.update_readings(first.table, sent)
+    again = maintain.update_readings(first.table, b, sent)
     assert sorted(again.table.collect()) == sorted(first.table.collect())
 
 
@@ -72,8 +73,9 @@ def test_latest_update_wins(spark):
     e = energy_frame(spark, [("1", "b", "2024-06-15", "gas", 1)])
     old = updates(energy_frame(spark, [("1", "b", "2024-06-15", "gas", 900)]), "2024-07-01 00:00:00")
     new = updates(energy_frame(spark, [("1", "b", "2024-06-15", "gas", 5)]), "2024-07-02 00:00:00")
+    b = building_frame(spark, [("b", "Hall", 100, "Academic")])
     for batch in (old.unionByName(new), new.unionByName(old)):
-        assert table(maintain.update_readings(e, batch), "record_id")["1"].consumption_kwh == 5
+        assert table(maintain.update_readings(e, b, batch), "record_id")["1"].consumption_kwh == 5
 
 
 def test_only_the_owner_updates_a_trip(spark):
@@ -86,20 +88,49 @@ def test_only_the_owner_updates_a_trip(spark):
 
 
 def test_building_names_stay_unique(spark):
-    b = building_frame(spark, [("a", "A", 1, "X"), ("b", "B", 1, "X"), ("c", "C", 1, "X"), ("d", "D", 1, "X")])
+    b = building_frame(spark, [("a", "AA", 1, "XX"), ("b", "BB", 1, "XX"), ("c", "CC", 1, "XX"), ("d", "DD", 1, "XX")])
     # a keeps its name, b asks for a's name, c and d ask for the same free one.
-    sent = building_frame(spark, [("a", "A", 2, "Y"), ("b", "A", 2, "Y"), ("c", "N", 2, "Y"), ("d", "N", 2, "Y"),
-                                  ("z", "Z", 2, "Y")])
+    sent = building_frame(spark, [("a", "AA", 2, "YY"), ("b", "AA", 2, "YY"), ("c", "NN", 2, "YY"), ("d", "NN", 2, "YY"),
+                                  ("z", "ZZ", 2, "YY")])
     sent = sent.drop("created_at", "updated_at").withColumn("sent_at", F.lit(NOW))
     change = maintain.update_buildings(b, sent, NOW)
     got = table(change, "building_id")
     assert {k: (r.name, r.sq_footage) for k, r in got.items()} == {
-        "a": ("A", 2), "b": ("B", 1), "c": ("N", 2), "d": ("D", 1)
+        "a": ("AA", 2), "b": ("BB", 1), "c": ("NN", 2), "d": ("DD", 1)
     }
     assert got["a"].updated_at == NOW and got["b"].updated_at is None
     assert reasons(change, "building_id") == {"b": "name exists", "d": "name exists", "z": "not found"}
 
 
+def test_updates_keep_the_rules_of_new_rows(spark):
+    b = building_frame(spark, [("b", "Hall", 100, "Academic")])
+    e = energy_frame(spark, [("1", "b", "2024-06-15", "gas", 1), ("2", "b", "2024-06-15", "gas", 1)])
+    sent = [("1", "77", "2024-06-16", "gas", 2), ("1", "b", "2024-06-16", "plasma", -5), ("2", "b", "2024-06-16", "fuel", 3),
+            ("2", "b", None, "fuel", 4), ("9", "b", "2024-06-16", "gas", 5)]
+    change = maintain.update_readings(e, b, updates(energy_frame(spark, sent)))
+    got = table(change, "record_id")
+    assert float(got["1"].consumption_kwh) == 1 and (got["2"].source, float(got["2"].consumption_kwh)) == ("fuel", 3.0)
+    refused = sorted((r.record_id, r.reason) for r in change.refused.collect())
+    assert refused == [("1", "source is unknown; consumption_kwh must be 0 to 1000000"), ("1", "unknown building_id"),
+                       ("2", "date_time must be an ISO time"), ("9", "not found")]
+    t = trip_frame(spark, [("1", "u", "2024-06-15", "car", 10)])
+    change = maintain.update_trips(t, updates(trip_frame(spark, [("1", "u", "2024-06-16", "rocket", 20)])))
+    assert reasons(change, "trip_id") == {"1": "mode is unknown"} and change.applied.count() == 0
+    i = initiative_frame(spark, [("a", "5", "1", "active", "2024-01-15", None, None)])
+    worse = i.withColumns({"name": F.lit("new name"), "end_date": F.lit("2023-01-01").cast("date"), "actual_reduction_tco2e": F.lit(-1).cast("decimal(10,2)"),
+                           "status": F.lit(None).cast("string"), "sent_at": F.lit(NOW)}).drop("created_at", "updated_at", "created_by")
+    change = maintain.update_initiatives(i, worse, NOW)
+    assert reasons(change, "initiative_id") == {"a": "end_date must not be before start_date; actual_reduction_tco2e must be a non-negative number; status is missing"}
+    u = user_frame(spark, [("u", "user", "X")])
+    change = maintain.update_users(u, u.withColumns({"first_name": F.lit(" A "), "last_name": F.lit("Byron"), "sent_at": F.lit(NOW)}).drop("created_at", "updated_at", "role", "email"), NOW)
+    assert reasons(change, "user_id") == {"u": "first_name must have 2 to 50 characters"}
+    placed = b.withColumns({"location_gps": F.struct(F.lit(1.5).alias("x"), F.lit(-7.0).alias("y")), "sent_at": F.lit(NOW)}).drop("created_at", "updated_at")
+    got = table(maintain.update_buildings(b, placed, NOW), "building_id")["b"]
+    assert (got.location_gps.x, got.location_gps.y, got.updated_at) == (1.5, -7.0, NOW)
+    change = maintain.update_buildings(b, placed.withColumn("sq_footage", F.lit(0)), NOW)
+    assert reasons(change, "building_id") == {"b": "sq_footage must be a whole number from 1 to 10000000"}
+
+
 def test_patch_keeps_what_is_not_given(spark):
     i = initiative_frame(spark, [("a", "5", "1", "active", None, None, None), ("b", "5", "2", "active", None, None, None)])
     raw = spark.createDataFrame(
@@ -160,7 +191,7 @@ def test_hot_keys_in_a_batch(spark):
         "CAST(id AS DECIMAL(10,2)) AS consumption_kwh",
         "TIMESTAMP_NTZ'2024-06-15 00:00:00' + make_dt_interval(0, 0, CAST(id AS INT)) AS updated_at",
     )
-    got = table(maintain.update_readings(e, sent), "record_id")
+    got = table(maintain.update_readings(e, b, sent), "record_id")
     assert (got["0"].consumption_kwh, got["1"].consumption_kwh) == (2997, 1)
 
 

@@ -77,7 +77,7 @@ def test_changes_to_a_table_read_by_month(spark, model, tmp_path):
     read = tables.read_table(spark, "energy_consumption", str(tmp_path / "v1"))
     moved = model.energy.filter("record_id = '1'").withColumn("date_time", F.lit("2024-06-20").cast("timestamp_ntz"))
     moved = moved.withColumn("updated_at", F.col("date_time")).drop("co2e_emitted", "created_at")
-    changed = maintain.update_readings(read, moved).table
+    changed = maintain.update_readings(read, model.buildings, moved).table
     assert between_days(changed, "date_time", "2024-06-01", "2024-06-30").count() == 2
     more = model.energy.withColumn("record_id", F.concat("record_id", F.lit("x"))).drop("co2e_emitted", "created_at")
     added = maintain.append_readings(changed, model.buildings, more, dt.datetime(2024, 7, 1)).table
