@@ -1,7 +1,7 @@
 """Byte-level BPE by a distinct-word table.
 
 Texts are split into words by the tokenizer's own pattern; no merge crosses a word. Spark counts the words of the whole
-table, each distinct word is encoded once, and the ids go back to the places where the word stands. The part of the
+table, each distinct word is encoded once (by the ranks of its pieces, where that is the same), and the ids go back to the places where the word stands. The part of the
 word table that all tasks need is bounded: the HEAD most frequent words are sent to every task. Every other word is rare
 by construction; it is encoded once per batch of documents, in the task that meets it, which saves shuffling each
 occurrence of it to a join and back (see the README for the figures). Decoding joins ids with the table of pieces,
@@ -14,6 +14,7 @@ occur, as every byte is a piece; an empty table gives an empty result; other col
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from collections import Counter
@@ -24,12 +25,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
+from cinderbook.llm import packing
 from cinderbook.llm.common import fresh, mapped, saved, slices
 
 # Fixed value: the pattern of byte-level BPE words.
@@ -75,8 +78,37 @@ def _flat(lists) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False)
 
 
-def _encode(definition: str, words: list[str]) -> list[list[int]]:
-    return [e.ids for e in _tokenizer(definition).encode_batch_fast(words, add_special_tokens=False)]
+def ranks_of(definition: str) -> dict[bytes, int] | None:
+    """The vocabulary as ranks of byte strings, where merging by rank gives the same ids (see `packing.ranks_of`), else None."""
+    told = json.loads(definition)
+    model = told["model"]
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    made = [model["vocab"][a + b] for a, b in pairs]
+    plain = not any(model.get(k) for k in ("end_of_word_suffix", "continuing_subword_prefix", "dropout", "ignore_merges"))
+    if told.get("normalizer") or not plain or made != sorted(set(made)):
+        return None
+    rank, pieces = {pair: i for i, pair in enumerate(pairs)}, _pieces(definition)
+    special = {t["content"] for t in told["added_tokens"]}
+    return {bytes(pieces[i]): i for piece, i in model["vocab"].items() if piece not in special and packing.occurs(list(piece), rank)}
+
+
+_BY_RANK: dict[str, tiktoken.Encoding] = {}
+
+
+def _encode(sent: tuple[str, dict[bytes, int] | None], words: list[str]) -> list[list[int]]:
+    """Ids of words of the splitter, each by itself; special tokens are left to the library."""
+    definition, ranks = sent
+    if not ranks:
+        return [e.ids for e in _tokenizer(definition).encode_batch_fast(words, add_special_tokens=False)]
+    if definition not in _BY_RANK:
+        _BY_RANK[definition] = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    one, special = _BY_RANK[definition].encode_ordinary, _special(definition)
+    return [[special[w]] if w in special else one(w) for w in words]
+
+
+@functools.cache
+def _special(definition: str) -> dict[str, int]:
+    return {t.content: i for i, t in _tokenizer(definition).get_added_tokens_decoder().items()}
 
 
 @functools.cache
@@ -100,20 +132,25 @@ def _load(path: str) -> str:
     return tokenizer.to_str()
 
 
+def _sent(df: DataFrame, path: str):
+    """The tokenizer's definition and ranks, sent to the tasks."""
+    definition = _load(path)
+    return df.sparkSession.sparkContext.broadcast((definition, ranks_of(definition)))
+
+
 def word_table(df: DataFrame, text: str, path: str) -> DataFrame:
     """word, n, ids: every distinct word of the table with its number of occurrences, encoded once."""
-    spark = df.sparkSession
-    definition = spark.sparkContext.broadcast(_load(path))
+    sent = _sent(df, path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, found = _splitter(definition.value), Counter()
+        split, found = _splitter(sent.value[0]), Counter()
 
         def flush() -> pa.RecordBatch:
             out = pa.record_batch([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
             found.clear()
             return out
 
-        for batch in batches:
+        for batch in slices(batches, 0):
             for value in batch.column(0).to_pylist():
                 if value:
                     found.update(split(value))
@@ -124,7 +161,7 @@ def word_table(df: DataFrame, text: str, path: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = _encode(definition.value, batch.column(0).to_pylist())
+            ids = _encode(sent.value, batch.column(0).to_pylist())
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
     counted = mapped(df.select(text), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -152,11 +189,11 @@ def encode(df: DataFrame, text: str, path: str, column: str = "ids", head: int =
     (column,) = fresh(df, column)
     spark = df.sparkSession
     frequent = spark.sparkContext.broadcast(_frequent(saved(word_table(df, text, path), "words"), head))
-    definition = spark.sparkContext.broadcast(_load(path))
+    definition = _sent(df, path)
     place = df.columns.index(text)
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _splitter(definition.value)
+        split = _splitter(definition.value[0])
         sent, sent_ids = (frequent.value.column(c).combine_chunks() for c in ("word", "ids"))
         table: dict[str, int] = {}
         for batch in slices(batches, place):
@@ -187,6 +224,17 @@ def encode(df: DataFrame, text: str, path: str, column: str = "ids", head: int =
     return mapped(df, ids_of, schema)
 
 
+def _short(batches: Iterator[pa.RecordBatch], place: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to about `most` ids (one row at least)."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(place)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def decode(df: DataFrame, ids: str, path: str, column: str = "decoded") -> DataFrame:
     """The rows with the text of their token ids; null ids give null. Bytes that are no UTF-8 become U+FFFD."""
     (column,) = fresh(df, column)
@@ -195,7 +243,7 @@ def decode(df: DataFrame, ids: str, path: str, column: str = "decoded") -> DataF
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(definition.value)
-        for batch in batches:
+        for batch in _short(batches, place):
             lists = batch.column(place)
             flat = pieces[_flat(lists)]
             bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0))])

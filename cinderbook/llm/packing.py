@@ -100,21 +100,23 @@ def ranks_of(definition: str) -> dict[bytes, int] | None:
     byte = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in plain)}
     out = {}
     for piece, i in vocabulary.items():
-        if piece in special:
-            continue
         core = piece.removesuffix(SUFFIX)
-        symbols = [*core[:-1], core[-1] + piece[len(core) :]]
-        while len(symbols) > 1:
-            places = [(rank[pair], k) for k, pair in enumerate(itertools.pairwise(symbols)) if pair in rank]
-            if not places:
-                break
-            _, k = min(places)
-            symbols[k : k + 2] = ["".join(symbols[k : k + 2])]
-        if len(symbols) == 1:
+        if piece not in special and occurs([*core[:-1], core[-1] + piece[len(core) :]], rank):
             out[bytes(byte[c] for c in core) + (END if core != piece else b"")] = i
     return out
 
 
+def occurs(symbols: list[str], rank: dict[tuple[str, str], int]) -> bool:
+    """Whether merging joins all symbols to one piece."""
+    while len(symbols) > 1:
+        places = [(rank[pair], k) for k, pair in enumerate(itertools.pairwise(symbols)) if pair in rank]
+        if not places:
+            return False
+        _, k = min(places)
+        symbols[k : k + 2] = ["".join(symbols[k : k + 2])]
+    return True
+
+
 class Encoder:
     """Ids of texts.  No token spans a blank, so a text's ids are those of its words; a word's ids are kept for later texts.
 
