@@ -18,7 +18,9 @@ from cinderbook.operators import integrity, maintain, quality
 from cinderbook.operators.predicates import between_days
 from cinderbook.plans import documents, energy, overview, transport
 from cinderbook.sources import binding, synth
+from cinderbook.schemas import MONTH_COLUMN
 from cinderbook.sources.binding import AS_OF, ledger, live_readings, read
+from cinderbook.sources.versions import VersionedFact
 from cinderbook.streaming import ingest, rollups
 
 LOADED_AT = dt.datetime(2001, 7, 1, 12)
@@ -320,6 +322,38 @@ def _(spark, sf_dir):
     return _without_guests(spark, sf_dir)[2].select("initiative_id", "created_by")
 
 
+# --- versions -------------------------------------------------------------------------------
+def _versioned(spark, sf_dir) -> VersionedFact:
+    fact = VersionedFact(spark, f"{_run_folder(spark)}/fact", "energy_consumption")
+    fact.create(live(spark, sf_dir))
+    return fact
+
+
+@job("versioned_updates")
+def _(spark, sf_dir):
+    fact, buildings = _versioned(spark, sf_dir), binding.buildings(spark, sf_dir)
+    updates = submitted(spark, sf_dir, given.READING_UPDATES)
+    fact.change(updates, ["record_id"], lambda t: maintain.update_readings(t, buildings, updates))
+    return fact.read().drop(MONTH_COLUMN)
+
+
+@job("versioned_deletes")
+def _(spark, sf_dir):
+    fact, keys = _versioned(spark, sf_dir), submitted(spark, sf_dir, given.READING_UPDATES)
+    fact.change(keys, ["record_id"], lambda t: maintain.delete_rows(t, keys, ["record_id"]))
+    return fact.read().drop(MONTH_COLUMN)
+
+
+@job("versioned_appends")
+def _(spark, sf_dir):
+    """Readings written by month, then new ones beside them."""
+    t = ledger(spark, sf_dir)
+    fact = VersionedFact(spark, f"{_run_folder(spark)}/fact", "energy_consumption")
+    fact.create(t.energy)
+    fact.append(_appended_readings(spark, sf_dir).applied)
+    return fact.read().drop(MONTH_COLUMN)
+
+
 # --- nested documents -----------------------------------------------------------------------
 @query("reading_documents")
 def _(t):

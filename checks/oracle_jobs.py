@@ -301,6 +301,9 @@ WHERE user_id NOT IN (SELECT user_id FROM users WHERE role = 'guest')""")
 sql("delete_cascade_initiatives", """SELECT initiative_id, CASE WHEN created_by IN
   (SELECT user_id FROM users WHERE role = 'guest') THEN NULL ELSE created_by END AS created_by FROM initiatives""")
 
+for _versioned, _same in (("updates", "upsert_readings"), ("deletes", "delete_readings"), ("appends", "append_readings")):
+    SQL[f"versioned_{_versioned}"] = SQL[_same]
+
 # --- the report from shared totals ----------------------------------------------------------
 for _section, _same in (
     ("summary", "carbon_footprint_summary"), ("scopes", "scope_breakdown_range"), ("buildings", "building_breakdown_range"),
