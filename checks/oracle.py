@@ -320,6 +320,11 @@ FROM metered WHERE {condition} QUALIFY row_number() OVER (ORDER BY date_time DES
 
 sql("energy_listing", reading_page("TRUE", 101, 150))
 sql("energy_listing_public", reading_page(LAST_30, 1, 50))
+sql("energy_listing_deep", f"""
+SELECT record_id, date_time, source, {D("consumption_kwh")} AS consumption_kwh, {D("co2e_emitted")} AS co2e_emitted,
+  name AS building_name, primary_use, sq_footage
+FROM metered ORDER BY date_time DESC, record_id DESC, building_id DESC, metered.consumption_kwh DESC, source DESC LIMIT 50 OFFSET 50000""")
+sql("energy_listing_after", reading_page("(date_time, record_id) < (TIMESTAMP '1999-01-01 05:00:00', 0)", 1, 100))
 sql("energy_listing_info", info("metered", 3, 50))
 
 # --- transport ------------------------------------------------------------------------------
@@ -398,6 +403,7 @@ QUALIFY row_number() OVER ({NEWEST_TRIP}) BETWEEN {low} AND {low + 49}"""
 
 
 sql("trip_listing_admin", all_trips("TRUE", 51))
+sql("trip_listing_admin_deep", all_trips("TRUE", 10501))
 sql("trip_listing_filtered", all_trips(f"mode = 'train' AND department = 'BUILDING' AND date {YEAR}", 1))
 sql("trip_listing_after", all_trips("(date, created_at, trip_id) < (DATE '2001-06-01', TIMESTAMP '2001-06-01', 0)", 1))
 sql("trip_listing_info", info("travelled", 2, 50))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -123,6 +124,14 @@ query("energy_listing")(
 query("energy_listing_public")(
     lambda t: energy.energy_listing(t.buildings, t.energy, AS_OF, Page(1, 50), tie_break=READING_TIES)
 )
+DEEP_TIES = ("record_id", "building_id", "consumption_kwh", "source")
+query("energy_listing_deep")(
+    lambda t: energy.energy_listing(t.buildings, t.energy, AS_OF, Page(1001, 50), role="admin", tie_break=DEEP_TIES)
+)
+query("energy_listing_after")(
+    lambda t: energy.energy_listing_after(t.buildings, t.energy, AS_OF, (dt.datetime(1999, 1, 1, 5), 0), 100, role="admin")
+)
+query("trip_listing_admin_deep")(lambda t: transport.trip_listing_admin(t.users, t.trips, Page(211, 50)))
 query("energy_listing_info")(
     lambda t: energy.energy_listing_info(t.buildings, t.energy, AS_OF, Page(3, 50), role="admin")
 )

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinderbook.params import Page, check_positive
 
@@ -19,12 +21,71 @@ def top(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
 def page_of(df: DataFrame, order: Sequence[Column], page: Page) -> DataFrame:
     """One page by offset.  The order must end in unique columns, or pages overlap.
 
-    Every task keeps offset + size rows, which is fine for the first pages; to walk deep into a
-    large table use `page_after`.
+    Every task keeps offset + size rows, which is fine for the first pages; deep in a large table
+    use `page_at` or `page_after`.
     """
     return df.orderBy(*order).offset(page.offset).limit(page.size)
 
 
+# Up to this offset the tasks' first rows are merged; beyond it the page is located first.
+SHALLOW = 10_000
+# Rows of a bucket that are sorted as they are; a day with more is counted by the second.
+BUCKET_ROWS = 1_000_000
+
+
+def page_at(
+    df: DataFrame, time: str, order: Sequence[Column], page: Page, keys: DataFrame | None = None, key: str | None = None,
+    shallow: int = SHALLOW, most: int = BUCKET_ROWS,
+) -> DataFrame:
+    """A page at any depth of rows ordered by `time`, newest first and missing times before all, then by `order`.
+
+    Rows are counted by day, and the days' running sums tell which ones the page lies in; a day of more than `most` rows is
+    counted again by the second.  Only that stretch of time is read and sorted, so no task holds more than it, at any depth.
+    With `keys`, only rows whose `key` stands there count; they are counted by day and key before they meet the keys.
+    """
+    known = (lambda rows: rows) if keys is None else (lambda rows: rows.join(keys.select(key).distinct(), key, "left_semi"))
+    newest = [F.col(time).desc_nulls_first(), *order]
+    if page.offset <= shallow:
+        return known(df).orderBy(*newest).offset(page.offset).limit(page.size)
+    kind = df.schema[time].dataType
+    by = [] if keys is None else [key]
+
+    def buckets(rows: DataFrame, bucket: Column) -> list[tuple]:
+        counts = known(rows.groupBy(bucket.alias("bucket"), *by).agg(F.count(F.lit(1)).alias("n")))
+        found = [(r["bucket"], r["n"]) for r in counts.groupBy("bucket").agg(F.sum("n").alias("n")).collect()]
+        return sorted((f for f in found if f[0] is None), key=lambda f: 0) + sorted((f for f in found if f[0] is not None), reverse=True)
+
+    def spanned(found: list[tuple], offset: int) -> tuple[list, int, int]:
+        """Buckets the page lies in, rows before the first of them, and rows in them."""
+        chosen, before, inside, passed = [], 0, 0, 0
+        for bucket, n in found:
+            if passed + n > offset and passed < offset + page.size:
+                before = passed if not chosen else before
+                chosen.append(bucket)
+                inside += n
+            passed += n
+        return chosen, before, inside
+
+    days, before, inside = spanned(buckets(df, F.col(time).cast("date")), page.offset)
+    if not days:
+        return known(df).limit(0)
+    dated = [d for d in days if d is not None]
+    stretch = F.lit(False)
+    if dated:
+        first, last = F.lit(dated[-1]).cast(kind), F.lit(dated[0] + dt.timedelta(days=1)).cast(kind)
+        stretch = (F.col(time) >= first) & (F.col(time) < last)
+    if None in days:
+        stretch = stretch | F.col(time).isNull()
+    rows = df.where(stretch)
+    if inside > most and days == dated and len(days) == 1 and not isinstance(kind, T.DateType):
+        second = F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time).cast("int")
+        seconds, more, _ = spanned(buckets(rows, second), page.offset - before)
+        start = dt.datetime.combine(days[0], dt.time())
+        low, high = (F.lit((start + dt.timedelta(seconds=s)).isoformat(sep=" ")).cast(kind) for s in (seconds[-1], seconds[0] + 1))
+        rows, before = rows.where((F.col(time) >= low) & (F.col(time) < high)), before + more
+    return known(rows).orderBy(*newest).offset(page.offset - before).limit(page.size)
+
+
 def page_after(df: DataFrame, newest_first: Sequence[str], last_seen: Sequence, size: int) -> DataFrame:
     """The page following the row with the given key values (keyset paging), all keys descending.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderbook.functions.exprs import day_of, hour_label, mean, month_of, period_start, ratio, rounded
-from cinderbook.operators.paging import page_after, page_info, page_of
+from cinderbook.operators.paging import page_after, page_at, page_info, page_of
 from cinderbook.operators.predicates import between_days, equal_to, visible_readings, where
 from cinderbook.operators.totals import co2e_totals, energy_totals, row_count
 from cinderbook.params import DateRange, Page, check_choice, days_before, months_before
@@ -171,8 +171,10 @@ def daily_energy_activity(energy: DataFrame, days: DateRange, limit: int = 30) -
     )
 
 
-def readings_with_building(
-    buildings: DataFrame,
+_FACT_COLUMNS = ("record_id", "building_id", "date_time", "source", "consumption_kwh", "co2e_emitted")
+
+
+def _listed(
     energy: DataFrame,
     as_of: dt.date | str,
     building_id=None,
@@ -181,20 +183,19 @@ def readings_with_building(
     end: dt.date | str | None = None,
     role: str | None = None,
 ) -> DataFrame:
-    """The filtered rows behind the readings listing."""
     readings = visible_readings(between_days(energy, "date_time", start, end), role, as_of)
-    readings = where(readings, equal_to("building_id", building_id), equal_to("source", source))
+    return where(readings, equal_to("building_id", building_id), equal_to("source", source)).select(*_FACT_COLUMNS)
+
+
+def _described(readings: DataFrame, buildings: DataFrame) -> DataFrame:
     described = buildings.select("building_id", F.col("name").alias("building_name"), "primary_use", "sq_footage")
-    return readings.join(described, "building_id").select(
-        "record_id",
-        "date_time",
-        "source",
-        "consumption_kwh",
-        "co2e_emitted",
-        "building_name",
-        "primary_use",
-        "sq_footage",
-    )
+    own = [c for c in _FACT_COLUMNS if c != "building_id"]
+    return readings.join(described, "building_id").select(*own, "building_name", "primary_use", "sq_footage")
+
+
+def readings_with_building(buildings: DataFrame, energy: DataFrame, as_of: dt.date | str, **filters) -> DataFrame:
+    """The filtered rows behind the readings listing."""
+    return _described(_listed(energy, as_of, **filters), buildings)
 
 
 def energy_listing(
@@ -205,10 +206,18 @@ def energy_listing(
     tie_break: Sequence[str] = ("record_id",),
     **filters,
 ) -> DataFrame:
-    """A page of readings, newest first."""
-    rows = readings_with_building(buildings, energy, as_of, **filters)
-    order = [F.col("date_time").desc_nulls_first(), *[F.col(c).desc_nulls_last() for c in tie_break]]
-    return page_of(rows, order, page)
+    """A page of readings, newest first.
+
+    Ties broken by columns of the readings let the page be found among readings alone: only its rows meet the buildings.
+    """
+    order = [F.col(c).desc_nulls_last() for c in tie_break]
+    newest = F.col("date_time").desc_nulls_first()
+    if not set(tie_break) <= set(_FACT_COLUMNS):
+        return page_of(readings_with_building(buildings, energy, as_of, **filters), [newest, *order], page)
+    rows = page_at(_listed(energy, as_of, **filters), "date_time", order, page, buildings, "building_id")
+    # The page has at most Page.size rows.
+    ties = [c for c in tie_break if c != "building_id"]
+    return _described(F.broadcast(rows), buildings).orderBy(newest, *[F.col(c).desc_nulls_last() for c in ties])
 
 
 def energy_listing_after(

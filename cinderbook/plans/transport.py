@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderbook.functions.exprs import full_name, mean, month_of, or_zero, period_start, rounded
-from cinderbook.operators.paging import page_after, page_info, page_of, page_per_key, top
+from cinderbook.operators.paging import page_after, page_at, page_info, page_of, page_per_key, top
 from cinderbook.operators.predicates import between_days, equal_to, where
 from cinderbook.operators.ranking import with_global_rank
 from cinderbook.operators.totals import co2e_totals, trip_totals
@@ -311,8 +311,14 @@ def trips_with_user(
     return rows.join(people, "user_id").select(*_TRIP_COLUMNS, "user_name", "email", "department")
 
 
-def trip_listing_admin(users: DataFrame, trips: DataFrame, page: Page = Page(1, 50), **filters) -> DataFrame:
-    return page_of(trips_with_user(users, trips, **filters), _newest_first(), page)
+def trip_listing_admin(
+    users: DataFrame, trips: DataFrame, page: Page = Page(1, 50), department: str | None = None, **filters
+) -> DataFrame:
+    """A page of all trips, newest first.  It is found among the trips; only its rows (at most Page.size) meet the users."""
+    people = where(users, equal_to("department", department))
+    rows = where(between_days(trips, "date", filters.get("start"), filters.get("end")), equal_to("mode", filters.get("mode")))
+    rows = page_at(rows.select("user_id", *_TRIP_COLUMNS), "date", _newest_first()[1:], page, people, "user_id")
+    return trips_with_user(users, F.broadcast(rows), department=department).orderBy(*_newest_first())
 
 
 def trip_listing_admin_after(

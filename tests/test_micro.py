@@ -12,6 +12,7 @@ from cinderbook.operators import paging, predicates, totals
 from cinderbook.params import DateRange, Page
 from cinderbook.plans import buildings, daily, energy, initiatives, overview, transport
 from cinderbook.schemas import Ledger, check_schema
+from cinderbook.sources.binding import ledger
 from tests.conftest import building_frame, energy_frame, initiative_frame, trip_frame, user_frame
 
 AS_OF = "2024-06-30"
@@ -313,3 +314,30 @@ def test_dashboards_are_complete(spark):
     )
     assert all(f.count() > 0 for f in overview.public_dashboard(t, AS_OF).values())
     assert all(f.count() > 0 for f in overview.admin_dashboard(t, DateRange.last_days(AS_OF, 30)).values())
+
+
+# --- pages ----------------------------------------------------------------------------------
+def test_any_page_of_a_listing_is_that_of_the_sorted_rows(spark):
+    """Hot days and seconds, missing times, ties, keys that are unknown; located at every depth."""
+    rows = [(i, i % 7, None if i % 50 == 0 else dt.datetime(2024, 1, 1 + (0 if i % 3 else i % 28), 5, 0, 0 if i % 2 else i % 60)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id INT, owner INT, at TIMESTAMP_NTZ").repartition(5)
+    owners = spark.createDataFrame([(k,) for k in (0, 1, 2, 3, 3, 9)], "owner INT")
+    order = [F.col("id").desc_nulls_last()]
+    for keys, key, kept in ((None, None, rows), (owners, "owner", [r for r in rows if r[1] < 4])):
+        newest = sorted(kept, key=lambda r: (r[2] is None, r[2] or dt.datetime.min, r[0]), reverse=True)
+        for size, number in ((20, 1), (20, 3), (20, 4), (50, 17), (100, 12), (7, 150), (100, 15), (100, 18), (100, 40)):
+            page = Page(number, size)
+            got = paging.page_at(df, "at", order, page, keys, key, shallow=0, most=100).collect()
+            assert [r.id for r in got] == [r[0] for r in newest[page.offset : page.offset + size]], (number, size)
+    dated = df.withColumn("at", F.col("at").cast("date"))
+    got = [r.id for r in paging.page_at(dated, "at", order, Page(12, 100), shallow=0, most=100).collect()]
+    days = sorted(rows, key=lambda r: (r[2] is None, r[2].date() if r[2] else dt.date.min, r[0]), reverse=True)
+    assert got == [r[0] for r in days[1100:1200]]
+
+
+def test_a_listing_joins_its_page_alone(spark, small):
+    t = ledger(spark, small)
+    page = energy.energy_listing(t.buildings, t.energy, "2001-06-30", Page(2, 50), role="admin", tie_break=("record_id", "building_id"))
+    plan = page._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join Inner")
+    assert join < plan.index("GlobalLimit") and "LeftSemi" in plan[join:]
