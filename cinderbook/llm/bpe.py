@@ -187,6 +187,23 @@ def _frequent(words: DataFrame, head: int) -> pa.Table:
 def encode(df: DataFrame, text: str, path: str, column: str = "ids", head: int = HEAD) -> DataFrame:
     """The rows with the token ids of their whole text."""
     (column,) = fresh(df, column)
+    schema = T.StructType([*df.schema.fields, T.StructField(column, T.ArrayType(T.IntegerType()))])
+    return mapped(df, _encoding(df, text, path, column, head), schema)
+
+
+def round_trip(
+    df: DataFrame, text: str, path: str, column: str = "ids", decoded: str = "decoded", head: int = HEAD
+) -> DataFrame:
+    """The rows with their ids and the text of these, both made by the same worker."""
+    column, decoded = fresh(df, column, decoded)
+    encoding = _encoding(df, text, path, column, head)
+    decoding = _decoding(df, len(df.columns), path, decoded)
+    ids, back = T.StructField(column, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())
+    return mapped(df, lambda batches: decoding(encoding(batches)), T.StructType([*df.schema.fields, ids, back]))
+
+
+def _encoding(df: DataFrame, text: str, path: str, column: str, head: int):
+    """The function of a task's batches that adds the ids; counts and encodes the words of the table first."""
     spark = df.sparkSession
     frequent = spark.sparkContext.broadcast(_frequent(saved(word_table(df, text, path), "words"), head))
     definition = _sent(df, path)
@@ -220,8 +237,7 @@ def encode(df: DataFrame, text: str, path: str, column: str = "ids", head: int =
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.record_batch([*batch.columns, lists], [*batch.schema.names, column])
 
-    schema = T.StructType([*df.schema.fields, T.StructField(column, T.ArrayType(T.IntegerType()))])
-    return mapped(df, ids_of, schema)
+    return ids_of
 
 
 def _short(batches: Iterator[pa.RecordBatch], place: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -238,8 +254,13 @@ def _short(batches: Iterator[pa.RecordBatch], place: int, most: int = 1 << 20) -
 def decode(df: DataFrame, ids: str, path: str, column: str = "decoded") -> DataFrame:
     """The rows with the text of their token ids; null ids give null. Bytes that are no UTF-8 become U+FFFD."""
     (column,) = fresh(df, column)
+    schema = T.StructType([*df.schema.fields, T.StructField(column, T.StringType())])
+    return mapped(df, _decoding(df, df.columns.index(ids), path, column), schema)
+
+
+def _decoding(df: DataFrame, place: int, path: str, column: str):
+    """The function of a task's batches that adds the text of the ids in column `place`."""
     definition = df.sparkSession.sparkContext.broadcast(_load(path))
-    place = df.columns.index(ids)
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(definition.value)
@@ -254,5 +275,4 @@ def decode(df: DataFrame, ids: str, path: str, column: str = "decoded") -> DataF
             ]
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, column])
 
-    schema = T.StructType([*df.schema.fields, T.StructField(column, T.StringType())])
-    return mapped(df, texts_of, schema)
+    return texts_of

@@ -74,8 +74,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text decoded from them, as digests."""
-    ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), "text", TOKENIZER).drop("text")
-    return bpe.decode(ids, "ids", TOKENIZER).select(
+    return bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), "text", TOKENIZER).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),

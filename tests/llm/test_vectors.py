@@ -226,3 +226,16 @@ def test_queries_have_the_columns_asked_for(spark, small):
         got = queries.QUERIES[name](spark, small)
         assert got.columns == columns and got.count() > 0
     assert len(hashlib.sha256().hexdigest()) == len(got.first()["codebooks_sha256"])
+
+
+def test_bpe_round_trip_equals_encoding_and_decoding(spark):
+    from cinderbook.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([r[:2] for r in documents()], "doc_id LONG, text STRING").repartition(3)
+    both = sorted(bpe.round_trip(df, "text", path).collect(), key=str)
+    apart = sorted(bpe.decode(bpe.encode(df, "text", path), "ids", path).collect(), key=str)
+    assert [tuple(r) for r in both] == [tuple(r) for r in apart]
+    tokenizer = Tokenizer.from_file(path)
+    assert all(r["ids"] == tokenizer.encode(r["text"] or "", add_special_tokens=False).ids for r in both)
+    assert all(r["decoded"] == (r["text"] or "") for r in both)
