@@ -39,8 +39,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether decoding them gives the text back."""
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), "text", TOKENIZER)
-    decoded = bpe.decode(encoded, "ids", TOKENIZER)
+    decoded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), "text", TOKENIZER)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
