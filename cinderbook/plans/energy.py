@@ -217,7 +217,7 @@ def energy_listing(
     rows = page_at(_listed(energy, as_of, **filters), "date_time", order, page, buildings, "building_id")
     # The page has at most Page.size rows.
     ties = [c for c in tie_break if c != "building_id"]
-    return _described(F.broadcast(rows), buildings).orderBy(newest, *[F.col(c).desc_nulls_last() for c in ties])
+    return _described(F.broadcast(rows), buildings).orderBy(newest, *[F.col(c).desc_nulls_last() for c in ties]).limit(page.size)
 
 
 def energy_listing_after(

@@ -318,7 +318,7 @@ def trip_listing_admin(
     people = where(users, equal_to("department", department))
     rows = where(between_days(trips, "date", filters.get("start"), filters.get("end")), equal_to("mode", filters.get("mode")))
     rows = page_at(rows.select("user_id", *_TRIP_COLUMNS), "date", _newest_first()[1:], page, people, "user_id")
-    return trips_with_user(users, F.broadcast(rows), department=department).orderBy(*_newest_first())
+    return trips_with_user(users, F.broadcast(rows), department=department).orderBy(*_newest_first()).limit(page.size)
 
 
 def trip_listing_admin_after(
