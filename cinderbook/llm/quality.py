@@ -1,29 +1,30 @@
 """Quality rules: plain text measures, and a hashed n-gram log-likelihood ratio (built-in expressions only).
 
-The ratio compares two multinomials over hashed word unigrams and bigrams, each kind in buckets of its own: one of trusted
-documents, one of the whole raw corpus, which is also the prior of the first. The number of buckets follows the characters
-of the corpus, so that a bucket holds about as many n-grams at any size. A document's score is the mean of the log ratios of
-its n-grams, so that length plays no part, less the cut: the score that a share LOST of the held-out trusted documents falls
-short of. A document is kept if it passes the plain rules and scores at least THRESHOLD. One trusted document in HELD_OUT
-is held out, the others are fitted, however many they are. The ratios are a table that the n-grams are joined with; up to
-BROADCAST buckets it is sent to the tasks.
+The ratio compares two multinomials over hashed word unigrams and bigrams, BUCKETS buckets for each kind: one of trusted
+documents, one of the whole raw corpus, which is also the prior of the first. A document's score is the mean of the log
+ratios of its n-grams, so that length plays no part, less the cut: the score that a share LOST of the held-out trusted
+documents falls short of. A document is kept if it passes the plain rules and scores at least THRESHOLD. One trusted document
+in HELD_OUT is held out, the others are fitted, however many they are. The n-grams of all documents are counted, each task
+sending a row a bucket at most. The ratios of a kind are one constant array of BUCKETS integers, whose size does not depend
+on the data; it is read by position while the measures are computed, so texts are split twice in all.
 
 Defined results: a null or blank text has no words, fails the plain rules and has the ratio 0; with no trusted document all
-ratios and the cut are 0; if none of them is held out, the cut is taken over those that were fitted; repeated ids count as
-often as they occur; other columns pass through.
+ratios and the cut are 0; if no held-out one has MIN_WORDS words, the cut is taken over those that were fitted; a score at
+the threshold is kept; repeated rows and ids count as often as they occur; texts of any length are scored whole; an empty
+table gives an empty result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderbook.llm.common import SPACE_CHARS, SPACES, beside, fresh, let, saved, words_of
 from cinderbook.operators.sizes import broadcast_if_small
 
-LEAST_BUCKETS = 1 << 14
-CHARS = 2048  # characters of the corpus for each bucket of a kind
-BROADCAST = 1 << 21
+BUCKETS = 1 << 18  # of each kind
+PART = 1 << 11  # buckets in a row on the way to the driver
 HELD_OUT = 10
 LOST = 0.01
 THRESHOLD = 0.0  # nats per n-gram above the cut
@@ -80,58 +81,53 @@ def with_measures(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("n_dup_lines", repeated_lines(value))
 
 
-def buckets_for(chars: int) -> int:
-    """A power of two, at most twice what CHARS asks for beyond LEAST_BUCKETS."""
-    return max(LEAST_BUCKETS, 1 << max(0, -(-chars // CHARS) - 1).bit_length())
-
-
-def _key(text: Column) -> list[Column]:
-    return [F.xxhash64(text).alias("__key"), F.hash(text).alias("__key2")]
-
-
-def _grams(words: str, buckets: int) -> Column:
-    """Buckets of the unigrams, and after them those of the bigrams."""
-    of = lambda h, first: h.bitwiseAND(buckets - 1) + first
-    return F.concat(F.transform(words, lambda h: of(h, 0)), F.transform(pair_hashes(words), lambda h: of(h, buckets)))
-
-
-def ratios(df: DataFrame, text: str, doc_id: str, fitted: DataFrame, buckets: int) -> DataFrame:
-    """bucket, micro: the log-likelihood ratio in millionths of every bucket in use, from all documents and the fitted ones.
+def counted(df: DataFrame, text: str, doc_id: str, fitted: DataFrame, buckets: int) -> DataFrame:
+    """bucket, raw, target: n-grams of all documents and of the fitted ones; buckets of bigrams come after those of unigrams.
 
     fitted: one column of distinct ids.
     """
     ids = fitted.select(F.col(fitted.columns[0]).alias("__id"), F.lit(1).alias("__trusted"))
     rows = df.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(broadcast_if_small(ids), "__id", "left")
     rows = rows.select("__trusted", word_hashes(F.col("__text")).alias("__w"))
-    counts = (
-        rows.select("__trusted", F.explode(_grams("__w", buckets)).alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("raw"), F.count("__trusted").alias("target"))
-    )
-    counts = saved(counts, "quality-counts")
+    grams = F.posexplode(F.concat("__w", pair_hashes("__w"))).alias("at", "hash")
+    place = F.col("hash").bitwiseAND(buckets - 1) + F.when(F.col("at") >= F.col("n"), buckets).otherwise(0)
+    exploded = rows.withColumn("n", F.size("__w")).select("__trusted", "n", grams).select("__trusted", place.alias("bucket"))
+    return exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("__trusted").alias("target"))
+
+
+def ratios(counts: DataFrame, buckets: int) -> list[Column]:
+    """The log-likelihood ratios of the unigrams and of the bigrams in thousandths, as constant arrays by bucket; 0 for a bucket
+    not in use. The driver holds 2 * buckets small numbers."""
     n = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
     share = (n["target"] or 0) / (n["raw"] or 1)
-    ratio = F.log((F.col("target") + 1) / (F.col("raw") * share + 1))
-    return counts.select("bucket", F.round(ratio * 1_000_000).cast("bigint").alias("micro"))
+    milli = F.round(F.log((F.col("target") + 1) / (F.col("raw") * share + 1)) * 1000).cast("int")
+    part, at = F.floor(F.col("bucket") / PART), (F.col("bucket") % PART).cast("int")
+    rows = counts.where(milli != 0).groupBy(part.alias("part")).agg(F.collect_list(at).alias("at"), F.collect_list(milli).alias("milli"))
+    found = np.zeros(2 * buckets, np.int32)
+    for row in rows.toLocalIterator():
+        found[row["part"] * PART + np.array(row["at"])] = row["milli"]
+    # A constant expression: it is computed once, while the query is planned.
+    return [F.split(F.lit(",".join(map(str, kind.tolist()))), ",").cast("array<int>") for kind in found.reshape(2, buckets)]
+
+
+def with_mean(df: DataFrame, words: str, pairs: str, table: list[Column], buckets: int, column: str) -> DataFrame:
+    """The rows with the mean ratio of their n-grams, 0 without words."""
 
+    def total(hashes: str, kind: Column) -> Column:
+        at = lambda h: F.get(kind, h.bitwiseAND(buckets - 1).cast("int"))
+        # Whole numbers add up to the same sum in any order.
+        return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda so_far, h: so_far + at(h))
 
-def scores(df: DataFrame, text: str, table: DataFrame, buckets: int) -> DataFrame:
-    """__key, __key2, __mean: the mean ratio of every text that has words; equal texts are one row."""
-    rows = df.select(*_key(F.col(text)), word_hashes(F.col(text)).alias("__w"))
-    grams = rows.select("__key", "__key2", F.explode(_grams("__w", buckets)).alias("bucket"))
-    joined = grams.join(F.broadcast(table) if 2 * buckets <= BROADCAST else table, "bucket")
-    # Whole numbers add up to the same sum in any order.
-    summed = joined.groupBy("__key", "__key2").agg(F.sum("micro").alias("sum"), F.count(F.lit(1)).alias("n"))
-    return summed.select("__key", "__key2", (F.col("sum") / F.col("n") / 1_000_000).alias("__mean"))
+    n = F.size(words) + F.size(pairs)
+    return df.withColumn(column, F.coalesce(F.try_divide(total(words, table[0]) + total(pairs, table[1]), n) / 1000, F.lit(0.0)))
 
 
-def cut_of(df: DataFrame, text: str, doc_id: str, trusted: DataFrame, found: DataFrame) -> float:
-    """The mean ratio that a share LOST of the held-out trusted documents of MIN_WORDS words or more falls short of."""
-    rows = df.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(broadcast_if_small(trusted), "__id")
-    rows = rows.where(F.size(words_of(F.col("__text"))) >= MIN_WORDS).select("__held", *_key(F.col("__text")))
-    rows = rows.join(found, ["__key", "__key2"])
-    low = {r["__held"]: r["low"] for r in rows.groupBy("__held").agg(F.percentile_approx("__mean", LOST, 100_000).alias("low")).collect()}
-    return low.get(True, low.get(False, 0.0))
+def cut_of(df: DataFrame, text: str, doc_id: str, asked: DataFrame, table: list[Column], buckets: int) -> float | None:
+    """The mean ratio that a share LOST of the asked documents of MIN_WORDS words or more falls short of."""
+    rows = df.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(broadcast_if_small(asked), "__id")
+    rows = rows.select(word_hashes(F.col("__text")).alias("__w")).where(F.size("__w") >= MIN_WORDS)
+    found = with_mean(rows.withColumn("__p", pair_hashes("__w")), "__w", "__p", table, buckets, "__mean")
+    return found.agg(F.percentile_approx("__mean", LOST, 100_000)).first()[0]
 
 
 def passing(df: DataFrame, text: str, doc_id: str, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -148,25 +144,25 @@ def passing(df: DataFrame, text: str, doc_id: str, trusted: DataFrame, threshold
 ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr_score", "kept"]
 
 
-def judged(df: DataFrame, text: str, doc_id: str, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows with the plain measures, base_failed, llr_score and kept."""
-    return beside(df, ADDED, lambda rows: _judged(rows, text, doc_id, trusted, threshold))
+def judged(
+    df: DataFrame, text: str, doc_id: str, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS
+) -> DataFrame:
+    """The rows with the plain measures, base_failed, llr_score and kept. buckets: a power of two, PART at least."""
+    return beside(df, ADDED, lambda rows: _judged(rows, text, doc_id, trusted, threshold, buckets))
 
 
-def _judged(df: DataFrame, text: str, doc_id: str, trusted: DataFrame, threshold: float) -> DataFrame:
-    words, pairs, key, key2, mean = fresh(df, "__words", "__pairs", "__key", "__key2", "__mean")
+def _judged(df: DataFrame, text: str, doc_id: str, trusted: DataFrame, threshold: float, buckets: int) -> DataFrame:
+    words, pairs, mean = fresh(df, "__words", "__pairs", "__mean")
     ids = trusted.select(F.col(trusted.columns[0]).alias("__id")).where("__id IS NOT NULL").distinct()
     held = F.pmod(F.xxhash64(F.col("__id"), F.lit("held out")), F.lit(HELD_OUT)) == 0
-    ids = ids.withColumn("__held", held)
-    buckets = buckets_for(df.agg(F.sum(F.length(text))).first()[0] or 0)
-    table = ratios(df, text, doc_id, ids.where("NOT __held").select("__id"), buckets)
-    found = saved(scores(df, text, table, buckets), "quality-scores")
-    cut = cut_of(df, text, doc_id, ids, found)
+    counts = saved(counted(df, text, doc_id, ids.where(~held), buckets), "quality-counts")
+    table = ratios(counts, buckets)
+    cuts = (cut_of(df, text, doc_id, ids.where(part), table, buckets) for part in (held, ~held))
+    cut = next((c for c in cuts if c is not None), 0.0)
     # The text goes no further than the first steps; from there on only word hashes do.
-    out = df.withColumns(dict(zip((key, key2), _key(F.col(text)), strict=True)))
-    out = with_measures(out.withColumn(words, word_hashes(F.col(text))), text).withColumn(pairs, pair_hashes(words))
+    out = with_measures(df.withColumn(words, word_hashes(F.col(text))), text).withColumn(pairs, pair_hashes(words))
+    out = with_mean(out, words, pairs, table, buckets, mean)
     out = with_repeated_words(out, words, pairs, "n_repeat_words").withColumn("n_words", F.size(words).cast("bigint"))
-    out = out.drop(words, pairs).join(found.toDF(key, key2, mean), [key, key2], "left")
-    out = out.withColumn("llr_score", F.coalesce(mean, F.lit(0.0)) - F.lit(cut)).drop(key, key2, mean)
+    out = out.withColumn("llr_score", F.col(mean) - F.lit(cut)).drop(words, pairs, mean)
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr_score") >= threshold))

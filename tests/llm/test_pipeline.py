@@ -1,8 +1,13 @@
 """The stages on the small tables, and the registered queries."""
 
+import collections
 import itertools
+import math
+import re
+import struct
 
 import pytest
+import xxhash
 
 import corpus_pipeline
 from checks.compare import plain, rows_of  # noqa: F401
@@ -115,7 +120,38 @@ def test_quality_keeps_unseen_clean_documents_and_drops_junk(spark):
     assert len(clean) > 100 and sum(clean) > 0.85 * len(clean) and len(junk) > 20 and sum(junk) < 0.05 * len(junk), (sum(clean), len(clean), sum(junk), len(junk))
 
 
-def test_quality_buckets_grow_with_the_corpus():
-    sizes = [quality.buckets_for(chars) for chars in (0, 10**7, 10**9, 10**12)]
-    assert sizes[0] == sizes[1] == quality.LEAST_BUCKETS
-    assert all(s & (s - 1) == 0 for s in sizes) and all(quality.CHARS / 2 < c / s <= quality.CHARS for c, s in ((10**9, sizes[2]), (10**12, sizes[3])))
+def test_quality_scores_by_brute_force(spark, small):
+    """Counts, ratios, held-out cut and verdict computed anew, in buckets so few that n-grams share them."""
+    buckets = quality.PART
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (None, "w " * 60), (0, "only twice said " * 40)], docs.schema))
+    texts = [(r.doc_id, (r.text or "")) for r in docs.collect()]
+    ids = {i for i, _ in texts if i is not None and i % 2 == 0}
+    mask = buckets - 1
+    eight = lambda h: struct.pack("<Q", h & (2**64 - 1))
+
+    def grams(text):
+        one = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        seeds = [xxhash.xxh64_intdigest(eight(h), 42) for h in one]
+        two = [xxhash.xxh64_intdigest(eight(n), s) for s, n in zip(seeds, one[1:], strict=False)] + seeds[-1:]
+        return [h & mask for h in one] + [buckets + (h & mask) for h in two]
+
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    held = {i for i in ids if signed(xxhash.xxh64_intdigest(b"held out", xxhash.xxh64_intdigest(eight(i), 42))) % quality.HELD_OUT == 0}
+    found = [(i, grams(t)) for i, t in texts]
+    raw, target = collections.Counter(), collections.Counter()
+    for i, g in found:
+        raw.update(g)
+        target.update(g if i in ids - held else ())
+    share = sum(target.values()) / sum(raw.values())
+    ratio = {b: math.log((target[b] + 1) / (raw[b] * share + 1)) * 1000 for b in raw}
+    ratio = {b: int(math.copysign(math.floor(abs(x) + 0.5), x)) for b, x in ratio.items()}
+    means = [(i, len(g) // 2, sum(ratio[b] for b in g) / len(g) / 1000 if g else 0.0) for i, g in found]
+    low = sorted(m for i, n, m in means if i in held and n >= quality.MIN_WORDS)
+    assert len(low) > 3
+    cut = low[max(0, math.ceil(quality.LOST * len(low)) - 1)]
+    expected = sorted((n, round(m - cut, 9)) for _, n, m in means)
+    trusted = spark.createDataFrame([(i,) for i in ids], "doc_id LONG")
+    rows = quality.judged(docs, "text", "doc_id", trusted, buckets=buckets).collect()
+    assert sorted((r.n_words, round(r.llr_score, 9)) for r in rows) == expected
+    assert all(r.kept == (not r.base_failed and r.llr_score >= 0) for r in rows) and {r.kept for r in rows} == {True, False}
