@@ -406,6 +406,7 @@ sql("trip_listing_admin", all_trips("TRUE", 51))
 sql("trip_listing_admin_deep", all_trips("TRUE", 10501))
 sql("trip_listing_filtered", all_trips(f"mode = 'train' AND department = 'BUILDING' AND date {YEAR}", 1))
 sql("trip_listing_after", all_trips("(date, created_at, trip_id) < (DATE '2001-06-01', TIMESTAMP '2001-06-01', 0)", 1))
+sql("own_trips", f"SELECT user_id, {TRIP} FROM trips WHERE user_id = 1")
 sql("trip_listing_info", info("travelled", 2, 50))
 sql("trip_listing_info_user", info("travelled WHERE user_id = 1", 1, 5))
 sql("building_listing_info", info("buildings", 2, 5))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cinderbook.operators import predicates
 from cinderbook.params import DateRange, Page
 from cinderbook.plans import buildings, daily, energy, initiatives, overview, transport
 from cinderbook.sources.binding import AS_OF, ledger
@@ -20,6 +21,8 @@ MONTH = DateRange.last_days(AS_OF, 30)
 # Key columns that make the listing of readings total (line numbers repeat in the given data).
 READING_TIES = ("record_id", "building_name", "consumption_kwh", "source")
 
+TRIP_COLUMNS = ("trip_id", "date", "mode", "distance_km", "co2e_emitted", "created_at")
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -172,6 +175,7 @@ query("trip_listing_after")(
         t.users, t.trips, (MONTH.start, F.lit(MONTH.start).cast("timestamp_ntz"), 0)
     )
 )
+query("own_trips")(lambda t: predicates.own_trips(t.trips, "user", 1).select("user_id", *TRIP_COLUMNS))
 query("trip_listing_info")(lambda t: transport.trip_listing_info(t.users, t.trips, Page(2, 50)))
 query("trip_listing_info_user")(lambda t: transport.trip_listing_info(t.users, t.trips, Page(1, 5), user_id=1))
 query("user_directory")(lambda t: transport.user_directory(t.users))
