@@ -5,8 +5,8 @@ documents, one of the whole raw corpus, which is also the prior of the first. A
 ratios of its n-grams, so that length plays no part, less the cut: the score that a share LOST of the held-out trusted
 documents falls short of. A document is kept if it passes the plain rules and scores at least THRESHOLD. One trusted document
 in HELD_OUT is held out, the others are fitted, however many they are. The n-grams of all documents are counted, each task
-sending a row a bucket at most. The ratios of a kind are one constant array of BUCKETS integers, whose size does not depend
-on the data; it is read by position while the measures are computed, so texts are split twice in all.
+sending a row a bucket at most. The ratios of a kind are one array of BUCKETS integers, whose size does not depend on the
+data, in a table of one row; it is read by position while the measures are computed, so texts are split twice in all.
 
 Defined results: a null or blank text has no words, fails the plain rules and has the ratio 0; with no trusted document all
 ratios and the cut are 0; if no held-out one has MIN_WORDS words, the cut is taken over those that were fitted; a score at
@@ -17,6 +17,7 @@ table gives an empty result; other columns pass through, whatever their names.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,9 +96,9 @@ def counted(df: DataFrame, text: str, doc_id: str, fitted: DataFrame, buckets: i
     return exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("__trusted").alias("target"))
 
 
-def ratios(counts: DataFrame, buckets: int) -> list[Column]:
-    """The log-likelihood ratios of the unigrams and of the bigrams in thousandths, as constant arrays by bucket; 0 for a bucket
-    not in use. The driver holds 2 * buckets small numbers."""
+def ratios(counts: DataFrame, buckets: int) -> DataFrame:
+    """unigrams, bigrams: one row with the log-likelihood ratios in thousandths, as arrays by bucket; 0 for a bucket not in use.
+    The driver holds 2 * buckets small numbers."""
     n = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
     share = (n["target"] or 0) / (n["raw"] or 1)
     milli = F.round(F.log((F.col("target") + 1) / (F.col("raw") * share + 1)) * 1000).cast("int")
@@ -106,23 +107,32 @@ def ratios(counts: DataFrame, buckets: int) -> list[Column]:
     found = np.zeros(2 * buckets, np.int32)
     for row in rows.toLocalIterator():
         found[row["part"] * PART + np.array(row["at"])] = row["milli"]
-    # A constant expression: it is computed once, while the query is planned.
-    return [F.split(F.lit(",".join(map(str, kind.tolist()))), ",").cast("array<int>") for kind in found.reshape(2, buckets)]
+    arrays = [pa.FixedSizeListArray.from_arrays(pa.array(kind), buckets).cast(pa.list_(pa.int32())) for kind in found.reshape(2, buckets)]
+    return saved(counts.sparkSession.createDataFrame(pa.table(arrays, names=["unigrams", "bigrams"])), "quality-ratios")
 
 
-def with_mean(df: DataFrame, words: str, pairs: str, table: list[Column], buckets: int, column: str) -> DataFrame:
-    """The rows with the mean ratio of their n-grams, 0 without words."""
+def with_mean(df: DataFrame, words: str, pairs: str, table: DataFrame, buckets: int, column: str) -> DataFrame:
+    """The rows with the mean ratio of their n-grams, 0 without words. table: as from `ratios`.
 
-    def total(hashes: str, kind: Column) -> Column:
-        at = lambda h: F.get(kind, h.bitwiseAND(buckets - 1).cast("int"))
+    The arrays are scalar subqueries, so that no plan holds their numbers. They are columns below the sums, as none may stand
+    in a lambda; each is used once, so Spark moves it back into the sum and no row carries it. The number of n-grams beside
+    them, a second use of the pairs, keeps Spark from moving them further down instead.
+    """
+    names = fresh(df, "__unigrams", "__bigrams", "__n")
+    one, two, n = map(F.col, names)
+    columns = [*map(F.col, df.columns), (F.size(words) + F.size(pairs)).alias(names[2])]
+    rows = df.select(*columns, *[table.select(k).scalar().alias(c) for k, c in zip(("unigrams", "bigrams"), names, strict=False)])
+
+    def total(hashes: str, ratios: Column) -> Column:
         # Whole numbers add up to the same sum in any order.
-        return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda so_far, h: so_far + at(h))
+        at = lambda kind, h: F.get(kind, h.bitwiseAND(buckets - 1).cast("int"))
+        return let(ratios, lambda kind: F.aggregate(hashes, F.lit(0).cast("bigint"), lambda so_far, h: so_far + at(kind, h)))
 
-    n = F.size(words) + F.size(pairs)
-    return df.withColumn(column, F.coalesce(F.try_divide(total(words, table[0]) + total(pairs, table[1]), n) / 1000, F.lit(0.0)))
+    mean = F.coalesce(F.try_divide(total(words, one) + total(pairs, two), n) / 1000, F.lit(0.0))
+    return rows.select(*df.columns, mean.alias(column))
 
 
-def cut_of(df: DataFrame, text: str, doc_id: str, asked: DataFrame, table: list[Column], buckets: int) -> float | None:
+def cut_of(df: DataFrame, text: str, doc_id: str, asked: DataFrame, table: DataFrame, buckets: int) -> float | None:
     """The mean ratio that a share LOST of the asked documents of MIN_WORDS words or more falls short of."""
     rows = df.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(broadcast_if_small(asked), "__id")
     rows = rows.select(word_hashes(F.col("__text")).alias("__w")).where(F.size("__w") >= MIN_WORDS)

@@ -120,6 +120,15 @@ def test_quality_keeps_unseen_clean_documents_and_drops_junk(spark):
     assert len(clean) > 100 and sum(clean) > 0.85 * len(clean) and len(junk) > 20 and sum(junk) < 0.05 * len(junk), (sum(clean), len(clean), sum(junk), len(junk))
 
 
+def test_quality_ratios_are_in_no_plan_and_no_row(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    plan = corpus_pipeline.quality_rules(spark, docs, small)._jdf.queryExecution().toString()
+    assert len(plan) < 200_000
+    # The arrays are read by the project that adds up, so no project below hands them on.
+    projects = [x for x in plan.split("== Physical Plan ==")[1].split("\n") if "Project [" in x]
+    assert sum("ubquery" in x and "aggregate(" in x for x in projects) >= 1 and not any("AS __unigrams" in x or "AS __bigrams" in x for x in projects)
+
+
 def test_quality_scores_by_brute_force(spark, small):
     """Counts, ratios, held-out cut and verdict computed anew, in buckets so few that n-grams share them."""
     buckets = quality.PART
