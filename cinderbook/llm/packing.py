@@ -407,6 +407,14 @@ def _kind(path: str) -> np.dtype:
     return np.dtype("<u2" if max(Tokenizer.from_file(path).get_vocab().values()) < 1 << 16 else "<u4")
 
 
+def _wide(narrow: pa.Array, kind: np.dtype) -> pa.Array:
+    """Binary values with every number of the narrow type as four bytes."""
+    sizes = np.append(0, np.cumsum(pc.binary_length(narrow).to_numpy(zero_copy_only=False).astype(np.int64)))
+    numbers = np.frombuffer(b"".join(narrow.to_pylist()), kind).astype("<u4")
+    offsets = (sizes * 4 // kind.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(narrow), [None, pa.py_buffer(offsets), pa.py_buffer(numbers)])
+
+
 def packed(df: DataFrame, text: str, path: str, closing: int = CLOSING) -> DataFrame:
     """A row for each piece: the document's other columns and those in ADDED."""
     spark, kind = df.sparkSession, _kind(path)
@@ -453,28 +461,29 @@ def packed(df: DataFrame, text: str, path: str, closing: int = CLOSING) -> DataF
     lengths = lengths.select(task, (F.sum("n").over(Window.orderBy(task)) - F.col("n")).alias(before))
     along = Window.partitionBy(task).orderBy(number)
     line = loose.withColumn(at, F.sum(length).over(along) - F.col(length)).join(broadcast_if_small(lengths), task)
-    line = line.select(*out, (F.col(at) + F.col(before)).alias(at))
-    first, n_own, names = layout.sequences, len(own), singles.columns
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, columns = [], [[] for _ in range(6)]
-            for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns[n_own:]), strict=True)):
-                begins, n, data, doc, where = row
-                for a, b, seq, off in _cut(where, n, total, LENGTH):
-                    rows.append(i)
-                    for column, value in zip(columns, (begins + a, b - a, data[a * kind.itemsize : b * kind.itemsize], doc, first + seq, off), strict=True):
-                        column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            arrays = [*[c.take(pa.array(rows, pa.int64())) for c in batch.columns[:n_own]], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    cut_up = mapped(line, cut, singles.schema)
-
-    @F.pandas_udf("binary")
-    def wide(narrow: pd.Series) -> pd.Series:
-        return narrow.map(lambda b: np.frombuffer(b, kind).astype("<u4").tobytes())
-
-    found = singles.unionByName(fitted).unionByName(cut_up)
-    values = (F.col(start), F.col(length), wide(ids), F.col(tokens), F.col(sequence), F.col(offset))
+    line = line.select(*out, F.lit(None).cast("bigint").alias(sequence), (F.col(at) + F.col(before)).alias(offset))
+    found = singles.unionByName(fitted).unionByName(line)
+    first, n_own, names = layout.sequences, len(own), found.columns
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces without a sequence are those on the line, which are cut; ids get their full width. One function for all
+        branches, so that a task needs one worker and its memory."""
+        for batch in slices(batches, n_own + 2):
+            columns = batch.columns
+            if columns[n_own + 4].null_count:
+                rows, cut = [], [[] for _ in range(6)]
+                for i, row in enumerate(zip(*(c.to_pylist() for c in columns[n_own:]), strict=True)):
+                    begins, n, data, doc, known, where = row
+                    for a, b, seq, off in _cut(where, n, total, LENGTH) if known is None else [(0, n, known - first, where)]:
+                        rows.append(i)
+                        for column, value in zip(cut, (begins + a, b - a, data[a * kind.itemsize : b * kind.itemsize], doc, first + seq, off), strict=True):
+                            column.append(value)
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+                again = pa.array(rows, pa.int64())
+                columns = [*[c.take(again) for c in columns[:n_own]], *[pa.array(c, k) for c, k in zip(cut, kinds, strict=True)]]
+            columns[n_own + 2] = _wide(columns[n_own + 2], kind)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    found = mapped(found, finished, found.schema)
+    values = map(F.col, (start, length, ids, tokens, sequence, offset))
     return found.select(*own, *[v.cast(t).alias(n) for v, t, n in zip(values, ADDED.values(), fresh(df.drop(text), *ADDED), strict=True)])

@@ -239,3 +239,17 @@ def test_bpe_round_trip_equals_encoding_and_decoding(spark):
     tokenizer = Tokenizer.from_file(path)
     assert all(r["ids"] == tokenizer.encode(r["text"] or "", add_special_tokens=False).ids for r in both)
     assert all(r["decoded"] == (r["text"] or "") for r in both)
+
+
+def test_packing_holds_one_python_worker_a_task(spark):
+    """A stage with two Python functions one behind another keeps two workers, each with the encoder's tables once it is reused."""
+    df = spark.createDataFrame(documents(), f"doc_id LONG, text STRING, {EXTRA}").repartition(4)
+    plan = packing.packed(df, "text", PATH)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for k, line in enumerate(lines):
+        if "MapInArrow" in line or "ArrowEvalPython" in line:
+            for below in lines[k + 1 :]:
+                if depth(below) <= depth(line) or "Exchange" in below:
+                    break
+                assert "MapInArrow" not in below and "ArrowEvalPython" not in below, plan
