@@ -341,3 +341,13 @@ def test_a_listing_joins_its_page_alone(spark, small):
     plan = page._jdf.queryExecution().optimizedPlan().toString()
     join = plan.index("Join Inner")
     assert join < plan.index("GlobalLimit") and "LeftSemi" in plan[join:]
+
+
+def test_an_admin_listing_of_trips_joins_its_page_alone(spark, small):
+    t = ledger(spark, small)
+    page = transport.trip_listing_admin(t.users, t.trips, Page(2, 50))
+    plan = page._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("GlobalLimit")
+    got = [(r.date, r.trip_id) for r in page.collect()]
+    every = transport.trip_listing_admin(t.users, t.trips, Page(1, 100)).collect()
+    assert got == [(r.date, r.trip_id) for r in every[50:]] and len(got) == 50
