@@ -7,12 +7,17 @@ Jaccard similarity, with tail bounds as for independent samples. Texts of some l
 rounds.
 
 Links: documents with equal shingle sets form a class with one representative. Bands of ROWS coordinates put the
-representatives into buckets (a pair misses all bands 4 times in 10^9: 50 bands at similarity 0.85, 83 at 0.8). A bucket is never expanded into
-all pairs: in each round some of its members, one at first and eight times as many each round, are compared with the
-members outside their component, and are not used again. Pairs whose sketches agree in too few coordinates (`maybe`) are
+representatives into buckets (a pair misses all bands 4 times in 10^9: 50 bands at similarity 0.85, 83 at 0.8). First every
+member of a bucket is compared with the smallest one. Pairs whose sketches agree in too few coordinates (`maybe`) are
 dropped; of the rest, each document's best pair is confirmed on the full sets, links merge components, and then all pairs
-that are still between components are. A bucket is done when all its members are in one component or all were pivots, so
-no link between components is lost.
+that are still between components are.
+
+Buckets that still hold several components are joined to groups (nodes reachable over them), and `differing` finds all
+other pairs of a group that may be linked, without expanding a group into its pairs: one member is the group's centre, and
+what tells a member from the centre is its difference, the shingles that only one of the two has. The symmetric difference
+of two members is that of their differences, so two members that are linked, but not both to the centre, must have a known
+part of their differences in common, and so one of the rarest elements of each. Near copies that are edited in places of
+their own have rare elements that nobody shares, and meet nobody. No link between components is lost.
 
 Defined results: a null or blank text has no shingles and is linked with nothing; fewer than WORDS words are one shingle;
 rows with equal ids are one document; a null id has no component and is kept; an empty table gives an empty result.
@@ -34,7 +39,6 @@ from cinderbook.llm.common import mapped, saved, slices
 WORDS = 5
 BANDS, ROWS = 50, 7
 COORDINATES = BANDS * ROWS
-PIVOTS = 1
 KEPT = 1 << 18  # hashes of distinct words a task remembers at a time
 
 _U = np.uint64
@@ -204,6 +208,59 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where("la <> lb").drop("la", "lb")
 
 
+def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, n, centre, n_centre, difference, d, core for every member (bucket, low, node, size): the set sizes of the node and
+    of its group's centre, the shingles that only one of them has, their number, and whether the two are linked.
+
+    The centre is the node that shares most places in buckets; any other would serve, with more pairs.
+    """
+    groups = components(members.where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")))
+    weights = members.groupBy("node").agg(F.sum("size").alias("weight")).join(groups.select("node", "root"), "node")
+    centres = weights.groupBy("root").agg(F.max(F.struct("weight", (-F.col("node")).alias("m"))).alias("c"))
+    centres = centres.select("root", (-F.col("c.m")).alias("centre"))
+    its = centres.join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("its")), "centre")
+    rows = weights.select("root", "node").join(sets, "node").join(its, "root")
+    apart = F.concat(F.array_except("shingles", "its"), F.array_except("its", "shingles"))
+    rows = rows.select("node", F.size("shingles").alias("n"), "centre", F.size("its").alias("n_centre"), apart.alias("difference"))
+    rows = rows.withColumn("d", F.size("difference"))
+    return rows.withColumn("core", (100 + percent) * F.col("d") <= (100 - percent) * (F.col("n") + F.col("n_centre")))
+
+
+def differing(differences: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of a group that have different labels and may be linked, every linked one among them.
+
+    Two sets of n and m shingles are linked if and only if at most h = (100 - percent) / (100 + percent) * (n + m) shingles are
+    in one alone. With differences of d and e elements they then have (d + e - h) / 2 elements of these in common. If one of
+    them is not linked to the centre, that is more than 0. For a least number of common elements, o, the d - o + 1 rarest of
+    either side hold one of them, whatever the partner. Here o is at least
+    * d - hmax, with hmax = (100 - percent) / percent * n the most that h can be: the probing side, not linked to the centre,
+    * d - hmax / 2 for the smaller difference of two, neither linked to the centre,
+    * over half of d + (100 - percent) / (100 + percent) * (n_centre - n) if the partner is not linked to the centre.
+    """
+    more, less = 100 + percent, 100 - percent
+    entries = differences.select("centre", "node", F.explode("difference").alias("element"))
+    counts = entries.groupBy("centre", "element").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    # Elements of one node alone are the rarest of all and meet nothing: only their number matters.
+    shared = entries.join(counts, ["centre", "element"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "element"))).alias("shared"))
+    rows = differences.drop("difference").join(shared, "node").join(labels, "node").withColumn("alone", F.col("d") - F.size("shared"))
+    rows = rows.withColumn("hmax", F.expr(f"{less} * n div {percent}")).withColumn("half", F.expr(f"d - floor(({more} * d + {less} * (n_centre - n)) / {2 * more}.0D)"))
+    rows = saved(rows.withColumn("short", F.expr("least(d, half, IF(core, hmax, hmax div 2) + 1) - alone")), "differing")
+
+    def side(rows: DataFrame, most: str, end: str) -> DataFrame:
+        rows = rows.withColumn("most", F.expr(most).cast("int")).where("most > 0")
+        rows = rows.select("*", F.posexplode(F.slice("shared", F.lit(1), F.col("most"))).alias("at", "e"))
+        # What is left of the difference from this element on.
+        left = F.col("d") - F.col("alone") - F.col("at")
+        named = {"node": "node", "label": "label", "n": "n", "d": "d", "core": "core"}
+        return rows.select("centre", F.col("e.element").alias("element"), left.alias(f"left{end}"), *[F.col(c).alias(f"{k}{end}") for k, c in named.items()])
+
+    index, probe = side(rows, "short", "1"), side(rows.where("NOT core"), "least(d, hmax + 1) - alone", "2")
+    pairs = index.join(probe, ["centre", "element"]).where(
+        f"label1 <> label2 AND (core1 OR d1 < d2 OR d1 = d2 AND node1 < node2) AND {more} * (d1 + d2 - 2 * least(left1, left2)) <= {less} * (n1 + n2)"
+    )
+    return pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+
+
 def linked(df: DataFrame, text: str, doc_id: str, percent: int = 85) -> DataFrame:
     """id, n_shingles, component_id, kept for every row: links at 100 * intersection >= percent * union of shingle sets."""
     df, doc_id, text = df.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")), "id", "text"
@@ -216,33 +273,22 @@ def linked(df: DataFrame, text: str, doc_id: str, percent: int = 85) -> DataFram
     nodes = saved(own.select("node", "digest", "bands", "coordinates"), "nodes")
 
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
-    members = saved(banded.join(shared, "bucket").withColumn("used", F.lit(False)), "buckets")
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket", "low")
+    members = saved(banded.join(shared, "bucket"), "buckets")
     labels = saved(members.select("node").distinct().withColumn("label", F.col("node")), "labels")
     # The full sets of all representatives in a shared bucket, for the confirmations. The ids may be many at any size.
     texts = df.join(labels.select("node").hint("merge"), df["id"] == F.col("node"), "left_semi")
     keys = nodes.select("digest", "node").join(labels.select("node"), "node")
     found = sets_of(texts, text, doc_id).join(keys, "digest").where("id = node")
     sets = saved(found.select("node", "shingles").dropDuplicates(["node"]), "sets")
-    refused = df.sparkSession.createDataFrame([], "a long, b long")
-    pivots_of = PIVOTS
-    while True:
-        # Buckets that still hold several components, and members that have not been pivots.
-        named = members.join(labels, "node")
-        mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("used").alias("done"))
-        members = saved(named.join(mixed.where("low < high AND NOT done").select("bucket"), "bucket"), "buckets")
-        if members.isEmpty():
-            break
-        turn = F.pmod(F.xxhash64("node", F.lit(pivots_of)), F.lit(pivots_of))
-        pivots = members.where("NOT used").groupBy("bucket", turn.alias("turn")).agg(F.min(F.struct("node", "label")).alias("p"))
-        pivots = saved(pivots.select("bucket", F.col("p.node").alias("pivot"), F.col("p.label").alias("of")), "pivots")
-        pairs = members.join(pivots, "bucket").where("label <> of")
-        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        pairs = pairs.join(refused, ["a", "b"], "left_anti")
+
+    def confirmed(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The labels after all links among the pairs (a, b)."""
         pending = saved(_agreeing(pairs, nodes, bands_of * ROWS, least), "pending")
-        best_only = pivots_of == PIVOTS
-        while not pending.isEmpty():
-            # Confirmed on the full sets: the best pair of each document, then all pairs that are still between components.
+        for best_only in (True, False):
+            if pending.isEmpty():
+                break
+            # On the full sets: the best pair of each document, then all pairs that are still between components.
             place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agree"), "a"))
             chosen = pending.withColumn("place", place).where("place = 1") if best_only else pending
             one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one"))
@@ -250,15 +296,20 @@ def linked(df: DataFrame, text: str, doc_id: str, percent: int = 85) -> DataFram
             common = F.size(F.array_intersect("one", "two"))
             similar = 100 * common >= percent * (F.size("one") + F.size("two") - common)
             judged = saved(chosen.join(one, "a").join(two, "b").select("a", "b", similar.alias("similar")), "judged")
-            refused = refused.unionByName(judged.where("NOT similar").drop("similar"))
             labels = _merged(labels, judged.where("similar").drop("similar"))
-            if not best_only:
-                break
-            best_only = False
-            pending = saved(_apart(pending.join(judged, ["a", "b"], "left_anti"), labels), "pending")
-        spent = pivots.select("bucket", F.col("pivot").alias("node"), F.lit(True).alias("now"))
-        members = members.join(spent, ["bucket", "node"], "left").select("bucket", "node", F.coalesce("now", "used").alias("used"))
-        pivots_of *= 8
+            if best_only:
+                pending = saved(_apart(pending.join(judged, ["a", "b"], "left_anti"), labels), "pending")
+        return labels
+
+    labels = confirmed(members.where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), labels)
+    named = members.join(labels, "node")
+    ends = (F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("size"))
+    mixed = named.groupBy("bucket").agg(*ends).where("least < most").select("bucket", "size")
+    members = saved(members.join(mixed, "bucket"), "buckets")
+    if not members.isEmpty():
+        differences = saved(_differences(members, sets, percent), "differences")
+        labels = _merged(labels, differences.where("core AND node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")))
+        labels = confirmed(differing(differences, labels, percent), labels)
     found = rows.join(classes, "digest", "left").join(labels, "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("label", "node", "id"))
     return found.select("id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("id").isNull() | (F.col("id") == F.col("component_id")))

@@ -289,6 +289,49 @@ def test_near_duplicates(spark, docs, none):
     assert neardup.linked(none, "text", "doc_id").count() == 0
 
 
+def copies(rng, words, many, most):
+    """Copies of a text, each with up to `most` words changed, in places and to words of its own."""
+    made = []
+    for _ in range(many):
+        copy = list(words)
+        for at in rng.sample(range(len(words)), rng.randint(0, most)):
+            copy[at] = f"own{rng.random()}"
+        made.append(copy)
+    return made
+
+
+def test_a_large_group_of_near_copies_is_not_expanded_into_pairs(spark, monkeypatch):
+    rng, compared, sketches_agree = random.Random(5), [], neardup._agreeing
+    text = [f"w{rng.randint(0, 900)}" for _ in range(150)]
+    made = [(i, " ".join(t)) for i, t in enumerate(copies(rng, text, 600, 9))]
+    monkeypatch.setattr(neardup, "_agreeing", lambda pairs, *more: compared.append(pairs.count()) or sketches_agree(pairs, *more))
+    found = neardup.linked(spark.createDataFrame(made, "doc_id LONG, text STRING"), "text", "doc_id").collect()
+    assert {r.id: r.component_id for r in found} == groups(made) and len({r.component_id for r in found}) > 100
+    assert sum(compared) < 20 * len(made)
+
+
+@pytest.mark.parametrize("percent", [80, 85, 100])
+def test_links_between_members_far_from_the_centre(spark, percent):
+    rng = random.Random(percent)
+    text = [f"w{rng.randint(0, 900)}" for _ in range(120)]
+    made = copies(rng, text, 60, 8)
+    for k in range(3):  # centres beside the first one, with copies, longer and shorter texts around them
+        other = copies(rng, text, 1, 12)[0] + [f"tail{k}x{i}" for i in range(10 * k)]
+        made += copies(rng, other, 30, 6) + [t + [f"end{rng.random()}"] * rng.randint(1, 20) for t in copies(rng, other, 10, 3)]
+        made += [t[rng.randint(1, 12) :] for t in copies(rng, other, 10, 3)]
+    for base in list(made[50:60]):
+        made += copies(rng, base, 4, 3)
+    rng.shuffle(made)
+    made = [(i, " ".join(t)) for i, t in enumerate(made)]
+    found = neardup.linked(spark.createDataFrame(made, "doc_id LONG, text STRING"), "text", "doc_id", percent).collect()
+    parts, component = [sets(t) for _, t in made], list(range(len(made)))
+    for a, b in itertools.combinations(range(len(made)), 2):
+        if 100 * len(parts[a] & parts[b]) >= percent * len(parts[a] | parts[b]):
+            x, y = sorted((component[a], component[b]))
+            component = [x if c == y else c for c in component]
+    assert {r.id: r.component_id for r in found} == dict(enumerate(component))
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(2)
     for size in (3, 50, 3000):
