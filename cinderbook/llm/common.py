@@ -85,10 +85,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def pieces_of(text: Column) -> Column:
+    """A text cut at every single blank, empty pieces included. Only spaces are left to split at, which takes no pattern."""
+    return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D]", " "), " ")
+
+
 def words_of(text: Column) -> Column:
-    """The words of a text in order; none for null. Only single blanks are left to split at, which takes no pattern."""
-    blanks = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D]", " ")
-    return F.array_remove(F.split(blanks, " "), "")
+    """The words of a text in order; none for null."""
+    return F.array_remove(pieces_of(text), "")
 
 
 def beside(df: DataFrame, added: list[str], build) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderbook.llm.common import SPACE_CHARS, SPACES, beside, fresh, let, saved, words_of
+from cinderbook.llm.common import SPACE_CHARS, beside, fresh, let, pieces_of, saved, words_of
 from cinderbook.operators.sizes import broadcast_if_small
 
 BUCKETS = 1 << 18  # of each kind
@@ -47,25 +47,27 @@ def with_repeated_words(df: DataFrame, words: str, pairs: str, column: str) -> D
     """The rows with the number of words inside 3-word windows that occur twice or more, first occurrences included.
 
     Each window becomes one long: its hash in the high bits, its place in as many low bits as the number of words takes.
-    Sorted, equal windows are neighbours. The steps are columns of their own, so that each is computed once.
+    Sorted, equal windows are neighbours; each pair of neighbours is compared once, and equal ones give both their places, in
+    the halves of a long. The steps are columns of their own, so that each is computed once.
     """
-    bits, low, packed, places = fresh(df, "__bits", "__low", "__packed", "__places")
+    low, high, packed, places = fresh(df, "__low", "__high", "__packed", "__places")
     n, whole = F.size(words), F.lit(0).cast("bigint")
-    df = df.withColumn(bits, F.length(F.bin(n.cast("bigint"))).cast("int"))
-    df = df.withColumn(low, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(bits)) - 1)
+    df = df.withColumn(low, F.call_function("shiftleft", whole + 1, F.length(F.bin(n.cast("bigint"))).cast("int")) - 1)
+    df = df.withColumn(high, F.bitwise_not(low))
     windows = F.slice(
         F.zip_with(pairs, F.slice(words, F.lit(3), n), lambda h, c: F.xxhash64(h, c)), F.lit(1), F.greatest(n - 2, F.lit(0))
     )
-    df = df.withColumn(
-        packed,
-        F.sort_array(F.transform(windows, lambda h, i: h.bitwiseOR(F.col(low)).bitwiseXOR(F.col(low)).bitwiseOR(i.cast("bigint")))),
-    )
-    near = lambda x, k: F.coalesce(x.bitwiseXOR(F.get(packed, k)).bitwiseOR(F.col(low)) == F.col(low), F.lit(False))
-    equal = lambda x, k: near(x, k + 1) | near(x, k - 1)
-    df = df.withColumn(places, F.sort_array(F.transform(F.filter(packed, equal), lambda x: x.bitwiseAND(F.col(low)))))
+    df = df.withColumn(packed, F.sort_array(F.transform(windows, lambda h, i: h.bitwiseAND(F.col(high)).bitwiseOR(i.cast("bigint")))))
+    following = F.slice(F.col(packed), F.lit(2), F.greatest(F.size(packed), F.lit(1)))
+    both = lambda x, y: F.shiftleft(x.bitwiseAND(F.col(low)), 32).bitwiseOR(y.bitwiseAND(F.col(low)))
+    equal = F.zip_with(packed, following, lambda x, y: F.when(x.bitwiseXOR(y).bitwiseAND(F.col(high)) == 0, both(x, y)))
+    df = df.withColumn(places, F.array_compact(equal))
+    at = F.concat(F.transform(places, lambda x: F.shiftright(x, 32)), F.transform(places, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))))
+    df = df.withColumn(places, F.sort_array(at))
+    # A place that stands twice adds nothing.
     at = F.col(places)
     steps = F.zip_with(at, F.slice(at, F.lit(2), F.size(at)), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)).cast("bigint"))
-    return df.withColumn(column, F.aggregate(steps, whole, lambda x, y: x + y)).drop(bits, low, packed, places)
+    return df.withColumn(column, F.aggregate(steps, whole, lambda x, y: x + y)).drop(low, high, packed, places)
 
 
 def repeated_lines(text: Column) -> Column:
@@ -74,10 +76,10 @@ def repeated_lines(text: Column) -> Column:
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint"))
 
 
-def with_measures(df: DataFrame, text: str) -> DataFrame:
-    """The rows with the measures that take no words."""
+def with_measures(df: DataFrame, text: str, pieces: str) -> DataFrame:
+    """The rows with the measures that take no word hashes. pieces: as from `pieces_of`, one more than there are blanks."""
     value = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("word_chars", F.length(F.regexp_replace(value, SPACES, "")).cast("bigint"))
+    df = df.withColumn("word_chars", (F.length(value) - F.size(pieces) + 1).cast("bigint"))
     df = df.withColumn("n_symbols", F.regexp_count(value, F.lit(SYMBOLS)).cast("bigint"))
     return df.withColumn("n_dup_lines", repeated_lines(value))
 
@@ -132,12 +134,20 @@ def with_mean(df: DataFrame, words: str, pairs: str, table: DataFrame, buckets:
     return rows.select(*df.columns, mean.alias(column))
 
 
-def cut_of(df: DataFrame, text: str, doc_id: str, asked: DataFrame, table: DataFrame, buckets: int) -> float | None:
-    """The mean ratio that a share LOST of the asked documents of MIN_WORDS words or more falls short of."""
+def asked_means(df: DataFrame, text: str, doc_id: str, asked: DataFrame, table: DataFrame, buckets: int) -> DataFrame:
+    """mean: the mean ratios of the asked documents, null for one of fewer than MIN_WORDS words.
+
+    A filter on the number of words would be moved below the join, where the words of all documents would be taken for it.
+    """
     rows = df.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(broadcast_if_small(asked), "__id")
-    rows = rows.select(word_hashes(F.col("__text")).alias("__w")).where(F.size("__w") >= MIN_WORDS)
+    rows = rows.select(word_hashes(F.col("__text")).alias("__w"))
     found = with_mean(rows.withColumn("__p", pair_hashes("__w")), "__w", "__p", table, buckets, "__mean")
-    return found.agg(F.percentile_approx("__mean", LOST, 100_000)).first()[0]
+    return found.select(F.when(F.size("__w") >= MIN_WORDS, F.col("__mean")).alias("mean"))
+
+
+def cut_of(df: DataFrame, text: str, doc_id: str, asked: DataFrame, table: DataFrame, buckets: int) -> float | None:
+    """The mean ratio that a share LOST of the asked documents of MIN_WORDS words or more falls short of."""
+    return asked_means(df, text, doc_id, asked, table, buckets).agg(F.percentile_approx("mean", LOST, 100_000)).first()[0]
 
 
 def passing(df: DataFrame, text: str, doc_id: str, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -162,15 +172,16 @@ def judged(
 
 
 def _judged(df: DataFrame, text: str, doc_id: str, trusted: DataFrame, threshold: float, buckets: int) -> DataFrame:
-    words, pairs, mean = fresh(df, "__words", "__pairs", "__mean")
+    pieces, words, pairs, mean = fresh(df, "__pieces", "__words", "__pairs", "__mean")
     ids = trusted.select(F.col(trusted.columns[0]).alias("__id")).where("__id IS NOT NULL").distinct()
     held = F.pmod(F.xxhash64(F.col("__id"), F.lit("held out")), F.lit(HELD_OUT)) == 0
     counts = saved(counted(df, text, doc_id, ids.where(~held), buckets), "quality-counts")
     table = ratios(counts, buckets)
     cuts = (cut_of(df, text, doc_id, ids.where(part), table, buckets) for part in (held, ~held))
     cut = next((c for c in cuts if c is not None), 0.0)
-    # The text goes no further than the first steps; from there on only word hashes do.
-    out = with_measures(df.withColumn(words, word_hashes(F.col(text))), text).withColumn(pairs, pair_hashes(words))
+    # The text and its pieces go no further than the first steps; from there on only word hashes do.
+    out = with_measures(df.withColumn(pieces, pieces_of(F.col(text))), text, pieces)
+    out = out.withColumn(words, F.transform(F.array_remove(pieces, ""), lambda w: F.xxhash64(w))).drop(pieces).withColumn(pairs, pair_hashes(words))
     out = with_mean(out, words, pairs, table, buckets, mean)
     out = with_repeated_words(out, words, pairs, "n_repeat_words").withColumn("n_words", F.size(words).cast("bigint"))
     out = out.withColumn("llr_score", F.col(mean) - F.lit(cut)).drop(words, pairs, mean)

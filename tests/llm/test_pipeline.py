@@ -129,6 +129,16 @@ def test_quality_ratios_are_in_no_plan_and_no_row(spark, small):
     assert sum("ubquery" in x and "aggregate(" in x for x in projects) >= 1 and not any("AS __unigrams" in x or "AS __bigrams" in x for x in projects)
 
 
+def test_the_cut_takes_words_of_the_asked_documents_alone(spark, small):
+    docs, ids = spark.read.parquet(f"{small}/documents.parquet"), spark.range(50).withColumnRenamed("id", "__id")
+    table = quality.ratios(quality.counted(docs, "text", "doc_id", ids, quality.PART), quality.PART)
+    means = quality.asked_means(docs, "text", "doc_id", ids, table, quality.PART)
+    plan = means.agg({"mean": "max"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan and "split(" not in plan[plan.index("Join Inner") :]
+    brief = {r.doc_id for r in docs.where("doc_id < 50").collect() if len((r.text or "").encode().split()) < quality.MIN_WORDS}
+    assert brief and means.where("mean IS NULL").count() == len(brief) and means.count() == 50
+
+
 def test_quality_scores_by_brute_force(spark, small):
     """Counts, ratios, held-out cut and verdict computed anew, in buckets so few that n-grams share them."""
     buckets = quality.PART
