@@ -113,23 +113,23 @@ def _special(definition: str) -> dict[str, int]:
 
 @functools.cache
 def _pieces(definition: str) -> np.ndarray:
-    """Bytes of each id. Pieces are written in printable characters that stand for bytes."""
+    """Bytes of each id. Pieces are written in printable characters that stand for bytes. Read without the library, whose
+    tokenizer the driver does not need."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in plain)}
-    tokenizer = _tokenizer(definition)
-    special = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
-    out = np.empty(max(tokenizer.get_vocab().values()) + 1, dtype=object)
+    told = json.loads(definition)
+    special = {t["id"]: t["content"] for t in told["added_tokens"]}
+    ids = {i: piece for piece, i in told["model"]["vocab"].items()} | special
+    out = np.empty(max(ids) + 1, dtype=object)
     out[:] = b""
-    for piece, i in tokenizer.get_vocab().items():
-        out[i] = special[i].encode() if i in special else bytes(byte[c] for c in piece)
+    for i, piece in ids.items():
+        out[i] = piece.encode() if i in special else bytes(byte[c] for c in piece)
     return out
 
 
 def _load(path: str) -> str:
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer.to_str()
+    with open(path, encoding="utf-8") as f:
+        return json.dumps(json.load(f) | {"truncation": None, "padding": None}, ensure_ascii=False)
 
 
 def _sent(df: DataFrame, path: str):

@@ -42,28 +42,30 @@ def _place(key: Column, epoch: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key, epoch), 2)
 
 
-def _bisected(shares: DataFrame, holds: Callable[[float, float, float], bool]) -> float:
+def _bisected(shares: DataFrame | None, holds: Callable[[float, float, float], bool]) -> float:
     """The exponent in [0, 1] up to which (holds: entropy) or from which on a condition of one monotone kind holds.
 
     holds(a, z, l): whether the larger part [a, 1] has to be searched, with z the sum of p^a and l that of p^a ln p.
-    Sums are taken in decimals, so that the order of rows does not matter.
+    Sums are taken in decimals, so that the order of rows does not matter. Without shares, holds must not look at the sums:
+    none are taken, and no job runs.
     """
     low, high = 0.0, 1.0
     for _ in range(ROUNDS):
         cuts = [low + (high - low) * i / CUTS for i in range(1, CUTS)]
-        exact = lambda c: F.sum(c.cast("decimal(38,18)"))
-        sums = [x for a in cuts for x in (exact(F.pow("p", F.lit(a))), exact(F.pow("p", F.lit(a)) * F.log("p")))]
-        row = shares.agg(*sums).first()
-        passed = [holds(a, float(row[2 * i]), float(row[2 * i + 1])) for i, a in enumerate(cuts)]
+        passed = [holds(a, z, l) for a, (z, l) in zip(cuts, _sums(shares, *cuts), strict=True)]
         at = passed.index(False) if False in passed else len(cuts)
         low, high = (cuts[at - 1] if at else low), (cuts[at] if at < len(cuts) else high)
-    return low if holds(low, *_sums(shares, low)) else 0.0
+    return low if holds(low, *_sums(shares, low)[0]) else 0.0
 
 
-def _sums(shares: DataFrame, a: float) -> tuple[float, float]:
+def _sums(shares: DataFrame | None, *exponents: float) -> list[tuple[float, float]]:
+    """The sums of p^a and of p^a ln p for each exponent."""
+    if shares is None:
+        return [(math.nan, math.nan)] * len(exponents)
     exact = lambda c: F.sum(c.cast("decimal(38,18)"))
-    row = shares.agg(exact(F.pow("p", F.lit(a))), exact(F.pow("p", F.lit(a)) * F.log("p"))).first()
-    return float(row[0]), float(row[1])
+    sums = [x for a in exponents for x in (exact(F.pow("p", F.lit(a))), exact(F.pow("p", F.lit(a)) * F.log("p")))]
+    row = [float(x) for x in shares.agg(*sums).first()]
+    return list(zip(row[::2], row[1::2], strict=True))
 
 
 def plan(
@@ -92,12 +94,13 @@ def plan(
         # Entropy falls with the exponent: the largest exponent that still meets the target.
         goal = entropy * math.log(n)
         exponent = _bisected(shares, lambda a, z, l: math.log(z) - a * l / z >= goal)
-        exponent = 1.0 if math.log(1.0) - _sums(shares, 1.0)[1] >= goal else math.floor(exponent * 10**DIGITS) / 10**DIGITS
+        exponent = 1.0 if math.log(1.0) - _sums(shares, 1.0)[0][1] >= goal else math.floor(exponent * 10**DIGITS) / 10**DIGITS
     else:
-        # Repeats of the smallest source fall with the exponent: the smallest exponent that keeps the limit.
+        # Repeats of the smallest source fall with the exponent: the smallest exponent that keeps the limit. Without a budget
+        # they follow from three sums that are known.
         over = lambda a, z, _: repeats(a, z, least) > max_repeats
-        exponent = min(1.0, math.ceil(_bisected(shares, over) * 10**DIGITS + 1) / 10**DIGITS) if over(0.0, float(n), 0) else 0.0
-    z, _ = _sums(shares, exponent)
+        exponent = min(1.0, math.ceil(_bisected(None if budget_tokens is None else shares, over) * 10**DIGITS + 1) / 10**DIGITS) if over(0.0, float(n), 0) else 0.0
+    ((z, _),) = _sums(shares, exponent)
     # Tokens for a weight of 1.
     scale = float(budget_tokens) if budget_tokens is not None else most / ((most / total) ** exponent / z)
     weighted = shares.withColumn("weight", F.pow("p", F.lit(exponent)) / z)

@@ -9,15 +9,15 @@ rounds.
 Links: documents with equal shingle sets form a class with one representative. Bands of ROWS coordinates put the
 representatives into buckets (a pair misses all bands 4 times in 10^9: 50 bands at similarity 0.85, 83 at 0.8). First every
 member of a bucket is compared with the smallest one. Pairs whose sketches agree in too few coordinates (`maybe`) are
-dropped; of the rest, each document's best pair is confirmed on the full sets, links merge components, and then all pairs
-that are still between components are.
+dropped; the rest are confirmed on the full sets, and links merge components.
 
 Buckets that still hold several components are joined to groups (nodes reachable over them), and `differing` finds all
 other pairs of a group that may be linked, without expanding a group into its pairs: one member is the group's centre, and
 what tells a member from the centre is its difference, the shingles that only one of the two has. The symmetric difference
 of two members is that of their differences, so two members that are linked, but not both to the centre, must have a known
 part of their differences in common, and so one of the rarest elements of each. Near copies that are edited in places of
-their own have rare elements that nobody shares, and meet nobody. No link between components is lost.
+their own have rare elements that nobody shares, and meet nobody. Of the pairs that meet, each document's best one is confirmed
+first, then all that are still between components. No link between components is lost.
 
 Defined results: a null or blank text has no shingles and is linked with nothing; fewer than WORDS words are one shingle;
 rows with equal ids are one document; a null id has no component and is kept; an empty table gives an empty result.
@@ -25,6 +25,7 @@ rows with equal ids are one document; a null id has no component and is kept; an
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -167,23 +168,24 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, coordinates: int, least: float
     return mapped(pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two"), rows, "a long, b long, agree double")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node reachable over edges (a, b), for every node that has an edge.
+def components(edges: DataFrame) -> DataFrame | None:
+    """node, root: the smallest node reachable over edges (a, b), for every node that has an edge; None if there is no edge.
 
     Every node turns to its smallest neighbour, these pointers are followed twice, and the edges are redrawn between the
-    nodes pointed to, until none is left.
+    nodes pointed to, until none is left. The rounds' pointers are put together where the result is used, not by a job of
+    their own: the driver remembers every plan that ran.
     """
-    edges, mapping = saved(edges.where("a <> b").distinct(), "edges"), None
+    edges, steps = saved(edges.where("a <> b").distinct(), "edges"), []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         point = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
         point = saved(point.select("node", F.least("node", "root").alias("root")), "pointers")
         point = saved(_followed(_followed(point, point), point), "pointers")
-        mapping = point if mapping is None else saved(_followed(mapping, point), "roots")
+        steps.append(point)
         a, b = (point.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
         edges = edges.join(a, "a").join(b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
         edges = saved(edges, "edges")
-    return mapping if mapping is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return functools.reduce(_followed, steps) if steps else None
 
 
 def _followed(mapping: DataFrame, point: DataFrame) -> DataFrame:
@@ -194,10 +196,10 @@ def _followed(mapping: DataFrame, point: DataFrame) -> DataFrame:
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The labels after links (a, b) between nodes."""
-    if links.isEmpty():
-        return labels
     a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
     roots = components(links.join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    if roots is None:
+        return labels
     found = labels.join(roots.withColumnRenamed("node", "label"), "label", "left")
     return saved(found.select("node", F.coalesce("root", "label").alias("label")), "labels")
 
@@ -282,26 +284,29 @@ def linked(df: DataFrame, text: str, doc_id: str, percent: int = 85) -> DataFram
     found = sets_of(texts, text, doc_id).join(keys, "digest").where("id = node")
     sets = saved(found.select("node", "shingles").dropDuplicates(["node"]), "sets")
 
-    def confirmed(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """The labels after all links among the pairs (a, b)."""
+    def judged(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) and whether they are linked, on the full sets."""
+        one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one"))
+        two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("two"))
+        common = F.size(F.array_intersect("one", "two"))
+        similar = 100 * common >= percent * (F.size("one") + F.size("two") - common)
+        return saved(pairs.join(one, "a").join(two, "b").select("a", "b", similar.alias("similar")), "judged")
+
+    def confirmed(pairs: DataFrame, labels: DataFrame, best_first: bool) -> DataFrame:
+        """The labels after all links among the pairs (a, b). best_first, for pairs that may be many more than the documents:
+        the best pair of each document, then all pairs that are still between components; else all pairs at once, which takes
+        fewer jobs."""
         pending = saved(_agreeing(pairs, nodes, bands_of * ROWS, least), "pending")
-        for best_only in (True, False):
-            if pending.isEmpty():
-                break
-            # On the full sets: the best pair of each document, then all pairs that are still between components.
+        if best_first:
             place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agree"), "a"))
-            chosen = pending.withColumn("place", place).where("place = 1") if best_only else pending
-            one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one"))
-            two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("two"))
-            common = F.size(F.array_intersect("one", "two"))
-            similar = 100 * common >= percent * (F.size("one") + F.size("two") - common)
-            judged = saved(chosen.join(one, "a").join(two, "b").select("a", "b", similar.alias("similar")), "judged")
-            labels = _merged(labels, judged.where("similar").drop("similar"))
-            if best_only:
-                pending = saved(_apart(pending.join(judged, ["a", "b"], "left_anti"), labels), "pending")
-        return labels
+            best = judged(pending.withColumn("place", place).where("place = 1"))
+            labels = _merged(labels, best.where("similar"))
+            pending = saved(_apart(pending.join(best, ["a", "b"], "left_anti"), labels), "pending")
+            if pending.isEmpty():
+                return labels
+        return _merged(labels, judged(pending).where("similar"))
 
-    labels = confirmed(members.where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), labels)
+    labels = confirmed(members.where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), labels, best_first=False)
     named = members.join(labels, "node")
     ends = (F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("size"))
     mixed = named.groupBy("bucket").agg(*ends).where("least < most").select("bucket", "size")
@@ -309,7 +314,7 @@ def linked(df: DataFrame, text: str, doc_id: str, percent: int = 85) -> DataFram
     if not members.isEmpty():
         differences = saved(_differences(members, sets, percent), "differences")
         labels = _merged(labels, differences.where("core AND node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")))
-        labels = confirmed(differing(differences, labels, percent), labels)
+        labels = confirmed(differing(differences, labels, percent), labels, best_first=True)
     found = rows.join(classes, "digest", "left").join(labels, "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("label", "node", "id"))
     return found.select("id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("id").isNull() | (F.col("id") == F.col("component_id")))

@@ -106,9 +106,10 @@ def ratios(counts: DataFrame, buckets: int) -> DataFrame:
     milli = F.round(F.log((F.col("target") + 1) / (F.col("raw") * share + 1)) * 1000).cast("int")
     part, at = F.floor(F.col("bucket") / PART), (F.col("bucket") % PART).cast("int")
     rows = counts.where(milli != 0).groupBy(part.alias("part")).agg(F.collect_list(at).alias("at"), F.collect_list(milli).alias("milli"))
-    found = np.zeros(2 * buckets, np.int32)
-    for row in rows.toLocalIterator():
-        found[row["part"] * PART + np.array(row["at"])] = row["milli"]
+    found, told = np.zeros(2 * buckets, np.int32), rows.toArrow()
+    # One job; fetched partition by partition, the rows would take one each.
+    for part, at, milli in zip(told["part"].to_pylist(), told["at"], told["milli"], strict=True):
+        found[part * PART + at.values.to_numpy()] = milli.values.to_numpy()
     arrays = [pa.FixedSizeListArray.from_arrays(pa.array(kind), buckets).cast(pa.list_(pa.int32())) for kind in found.reshape(2, buckets)]
     return saved(counts.sparkSession.createDataFrame(pa.table(arrays, names=["unigrams", "bigrams"])), "quality-ratios")
 

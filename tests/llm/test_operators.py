@@ -193,6 +193,14 @@ def test_mixing(spark, docs, none):
         mixing.mixed(frame, "text", "doc_id", "source")
 
 
+def test_mixing_without_a_budget_sums_up_once(spark, monkeypatch):
+    asked, sums = [], mixing._sums
+    monkeypatch.setattr(mixing, "_sums", lambda shares, *a: (shares is not None and asked.append(a)) or sums(shares, *a))
+    made = [(i, "w " * (1 + i % 7), "big" if i % 10 < 7 else f"s{i % 10}") for i in range(300)]
+    found = mixing.mixed(spark.createDataFrame(made, "doc_id LONG, text STRING, source STRING"), "text", "doc_id", "source", max_repeats=2.0)
+    assert found.select("doc_id").distinct().count() == 300 and len(asked) == 1
+
+
 # --- language -------------------------------------------------------------------------------
 def test_language(docs, none):
     langs, logs = langid.learn(langid.training_rows(docs, "text", "lang"))
@@ -226,6 +234,16 @@ def test_quality(spark, docs, none):
     assert quality.judged(none, "text", "doc_id", trusted).count() == 0
     assert {r.llr_score for r in quality.judged(docs, "text", "doc_id", none.select("doc_id")).collect()} == {0.0}
 # --- BPE ------------------------------------------------------------------------------------
+def test_the_driver_reads_the_vocabulary_without_the_library():
+    bpe._tokenizer.cache_clear(), bpe._pieces.cache_clear()
+    library = Tokenizer.from_file(PATH)
+    library.no_truncation(), library.no_padding()
+    definition = bpe._load(PATH)
+    assert len(bpe.ranks_of(definition)) > 50_000 and bpe._tokenizer.cache_info().currsize == 0
+    assert Tokenizer.from_str(definition).to_str() == library.to_str()
+    assert all(library.decode([i], skip_special_tokens=False) == p.decode("utf-8", "replace") for i, p in enumerate(bpe._pieces(definition)))
+
+
 def test_words_split_as_the_library_splits_every_character():
     split, library = bpe._splitter(bpe._load(PATH)), Tokenizer.from_file(PATH).pre_tokenizer
     same = re.compile(f"[{bpe.SAME}]").match
@@ -310,6 +328,25 @@ def test_a_large_group_of_near_copies_is_not_expanded_into_pairs(spark, monkeypa
     assert sum(compared) < 20 * len(made)
 
 
+def test_near_duplicates_write_few_tables(spark, monkeypatch):
+    rng, written, save = random.Random(6), [], neardup.saved
+    monkeypatch.setattr(neardup, "saved", lambda df, label: written.append(label) or save(df, label))
+    order = rng.sample(range(200), 200)
+    chain = spark.createDataFrame(list(itertools.pairwise(order)), "a LONG, b LONG")
+    assert {(r.node, r.root) for r in neardup.components(chain).collect()} == {(k, 0) for k in range(200)}
+    # Three tables a round and the edges; none for putting rounds together.
+    rounds = (len(written) - 1) // 3
+    assert rounds > 1 and written == ["edges", *["pointers", "pointers", "edges"] * rounds]
+    assert neardup.components(chain.where("a = b")) is None
+    # The pairs of bucket members are no more than the members: they are confirmed in one go.
+    written.clear()
+    text = [f"w{rng.randint(0, 900)}" for _ in range(150)]
+    made = [(i, " ".join(t)) for i, t in enumerate(copies(rng, text, 100, 9))]
+    found = neardup.linked(spark.createDataFrame(made, "doc_id LONG, text STRING"), "text", "doc_id").collect()
+    assert {r.id: r.component_id for r in found} == groups(made)
+    assert written.index("judged") < written.index("differences") and written[: written.index("differences")].count("judged") == 1
+
+
 @pytest.mark.parametrize("percent", [80, 85, 100])
 def test_links_between_members_far_from_the_centre(spark, percent):
     rng = random.Random(percent)

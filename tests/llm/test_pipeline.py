@@ -129,6 +129,21 @@ def test_quality_ratios_are_in_no_plan_and_no_row(spark, small):
     assert sum("ubquery" in x and "aggregate(" in x for x in projects) >= 1 and not any("AS __unigrams" in x or "AS __bigrams" in x for x in projects)
 
 
+def test_quality_ratios_take_few_jobs(spark, small):
+    docs, ids = spark.read.parquet(f"{small}/documents.parquet"), spark.range(50).withColumnRenamed("id", "__id")
+    counts = quality.saved(quality.counted(docs, "text", "doc_id", ids, quality.PART), "counts")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("ratios", "")
+    try:
+        table = quality.ratios(counts, quality.PART)
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("ratios")) < 8
+    row = table.first()
+    assert len(row.unigrams) == len(row.bigrams) == quality.PART and any(row.unigrams) and any(row.bigrams)
+
+
 def test_the_cut_takes_words_of_the_asked_documents_alone(spark, small):
     docs, ids = spark.read.parquet(f"{small}/documents.parquet"), spark.range(50).withColumnRenamed("id", "__id")
     table = quality.ratios(quality.counted(docs, "text", "doc_id", ids, quality.PART), quality.PART)
